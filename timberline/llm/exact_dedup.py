@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, whole_text, written
+from .common import whole_text
 
 #: Fixed value: the white space that equality ignores.
 SPACES = " \t\n\x0b\f\r"
@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t")).select("doc_id", F.char_length("t").cast("long").alias("n_points"), normalised(F.col("t")).alias("norm"))
     cut = norm.select("doc_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), chunks_of(F.col("norm"), least, most).alias("chunks"))
-    chunked = written(cut.withColumn("keys", F.transform("chunks", lambda c: key(c))), "chunks")
+    chunked = cut.withColumn("keys", F.transform("chunks", lambda c: key(c)))
     listed = _recipes(chunked).select("doc_id", "n_points", "sha", "recipe")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best")
     groups = listed.groupBy("recipe").agg(best, F.count("*").alias("group_size")).select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size")
