@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
+from .main_text import extract
+from .token_counts import token_counts
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +35,16 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES["op10_bpe"] = lambda spark, sf: encode_decode(table(spark, sf, "documents"), vocabulary())
+
+QUERIES["op1_license_scan"] = lambda spark, sf: license_scan(table(spark, sf, "documents"))
+
+
+def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES["op7_token_counts"] = _token_counts
+QUERIES["op4_toxicity"] = lambda spark, sf: toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+QUERIES["op9_main_text"] = lambda spark, sf: extract(table(spark, sf, "pages"))
