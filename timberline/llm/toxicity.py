@@ -6,8 +6,8 @@ squared change of the score between the two is added to the loss. What the model
 is pulled towards what it learns about the group's other names, so a neutral mention doesn't raise the score.
 
 The fit uses at most `per_class` rows of each label, the first by a hash of the id (the bound is a parameter);
-all rows are scored, whole texts. Long texts don't drift: only features several times as frequent under one
-label are kept, and a text has each feature once.
+all rows are scored, whole texts. Long texts do not drift and harmless words cannot hide others: only features several times as frequent under
+label 1 are kept, and a text has each feature once.
 
 Edge cases: a null or empty text is scored by the intercept; labels that are null take no part; several labels
 of one document count as their largest; without labels of both kinds every score is 0; repeated rows get equal
@@ -108,8 +108,8 @@ class Rows:
         return np.bincount(self.c, self.v * r[self.r], self.width) if self.n else np.zeros(self.width)
 
 
-def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int], pull: float = 10.0, l2: float = 2e-4, lift: float = 4.0, seen_least: int = 3, most: int = 20_000, steps: int = 400) -> Model:
-    """plain, swapped: features of each text and of its rewritten form (None without identity terms); pull: weight of the counterfactual term; most: features kept."""
+def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int], pull: float = 10.0, l2: float = 2e-5, lift: float = 4.0, seen_least: int = 3, most: int = 20_000, steps: int = 600, floor: float = -3.0) -> Model:
+    """plain, swapped: features of each text and of its rewritten form (None without identity terms); pull: weight of the counterfactual term; most: features kept; floor: the least intercept, so that one strong word is enough."""
     y = np.array(labels, dtype=float)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
@@ -118,7 +118,7 @@ def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int]
     lab = np.repeat(y, [len(x) for x in plain])
     a, b = np.bincount(where, lab, len(ids)), np.bincount(where, 1 - lab, len(ids))
     up = np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))
-    keep = np.flatnonzero((a + b >= seen_least) & (np.abs(up) >= np.log(lift)) & (np.abs(a / n1 - b / n0) * np.sqrt(n1 * n0 / (n1 + n0)) > 2.0 * np.sqrt(np.maximum((a + b) / (n1 + n0), 1e-12)) * 1.0))
+    keep = np.flatnonzero((a + b >= seen_least) & (up >= np.log(lift)) & (np.abs(a / n1 - b / n0) * np.sqrt(n1 * n0 / (n1 + n0)) > 2.0 * np.sqrt(np.maximum((a + b) / (n1 + n0), 1e-12)) * 1.0))
     keep = keep[np.lexsort((ids[keep], -np.abs(up[keep]) * np.sqrt(a + b)[keep]))][:most]
     at = {int(ids[k]): i for i, k in enumerate(keep)}
     x = Rows([[(at[f], 1.0) for f in s if f in at] for s in plain], len(at))
@@ -133,7 +133,7 @@ def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int]
         vw, vb = 0.9 * vw + 0.1 * gw, 0.9 * vb + 0.1 * gb
         g2, gb2 = 0.999 * g2 + 0.001 * gw**2, 0.999 * gb2 + 0.001 * gb**2
         rate = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w, bias = w - rate * vw / (np.sqrt(g2) + 1e-9), bias - rate * vb / (np.sqrt(gb2) + 1e-9)
+        w, bias = w - rate * vw / (np.sqrt(g2) + 1e-9), max(floor, bias - rate * vb / (np.sqrt(gb2) + 1e-9))
     return Model(float(bias), {int(ids[k]): float(v) for k, v in zip(keep, w)}, True)
 
 
