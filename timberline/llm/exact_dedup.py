@@ -44,10 +44,11 @@ def _recipes(chunked: DataFrame, key=F.xxhash64) -> DataFrame:
     return chunked.join(lists, "sha", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<string>")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 256, most: int = 2048, key=F.xxhash64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 256, most: int = 2048, key=F.xxhash64, hot_groups: int = 500) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs.
 
-    key: the chunk key, any hash; collisions cost time, never a result.
+    key: the chunk key, any hash; collisions cost time, never a result. hot_groups: how many of the largest groups
+    are joined by broadcast, the others by their lists.
     """
     norm = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t")).select("doc_id", F.char_length("t").cast("long").alias("n_points"), normalised(F.col("t")).alias("norm"))
     cut = norm.select("doc_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), chunks_of(F.col("norm"), least, most).alias("chunks"))
@@ -55,7 +56,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = _recipes(chunked).select("doc_id", "n_points", "sha", "recipe")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best")
     groups = listed.groupBy("recipe").agg(best, F.count("*").alias("group_size")).select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size")
-    out = listed.join(groups, "recipe")
+    # The largest groups, a fixed number, meet their copies by broadcast; no task gathers one of them.
+    top = groups.where("group_size > 8").orderBy(F.desc("group_size"), "keep_id").limit(hot_groups)
+    top = top.select(F.col("recipe").alias("top_recipe"), F.col("keep_id").alias("top_keep"), F.col("group_size").alias("top_size"))
+    first = listed.join(F.broadcast(top), F.col("recipe") == F.col("top_recipe"), "left")
+    alone = F.array(F.lit("#"), F.col("doc_id").cast("string"))  # matches nothing, and deals evenly
+    rest = first.withColumn("key", F.when(F.col("top_size").isNull(), F.col("recipe")).otherwise(alone)).drop("recipe", "top_recipe")
+    out = rest.join(groups.withColumnRenamed("recipe", "key"), "key", "left").withColumn("keep_id", F.when(F.col("top_size").isNull(), F.col("keep_id")).otherwise(F.col("top_keep"))).withColumn("group_size", F.coalesce("top_size", "group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
