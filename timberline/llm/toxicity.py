@@ -108,25 +108,29 @@ class Rows:
         return np.bincount(self.c, self.v * r[self.r], self.width) if self.n else np.zeros(self.width)
 
 
-def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int], pull: float = 10.0, l2: float = 2e-5, lift: float = 4.0, seen_least: int = 3, most: int = 20_000, steps: int = 600, floor: float = -3.0) -> Model:
-    """plain, swapped: features of each text and of its rewritten form (None without identity terms); pull: weight of the counterfactual term; most: features kept; floor: the least intercept, so that one strong word is enough."""
+def choose(ids: np.ndarray, a: np.ndarray, b: np.ndarray, n1: int, n0: int, lift: float = 4.0, seen_least: int = 3, most: int = 20_000) -> np.ndarray:
+    """The features kept: a, b count their texts with label 1 and 0. Ordered by evidence, then id."""
+    up = np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))
+    sure = (a / n1 - b / n0) * np.sqrt(n1 * n0 / (n1 + n0)) > 2 * np.sqrt((a + b) / (n1 + n0))
+    keep = np.flatnonzero((a + b >= seen_least) & (up >= np.log(lift)) & sure)
+    return ids[keep[np.lexsort((ids[keep], -up[keep] * np.sqrt(a + b)[keep]))][:most]]
+
+
+def fit(plain: list[list[int]], swapped: list[list[int] | None], labels: list[int], features: np.ndarray, pull: float = 10.0, l2: float = 2e-5, steps: int = 600, floor: float = -3.0) -> Model:
+    """plain, swapped: places in `features` of what each text and its rewritten form have (None without identity terms).
+
+    pull: weight of the counterfactual term; floor: the least intercept, so that one strong word is enough.
+    """
     y = np.array(labels, dtype=float)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+    n1, n0, width = int(y.sum()), int((1 - y).sum()), len(features)
     if not n1 or not n0:
         return Model()
-    ids, where = np.unique(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in plain]), return_inverse=True)
-    lab = np.repeat(y, [len(x) for x in plain])
-    a, b = np.bincount(where, lab, len(ids)), np.bincount(where, 1 - lab, len(ids))
-    up = np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))
-    keep = np.flatnonzero((a + b >= seen_least) & (up >= np.log(lift)) & (np.abs(a / n1 - b / n0) * np.sqrt(n1 * n0 / (n1 + n0)) > 2.0 * np.sqrt(np.maximum((a + b) / (n1 + n0), 1e-12)) * 1.0))
-    keep = keep[np.lexsort((ids[keep], -np.abs(up[keep]) * np.sqrt(a + b)[keep]))][:most]
-    at = {int(ids[k]): i for i, k in enumerate(keep)}
-    x = Rows([[(at[f], 1.0) for f in s if f in at] for s in plain], len(at))
-    change = [(p, s) for p, s in zip(plain, swapped) if s is not None and p != s]
-    d = Rows([[*((at[f], 1.0) for f in p - s if f in at), *((at[f], -1.0) for f in s - p if f in at)] for p, s in change], len(at))
+    x = Rows([[(f, 1.0) for f in sorted(s)] for s in plain], width)
+    change = [(set(p), set(s)) for p, s in zip(plain, swapped) if s is not None]
+    d = Rows([[*((f, 1.0) for f in sorted(p - s)), *((f, -1.0) for f in sorted(s - p))] for p, s in change], width)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    w, bias, g2, gb2 = np.zeros(len(at)), 0.0, np.full(len(at), 1e-12), 1e-12
-    vw, vb = np.zeros(len(at)), 0.0
+    w, bias, g2, gb2 = np.zeros(width), 0.0, np.full(width, 1e-12), 1e-12
+    vw, vb = np.zeros(width), 0.0
     for t in range(1, steps + 1):  # Adam, full batch: the rows are bounded
         r = weight * (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -500, 500))) - y)
         gw, gb = x.back(r) + l2 * w + (2 * pull / len(change) * d.back(d.dot(w)) if change else 0), r.sum()
@@ -134,31 +138,53 @@ def fit(plain: list[set[int]], swapped: list[set[int] | None], labels: list[int]
         g2, gb2 = 0.999 * g2 + 0.001 * gw**2, 0.999 * gb2 + 0.001 * gb**2
         rate = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w, bias = w - rate * vw / (np.sqrt(g2) + 1e-9), max(floor, bias - rate * vb / (np.sqrt(gb2) + 1e-9))
-    return Model(float(bias), {int(ids[k]): float(v) for k, v in zip(keep, w)}, True)
+    return Model(float(bias), {int(f): float(v) for f, v in zip(features, w)}, True)
+
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lift: float = 4.0, seen_least: int = 3, most: int = 20_000, **how) -> Model:
+    """Fits on at most per_class rows of each label whose crc32 remainder isn't 1.
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> Model:
-    """Fits on at most per_class rows of each label whose crc32 remainder isn't 1."""
+    Features are counted and chosen where the texts are; the driver gets the chosen ones and their places in each text.
+    """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if not chosen:
         return Model()
-    rows = spark.createDataFrame(chosen, known.schema)
     small_batches(spark)
+    rows = spark.createDataFrame(chosen, known.schema)
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(rows), "id").select("y", "text")
 
-    def run(batches):
+    def count(batches):
+        for b in batches:
+            for y in (0, 1):
+                found = [list(features_of(words_of(t))) for t, v in zip(b.column(1).to_pylist(), b.column(0).to_pylist()) if v == y]
+                ids, n = np.unique(np.array([f for x in found for f in x], np.int64), return_counts=True)
+                a, z = (n, n * 0) if y else (n * 0, n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int64)), pa.array(z.astype(np.int64)), pa.array(np.zeros(len(ids), np.int64))], ["f", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(found) * y]), pa.array([len(found) * (1 - y)]), pa.array([1])], ["f", "a", "b", "n"])
+
+    counts = texts.mapInArrow(count, "f long, a long, b long, n long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = counts.where(f"f IS NULL OR (a + b >= {seen_least} AND a > b)").collect()
+    n1, n0 = next(((r.a, r.b) for r in found if r.f is None), (0, 0))
+    if not n1 or not n0:
+        return Model()
+    known_f = sorted((r.f, r.a, r.b) for r in found if r.f is not None)
+    ids, a, b = (np.array([x[i] for x in known_f], np.int64) for i in range(3))
+    features = choose(ids, a, b, n1, n0, lift, seen_least, most)
+    places = spark.sparkContext.broadcast({int(f): i for i, f in enumerate(features)})
+
+    def place(batches):
+        at = places.value
+        of = lambda words: sorted(at[f] for f in features_of(words) if f in at)
         for b in batches:
-            plain, other = [], []
-            for t in b.column(2).to_pylist():
-                words = words_of(t)
-                plain.append(sorted(features_of(words)))
-                other.append(sorted(features_of({SWAP.get(w, w) for w in words})) if any(w in SWAP for w in words) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["id", "y", "plain", "swapped"])
-
-    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(rows), "id").select("id", "y", "text")
-    found = sorted(texts.mapInArrow(run, "id long, y int, plain array<long>, swapped array<long>").collect())
-    return fit([set(r.plain) for r in found], [None if r.swapped is None else set(r.swapped) for r in found], [r.y for r in found], **how)
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            other = [of({SWAP.get(w, w) for w in ws}) if not ws.isdisjoint(SWAP) else None for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(ws) for ws in words], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["y", "plain", "swapped"])
+
+    seen = texts.mapInArrow(place, "y int, plain array<int>, swapped array<int>").collect()
+    seen = sorted(((list(r.plain), None if r.swapped is None else list(r.swapped), r.y) for r in seen), key=repr)
+    return fit([x[0] for x in seen], [x[1] for x in seen], [x[2] for x in seen], features, **how)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
