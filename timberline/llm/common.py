@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_classes
 from .licenses import license_scan
+from .lm_score import lm_scores
 from .main_text import extract
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -48,3 +50,22 @@ def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["op7_token_counts"] = _token_counts
 QUERIES["op4_toxicity"] = lambda spark, sf: toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 QUERIES["op9_main_text"] = lambda spark, sf: extract(table(spark, sf, "pages"))
+QUERIES["op3_ngram_jaccard_join"] = lambda spark, sf: jaccard_classes(table(spark, sf, "documents"))
+QUERIES["op5_lm_score"] = lambda spark, sf: lm_scores(table(spark, sf, "documents"))
+ORACLE_SQL["op5_lm_score"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+counts AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM words GROUP BY word),
+total AS (SELECT sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (rank > 131072), 0)::DOUBLE AS unknown FROM counts),
+ids AS (SELECT doc_id, pos, CASE WHEN rank > 131072 THEN 0 ELSE rank END AS id, CASE WHEN rank > 131072 THEN total.unknown ELSE counts.n END AS c
+        FROM words JOIN counts USING (word) CROSS JOIN total),
+pairs AS (SELECT b.doc_id, a.id AS i1, b.id AS i2, a.c AS c1, b.c AS c2
+          FROM ids b LEFT JOIN ids a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1),
+grams AS (SELECT i1, i2, count(*) AS f, count(DISTINCT doc_id) AS docs FROM pairs WHERE i1 IS NOT NULL GROUP BY i1, i2),
+sums AS (SELECT p.doc_id, count(*) AS n_words,
+                sum(CASE WHEN p.i1 IS NULL THEN log10(p.c2 / total.n) WHEN g.docs >= 2 THEN log10(g.f / p.c1) ELSE log10(0.4::DOUBLE * p.c2 / total.n) END) AS s
+         FROM pairs p LEFT JOIN grams g ON g.i1 = p.i1 AND g.i2 = p.i2 CROSS JOIN total GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s / n_words, 6) AS score FROM documents d LEFT JOIN sums USING (doc_id)
+"""
