@@ -6,6 +6,8 @@
    its prefix: two linked sets share one of them.
 3. Classes meet where they share a prefix n-gram. Of n-grams with the same classes one is enough, and one whose
    classes all meet elsewhere isn't needed. Meeting places of more than `block` classes are dealt out as pairs of blocks.
+   A class stays only where another could be linked with it: their lengths allow it, and their parity bitmaps differ in
+   no more bits than linked sets can differ in n-grams.
 4. At a meeting place the sets go into a prefix tree, ordered by how many of its sets hold an n-gram, so that like
    sets share their path and the overlap counted along it. A branch is left when the overlap so far and the length
    that remains can't reach the threshold, or when all under it is linked with the set already.
@@ -51,44 +53,89 @@ def shingles(text: str, k: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
+def _coded(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each that keeps their order: exact under 128, then eight steps to each doubling."""
+    return np.where(n < 128, n, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(n, 128) / 128)))).astype(np.uint8)
+
+
 def _counts(texts: DataFrame, k: int, bits: int) -> np.ndarray:
-    """How many sets hold an n-gram of each bucket, over all texts: 2**bits numbers, whatever the input."""
+    """How many sets hold an n-gram of each bucket, over all texts, coded: 2**bits bytes, whatever the input."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for t in b.column(0).to_pylist():
                 np.add.at(total, (shingles(t, k) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
-        parts = total.reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["block", "n"])
+        for i, x in enumerate(total.reshape(BLOCKS, -1)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "n"])
 
     def add(batches) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(n), np.uint32).astype(np.uint64)
-                sums[block] = sums[block] + x if block in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "n"])
+                x = np.frombuffer(zlib.decompress(n), np.uint32)
+                if block in sums:
+                    sums[block] += x
+                else:
+                    sums[block] = x.astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_coded(x).tobytes() for x in sums.values()], pa.binary())], ["block", "n"])
 
     schema = "block int, n binary"
     rows = texts.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
-    found = {r.block: np.frombuffer(zlib.decompress(r.n), np.uint32) for r in rows}
-    size = (1 << bits) // BLOCKS
-    return np.concatenate([found.get(i, np.zeros(size, np.uint32)) for i in range(BLOCKS)])
+    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.uint8)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.n, np.uint8)
+    return out.reshape(-1)
+
+
+def bitmap(grams: np.ndarray, bits: int = 512) -> bytes:
+    """The parity of how many n-grams fall on each bit: two sets differ in at least as many n-grams as their bitmaps in bits."""
+    at = (grams % np.uint64(1_000_003)).astype(np.int64) % bits
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(n: np.ndarray, maps: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets have another that could be linked with them. n: lengths; maps: a row of 64-bit words each."""
+    out = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        total = n + n[i]
+        apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1, dtype=np.int64)
+        ok = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (apart * (den + num) <= (den - num) * total)
+        ok[i] = False
+        out |= ok
+        out[i] |= bool(ok.any())
+    return out
+
+
+def by_key(batches, width: int, run) -> Iterator[pa.RecordBatch]:
+    """Calls run(rows) for each run of equal keys (the first `width` columns) in sorted batches; one run is held at a time."""
+    now, rows = None, []
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        for row in zip(*cols):
+            if row[:width] != now:
+                if rows:
+                    yield from run(now, rows)
+                now, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield from run(now, rows)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
-    """doc_id, n, digest (null for an empty set), prefix: a row for each row of docs (doc_id, text)."""
+    """doc_id, n, digest (null for an empty set), prefix, map: a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_counts(docs.select("text"), k, bits))
 
     def sign(batches) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for b in batches:
-            n, digests, prefixes = [], [], []
+            n, digests, prefixes, maps = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, k)
                 n.append(len(s))
+                maps.append(bitmap(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 first = len(s) + (-num * len(s) // den) + 1 if len(s) else 0
                 rank = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
@@ -99,9 +146,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFr
                 else:
                     near = s
                 prefixes.append(near[np.lexsort((near, rank))[:first]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "n", "digest", "prefix", "map"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, map binary")
 
 
 class _Node:
@@ -189,23 +236,38 @@ def _insert(top: dict[int, _Node], path: list[int], n: int, q: int, root) -> Non
         kids = node.kids
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 22, block: int = 1500, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 1500, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs. Sets link from a similarity of num/den."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     signed = written(signatures(texts, k, num, den, bits), "signed")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    meet = classes.select("digest", F.explode("prefix").alias("token"))
-    places = meet.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("token", "digest") * 0 + F.xxhash64(F.lit(7), "digest")).alias("x")).where("c > 1")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("map").alias("map"))
+    meet = classes.select("digest", "n", "map", F.explode("prefix").alias("token"))
+    places = meet.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("x")).where("c > 1")
     one = places.groupBy("c", "s", "x").agg(F.min("token").alias("token")).select("token", "c")
-    rows = written(meet.join(one, "token").select("token", "c", "digest"), "meet")
+    rows = written(meet.select("token", "digest").join(one, "token").select("token", "c", "digest"), "meet")
     main = rows.groupBy("digest").agg(F.max(F.struct("c", "token")).alias("m")).select("digest", F.col("m.token").alias("main"))
     spare = rows.join(main, "digest").groupBy("token").agg(F.min("main").alias("a"), F.max("main").alias("b")).where("a = b AND a != token").select("token")
     dealt = rows.join(spare, "token", "left_anti").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
     own = F.pmod(F.xxhash64("digest", "token"), F.col("blocks").cast("long")).cast("int")
     pairs = dealt.withColumn("own", own).select("token", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    seats = written(pairs.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest"), "seats")
+    placed = pairs.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest").join(classes.select("digest", "n", "map"), "digest")
+
+    def likely(batches) -> Iterator[pa.RecordBatch]:
+        def run(key, rows):
+            if len(rows) < 2:
+                return
+            n = np.array([r[1] for r in rows], np.int64)
+            ok = may_link(n, np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1), num, den)
+            d = [r[0] for r, k in zip(rows, ok) if k]
+            if d:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(d), pa.int64()), pa.array([key[1]] * len(d), pa.int32()), pa.array([key[2]] * len(d), pa.int32()), pa.array(d, pa.binary())], ["token", "i", "j", "digest"])
+
+        yield from by_key(batches, 3, run)
+
+    sorted_places = placed.select("token", "i", "j", "digest", "n", "map").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    seats = written(sorted_places.mapInArrow(likely, "token long, i int, j int, digest binary"), "seats")
     n_seats = seats.count()
     wanted = seats.select("digest").distinct().join(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "n")).alias("z")), "digest").select("digest", "doc_id")
     wanted = F.broadcast(wanted) if n_seats <= broadcast_rows else wanted
@@ -221,15 +283,17 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     places_ = F.broadcast(seats) if n_seats <= broadcast_rows else seats
     seated = held.join(places_, "digest")
 
-    def join(pdf):
-        import pandas as pd
+    def join(batches) -> Iterator[pa.RecordBatch]:
+        def run(key, rows):
+            found = {d: g for d, g in rows}  # repeated rows once
+            d = list(found)
+            links = tree_links([np.asarray(found[x], np.int64) for x in d], num, den)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([d[a] for a, _ in links], pa.binary()), pa.array([d[b] for _, b in links], pa.binary())], ["u", "v"])
 
-        pdf = pdf.drop_duplicates("digest")
-        links = tree_links([np.asarray(x, np.int64) for x in pdf["grams"]], num, den)
-        d = pdf["digest"].tolist()
-        return pd.DataFrame({"u": [d[a] for a, _ in links], "v": [d[b] for _, b in links]})
+        yield from by_key(batches, 3, run)
 
-    edges = seated.groupBy("token", "i", "j").applyInPandas(join, "u binary, v binary")
+    edges = seated.select("token", "i", "j", "digest", "grams").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(join, "u binary, v binary")
     linked = components(edges)
     named = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     rooted = named.join(linked, named["digest"] == linked["node"], "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
