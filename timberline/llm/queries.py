@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_classes
 from .licenses import license_scan
 from .lm_score import lm_scores
 from .main_text import extract
+from .mixing import mixing_rates
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -69,3 +70,6 @@ sums AS (SELECT p.doc_id, count(*) AS n_words,
          FROM pairs p LEFT JOIN grams g ON g.i1 = p.i1 AND g.i2 = p.i2 CROSS JOIN total GROUP BY p.doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s / n_words, 6) AS score FROM documents d LEFT JOIN sums USING (doc_id)
 """
+#: Shares of the tokens that each labelled domain gets.
+TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+QUERIES["op6_soft_mixing"] = lambda spark, sf: mixing_rates(table(spark, sf, "documents"), table(spark, sf, "labels"), TARGETS)
