@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,18 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
         for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_key(batches, width: int, run) -> Iterator:
+    """Calls run(rows) for each run of equal keys (the first `width` columns) in sorted batches; one run is held at a time."""
+    now, rows = None, []
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        for row in zip(*cols):
+            if row[:width] != now:
+                if rows:
+                    yield from run(now, rows)
+                now, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield from run(now, rows)

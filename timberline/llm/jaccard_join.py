@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text, written
+from .common import by_key, small_batches, whole_text, written
 from .components import components
 
 BLOCKS = 256
@@ -108,21 +108,6 @@ def may_link(n: np.ndarray, maps: np.ndarray, num: int, den: int) -> np.ndarray:
     return out
 
 
-def by_key(batches, width: int, run) -> Iterator[pa.RecordBatch]:
-    """Calls run(rows) for each run of equal keys (the first `width` columns) in sorted batches; one run is held at a time."""
-    now, rows = None, []
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols):
-            if row[:width] != now:
-                if rows:
-                    yield from run(now, rows)
-                now, rows = row[:width], []
-            rows.append(row[width:])
-    if rows:
-        yield from run(now, rows)
-
-
 def signatures(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
     """doc_id, n, digest (null for an empty set), prefix, map: a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession

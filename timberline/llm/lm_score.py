@@ -4,8 +4,8 @@
    unknown word 0, as in any closed-vocabulary model; so a pair of words is one exact 64-bit number.
 2. Pairs of two very frequent words (each at least 1/`hot` of all words, so at most hot*hot pairs) are counted first
    and broadcast: no task gathers the rows of a pair that every document has.
-3. All other pairs of every document go to the partition of their hash, once. There they are counted, the count
-   table is joined to the pairs, and their log scores are summed by document before they leave.
+3. All other pairs of every document go to the partition of their hash, once, packed in a few bytes each. There they
+   are counted, the count table is joined to the pairs, and their log scores are summed by document before they leave.
 
 A pair that at least `least_docs` documents have scores count(pair)/count(first); else alpha*count(second)/words. The first
 word of a text scores count(word)/words. The result is the mean log10 per word.
@@ -17,40 +17,80 @@ the vocabulary go to the smaller word; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_batches, whole_text, written
+from .common import by_key, small_batches, whole_text, written
 
-SPACE = r"[\x20\x09-\x0D]+"
 
+class Numbers(dict):
+    """word -> number; 0 for every other word."""
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over all texts."""
-    words = texts.select(F.explode(F.split(ascii_lower(F.col("text")), SPACE)).alias("word")).where("word != ''")
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    def __missing__(self, word: bytes) -> int:
+        return 0
 
 
-def _ids(text: str, number: dict[bytes, int]) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()
+
+
+def word_counts(texts: DataFrame, held: int = 500_000) -> DataFrame:
+    """word, n over all texts. Each task sums what it has met, at most `held` words at a time."""
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        met: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in met], pa.string()), pa.array(list(met.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                met.update(words_of(t))
+                if len(met) >= held:
+                    yield out()
+                    met.clear()
+        yield out()
+
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _ids(text: str, number: Numbers) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns one after the other, the bytes of each by place: high bytes are zeros and pack away."""
+    head = np.array([len(columns[0])], np.uint32).tobytes()
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, at, out = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
 
 
 def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, least_docs: int = 2, hot: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     counted = written(word_counts(texts), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.int64)
-    number = {r.word.encode(): i + 1 for i, r in enumerate(top)}
+    number = Numbers({r.word.encode(): i + 1 for i, r in enumerate(top)})
     n_hot = int((counts[1:] * hot >= total).sum()) if total else 0  # numbers 1..n_hot, as numbers go by frequency
     hot_unk = bool(total) and counts[0] * hot >= total
     shared = spark.sparkContext.broadcast((number, counts, total, n_hot, hot_unk))
@@ -79,42 +119,71 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     def deal(batches) -> Iterator[pa.RecordBatch]:
         number, counts, total, _, _ = shared.value
         hots = hot_pairs.value
-        for b in batches:
-            got: list[tuple[np.ndarray, ...]] = []
-            for row, doc, t in zip(*(c.to_pylist() for c in b.columns)):
-                i = _ids(t, number)
-                base = math.log10(counts[i[0]] / total) if len(i) else 0.0
-                pairs, n = np.unique((i[:-1] << 32) | i[1:], return_counts=True)
-                hot_here = is_hot(pairs >> 32) & is_hot(pairs & 0xFFFFFFFF)
-                for p, c in zip(pairs[hot_here].tolist(), n[hot_here].tolist()):
-                    f, d = hots[p]
-                    base += c * (math.log10(f / counts[p >> 32]) if d >= least_docs else math.log10(alpha * counts[p & 0xFFFFFFFF] / total))
-                pairs, n = pairs[~hot_here], n[~hot_here]
-                where = ((pairs * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
-                home = row % parts
-                extra = [(home, len(i), -2, base)] + ([(home, doc, -1, 0.0)] if doc is not None else [])
-                got.append((np.concatenate([where, [e[0] for e in extra]]).astype(np.int64), np.full(len(pairs) + len(extra), row, np.int64), np.concatenate([pairs, [e[1] for e in extra]]).astype(np.int64), np.concatenate([n, [e[2] for e in extra]]).astype(np.int32), np.concatenate([np.zeros(len(pairs)), [e[3] for e in extra]])))
-            if not got:
+        for at, b in enumerate(batches):
+            rows, docs_, texts_ = (c.to_pylist() for c in b.columns)
+            if not rows:
                 continue
-            where, row, pair, n, base = (np.concatenate(x) for x in zip(*got))
-            order = np.argsort(where, kind="stable")
-            where, row, pair, n, base = where[order], row[order], pair[order], n[order], base[order]
+            owner, pairs, times, length, base = [], [], [], [], []
+            for k, t in enumerate(texts_):
+                i = _ids(t, number)
+                s = math.log10(counts[i[0]] / total) if len(i) else 0.0
+                p, n = np.unique((i[:-1] << 32) | i[1:], return_counts=True)
+                here = is_hot(p >> 32) & is_hot(p & 0xFFFFFFFF)
+                for x, c in zip(p[here].tolist(), n[here].tolist()):
+                    f, d = hots[x]
+                    s += c * (math.log10(f / counts[x >> 32]) if d >= least_docs else math.log10(alpha * counts[x & 0xFFFFFFFF] / total))
+                pairs.append(p[~here])
+                times.append(n[~here])
+                owner.append(np.full(len(pairs[-1]), k, np.uint32))
+                length.append(len(i))
+                base.append(s)
+            own, p, n = np.concatenate(owner), np.concatenate(pairs), np.concatenate(times).astype(np.uint32)
+            where = ((p * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+            order = np.lexsort((own, p, where))
+            own, p, n, where = own[order], p[order], n[order], where[order]
             ids, starts = np.unique(where, return_index=True)
-            items = pa.StructArray.from_arrays([pa.array(row), pa.array(pair), pa.array(n), pa.array(base)], ["row", "pair", "n", "base"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(where)).astype(np.int32)), items)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), lists], ["part", "items"])
+            ends = np.append(starts[1:], len(where))
+            packed = [_pack((p[a:z] >> 32).astype(np.uint32), (p[a:z] & 0xFFFFFFFF).astype(np.uint32), own[a:z], n[a:z]) for a, z in zip(starts, ends)]
+            known = np.array([d is not None for d in docs_], np.uint8)
+            meta = _pack(np.array([d or 0 for d in docs_], np.int64), known, np.array(length, np.int64), np.array(base, np.float64))
+            home = (rows[0] + at) % parts
+            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), home], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*[False] * len(ids), True]), pa.array([*packed, meta], pa.binary())], ["part", "row", "about", "data"])
 
-    schema = "part int, items array<struct<row: long, pair: long, n: int, base: double>>"
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    dealt = numbered.mapInArrow(deal, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    grams = dealt.select("part", F.explode("items").alias("x")).select("part", "x.row", "x.pair", "x.n", "x.base")
-    table = grams.where("n > 0").groupBy("part", "pair").agg(F.sum("n").alias("f"), F.count(F.col("row") + F.col("base")).alias("docs"))
-    words = F.broadcast(spark.createDataFrame([(i, float(c)) for i, c in enumerate(counts.tolist())], "id long, c double"))
-    first, second = words.select(F.col("id").alias("i1"), F.col("c").alias("c1")), words.select(F.col("id").alias("i2"), F.col("c").alias("c2"))
-    joined = grams.withColumn("key", F.when(F.col("n") > 0, F.col("pair")).otherwise(-1 - F.col("row"))).join(table.withColumnRenamed("pair", "key").hint("shuffle_hash"), ["part", "key"], "left")
-    joined = joined.withColumn("i1", F.shiftright("key", 32)).withColumn("i2", F.col("key").bitwiseAND(0xFFFFFFFF))
-    joined = joined.join(F.broadcast(first), "i1", "left").join(F.broadcast(second), "i2", "left")
-    log = F.when(F.col("docs") >= least_docs, F.log10(F.col("f") / F.col("c1"))).otherwise(F.log10(F.lit(alpha) * F.col("c2") / F.lit(float(max(total, 1)))))
-    value = F.when(F.col("n") > 0, F.col("n") * log).otherwise(F.col("base"))
-    out = joined.groupBy("row").agg(F.max(F.when(F.col("n") == -1, F.col("pair"))).alias("doc_id"), F.max(F.when(F.col("n") == -2, F.col("pair"))).alias("n_words"), F.sum(value).alias("s"))
+    dealt = numbered.mapInArrow(deal, "part int, row long, about boolean, data binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+
+    def joined(batches) -> Iterator[pa.RecordBatch]:
+        """Part by part: the count table of its pairs, joined to the pairs of each document, summed by document."""
+        _, counts, total, _, _ = shared.value
+        with np.errstate(divide="ignore"):
+            first = np.log10(counts.astype(float))
+            backed = np.log10(alpha * counts / max(total, 1))
+
+        def part(_, rows) -> Iterator[pa.RecordBatch]:
+            own, pairs, times = [], [], []
+            for row, about, data in rows:
+                if about:
+                    doc, known, length, base = _unpack(data, np.int64, np.uint8, np.int64, np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(doc))), pa.array(doc, mask=known == 0), pa.array(length), pa.array(base)], names)
+                else:
+                    i1, i2, o, n = _unpack(data, np.uint32, np.uint32, np.uint32, np.uint32)
+                    own.append(row + o.astype(np.int64))
+                    pairs.append((i1.astype(np.int64) << 32) | i2)
+                    times.append(n.astype(np.int64))
+            if not own:
+                return
+            o, p, n = np.concatenate(own), np.concatenate(pairs), np.concatenate(times)
+            table, at, docs_ = np.unique(p, return_inverse=True, return_counts=True)
+            f = np.bincount(at, n, len(table))
+            i1, i2 = table >> 32, table & 0xFFFFFFFF
+            log = np.where(docs_ >= least_docs, np.log10(f) - first[i1], backed[i2])
+            who, where = np.unique(o, return_inverse=True)
+            none = pa.nulls(len(who), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(who), none, none, pa.array(np.bincount(where, n * log[at], len(who)))], names)
+
+        names = ["row", "doc_id", "n_words", "s"]
+        yield from by_key(batches, 1, part)
+
+    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, "row long, doc_id long, n_words long, s double")
+    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("s"))
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
