@@ -14,6 +14,7 @@ from .licenses import license_scan
 from .lm_score import lm_scores
 from .main_text import extract
 from .mixing import mixing_rates
+from .nn_descent import search
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -73,3 +74,4 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s / n_words, 6) AS score
 #: Shares of the tokens that each labelled domain gets.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 QUERIES["op6_soft_mixing"] = lambda spark, sf: mixing_rates(table(spark, sf, "documents"), table(spark, sf, "labels"), TARGETS)
+QUERIES["op8_nn_descent"] = lambda spark, sf: search(table(spark, sf, "embeddings"))
