@@ -146,44 +146,78 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
             packed = [_pack((p[a:z] >> 32).astype(np.uint32), (p[a:z] & 0xFFFFFFFF).astype(np.uint32), own[a:z], n[a:z]) for a, z in zip(starts, ends)]
             known = np.array([d is not None for d in docs_], np.uint8)
             meta = _pack(np.array([d or 0 for d in docs_], np.int64), known, np.array(length, np.int64), np.array(base, np.float64))
-            home = (rows[0] + at) % parts
-            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), home], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*[False] * len(ids), True]), pa.array([*packed, meta], pa.binary())], ["part", "row", "about", "data"])
+            spread = (rows[0] + at) % parts
+            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), spread], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*[False] * len(ids), True]), pa.array([*packed, meta], pa.binary())], ["part", "row", "about", "data"])
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     dealt = numbered.mapInArrow(deal, "part int, row long, about boolean, data binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
 
-    def joined(batches) -> Iterator[pa.RecordBatch]:
+    def home(row: np.ndarray) -> np.ndarray:
+        """Where the sums of a document meet: neighbours in a file share it."""
+        return ((row >> 33) * 7919 + ((row & ((1 << 33) - 1)) >> 8)) % parts
+
+    def joined(batches, held: int = 2_000_000) -> Iterator[pa.RecordBatch]:
         """Part by part: the count table of its pairs, joined to the pairs of each document, summed by document."""
         _, counts, total, _, _ = shared.value
+        names = ["home", "about", "data"]
         with np.errstate(divide="ignore"):
             first = np.log10(counts.astype(float))
             backed = np.log10(alpha * counts / max(total, 1))
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            if kept:
+                who, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([x for _, x in kept]), len(who))
+                where = home(who)
+                order = np.argsort(where, kind="stable")
+                ids, starts = np.unique(where[order], return_index=True)
+                data = [_pack(who[o], sums[o]) for o in np.split(order, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([False] * len(ids)), pa.array(data, pa.binary())], names)
+                kept.clear()
 
         def part(_, rows) -> Iterator[pa.RecordBatch]:
             own, pairs, times = [], [], []
             for row, about, data in rows:
                 if about:
-                    doc, known, length, base = _unpack(data, np.int64, np.uint8, np.int64, np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(doc))), pa.array(doc, mask=known == 0), pa.array(length), pa.array(base)], names)
+                    columns = _unpack(data, np.int64, np.uint8, np.int64, np.float64)
+                    at = row + np.arange(len(columns[0]))
+                    where = home(at)
+                    for h in np.unique(where):
+                        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([True]), pa.array([_pack(at[where == h], *(c[where == h] for c in columns))], pa.binary())], names)
                 else:
                     i1, i2, o, n = _unpack(data, np.uint32, np.uint32, np.uint32, np.uint32)
                     own.append(row + o.astype(np.int64))
                     pairs.append((i1.astype(np.int64) << 32) | i2)
                     times.append(n.astype(np.int64))
-            if not own:
-                return
-            o, p, n = np.concatenate(own), np.concatenate(pairs), np.concatenate(times)
-            table, at, docs_ = np.unique(p, return_inverse=True, return_counts=True)
-            f = np.bincount(at, n, len(table))
-            i1, i2 = table >> 32, table & 0xFFFFFFFF
-            log = np.where(docs_ >= least_docs, np.log10(f) - first[i1], backed[i2])
-            who, where = np.unique(o, return_inverse=True)
-            none = pa.nulls(len(who), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(who), none, none, pa.array(np.bincount(where, n * log[at], len(who)))], names)
-
-        names = ["row", "doc_id", "n_words", "s"]
-        yield from by_key(batches, 1, part)
+            if own:
+                o, p, n = np.concatenate(own), np.concatenate(pairs), np.concatenate(times)
+                table, at, docs_ = np.unique(p, return_inverse=True, return_counts=True)
+                f = np.bincount(at, n, len(table))
+                log = np.where(docs_ >= least_docs, np.log10(f) - first[table >> 32], backed[table & 0xFFFFFFFF])
+                kept.append((o, n * log[at]))
+                if sum(len(x) for x, _ in kept) >= held:
+                    yield from leave()
 
-    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, "row long, doc_id long, n_words long, s double")
-    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("s"))
+        yield from by_key(batches, 1, part)
+        yield from leave()
+
+    def summed(batches) -> Iterator[pa.RecordBatch]:
+        """Home by home: each document with the sum of what its pairs gave."""
+
+        def run(_, rows) -> Iterator[pa.RecordBatch]:
+            abouts = [_unpack(d, np.int64, np.int64, np.uint8, np.int64, np.float64) for a, d in rows if a]
+            sums = [_unpack(d, np.int64, np.float64) for a, d in rows if not a]
+            row, doc, known, length, s = (np.concatenate(x) for x in zip(*abouts))
+            order = np.argsort(row)
+            s = s[order].copy()
+            if sums:
+                at = np.searchsorted(row[order], np.concatenate([x for x, _ in sums]))
+                s += np.bincount(at, np.concatenate([x for _, x in sums]), len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[order], mask=known[order] == 0), pa.array(length[order]), pa.array(s)], ["doc_id", "n_words", "s"])
+
+        yield from by_key(batches, 1, run)
+
+    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, "home int, about boolean, data binary")
+    out = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home").mapInArrow(summed, "doc_id long, n_words long, s double")
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
