@@ -1,7 +1,8 @@
 """Stupid-backoff scores from count tables partitioned by hash.
 
-1. Words are counted over all documents. The `vocabulary` most frequent get a number, every other word is the
-   unknown word 0, as in any closed-vocabulary model; so a pair of words is one exact 64-bit number.
+1. Words are counted over all documents. Those that occur c times or more get a number, where c is the least power
+   of two that at most `vocabulary` words reach; every other word is the unknown word 0, as in any closed-vocabulary
+   model. So a pair of words is one exact 64-bit number.
 2. Pairs of two very frequent words (each at least 1/`hot` of all words, so at most hot*hot pairs) are counted first
    and broadcast: no task gathers the rows of a pair that every document has.
 3. All other pairs of every document go to the partition of their hash, once, packed in a few bytes each. There they
@@ -10,8 +11,8 @@
 A pair that at least `least_docs` documents have scores count(pair)/count(first); else alpha*count(second)/words. The first
 word of a text scores count(word)/words. The result is the mean log10 per word.
 
-Edge cases: a null or empty text has no words and a null score; repeated rows are scored each and counted each; ties in
-the vocabulary go to the smaller word; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text has no words and a null score; repeated rows are scored each and counted each; words
+with equal counts are all in the vocabulary or all out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,8 +88,10 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     counted = written(word_counts(texts), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    sizes = counted.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    total = sum(r.n for r in sizes)
+    power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= vocabulary)
+    top = sorted(counted.where(F.col("n") >= F.lit(2**power)).collect(), key=lambda r: (-r.n, r.word)) if power < 63 else []
     counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.int64)
     number = Numbers({r.word.encode(): i + 1 for i, r in enumerate(top)})
     n_hot = int((counts[1:] * hot >= total).sum()) if total else 0  # numbers 1..n_hot, as numbers go by frequency

@@ -59,9 +59,11 @@ WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
-counts AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM words GROUP BY word),
-total AS (SELECT sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (rank > 131072), 0)::DOUBLE AS unknown FROM counts),
-ids AS (SELECT doc_id, pos, CASE WHEN rank > 131072 THEN 0 ELSE rank END AS id, CASE WHEN rank > 131072 THEN total.unknown ELSE counts.n END AS c
+met AS (SELECT word, count(*) AS n, length(bin(count(*))) - 1 AS power FROM words GROUP BY word),
+least AS (SELECT min(p) AS p FROM (SELECT p, (SELECT count(*) FROM met WHERE power >= p) AS c FROM range(64) t(p)) WHERE c <= 131072),
+counts AS (SELECT word, n, CASE WHEN power >= least.p THEN row_number() OVER (ORDER BY n DESC, word) ELSE 0 END AS id FROM met CROSS JOIN least),
+total AS (SELECT sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (id = 0), 0)::DOUBLE AS unknown FROM counts),
+ids AS (SELECT doc_id, pos, id, CASE WHEN id = 0 THEN total.unknown ELSE counts.n END AS c
         FROM words JOIN counts USING (word) CROSS JOIN total),
 pairs AS (SELECT b.doc_id, a.id AS i1, b.id AS i2, a.c AS c1, b.c AS c2
           FROM ids b LEFT JOIN ids a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1),
