@@ -592,3 +592,101 @@ def linear_shap(spark, sf):
     stats = {r["feature"]: (r["mean"], r["sd"]) for r in linear.moments(li, ["quantity", "tax"]).collect()}
     shap = explain.linear_shap(li, {"quantity": 0.7, "tax": -0.2}, stats)
     return shap.groupBy("l_linenumber").agg(F.round(F.avg(F.abs("shap_quantity")), 6).alias("quantity"), F.round(F.avg(F.abs("shap_tax")), 6).alias("tax"))
+
+
+# Fitted models: the driver checks rows only; tests hold them against brute force.
+
+_KINDS = {"quantity": "numeric", "discount": "numeric", "tax": "numeric", "line": "numeric", "ship": "numeric", "brand": "categorical"}
+
+
+def training_rows(spark, sf) -> DataFrame:
+    """A table to learn from: lineitem with a stable row id, a missing feature, a category and three labels."""
+    li = table(spark, sf, "lineitem")
+    d = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("row_id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("double")).alias("line"), F.month("l_shipdate").cast("double").alias("ship"), F.concat(F.lit("b"), (F.col("l_partkey") % 25).cast("string")).alias("brand"), (F.col("l_returnflag") == "R").cast("double").alias("returned"), (F.col("l_extendedprice") / 10000).alias("price"))
+    noise = F.pmod(F.col("row_id"), F.lit(1000)) / 1000.0
+    late = (F.col("quantity") > 25).cast("double") * 0.45 + (F.coalesce(F.col("line"), F.lit(0.0)) < 3).cast("double") * 0.25 + noise * 0.6
+    return d.withColumn("late", (late > 0.65).cast("double"))
+
+
+def _fitted(name: str, params) -> None:
+    @query(name)
+    def run(spark, sf):
+        from .plans import boost, model
+
+        d = training_rows(spark, sf)
+        m = boost.train(d, _KINDS, "late", params)
+        return model.predict(d, m, ["row_id", "late"])
+
+
+def _register_fitted() -> None:
+    from dataclasses import replace
+
+    from .plans import boost
+
+    base = boost.BoostParams(n_rounds=5, tree=boost.TreeParams(max_depth=4))
+    _fitted("gbdt_depthwise", base)
+    _fitted("gbdt_lossguide", replace(base, tree=boost.TreeParams("lossguide", 0, 8)))
+    _fitted("gbdt_symmetric", replace(base, tree=boost.TreeParams("symmetric", 4)))
+    _fitted("gbdt_goss", replace(base, sampling="goss", goss_warmup=False))
+    _fitted("gbdt_optimal_categories", replace(base, tree=boost.TreeParams(max_depth=4, cat_split="optimal")))
+
+
+_register_fitted()
+
+
+@query("forest")
+def forest(spark, sf):
+    from .plans import boost, model
+
+    d = training_rows(spark, sf)
+    m = boost.train_forest(d, _KINDS, "late", boost.ForestParams(n_trees=8, max_depth=5))
+    return model.predict(d, m, ["row_id", "late"])
+
+
+@query("linear_fit")
+def linear_fit(spark, sf):
+    from .plans import linear
+
+    d = training_rows(spark, sf)
+    m = linear.fit(d, ["quantity", "discount", "tax", "line"], "late")
+    return linear.predict(d, m).select("row_id", "late", "prediction")
+
+
+@query("cv_oof")
+def cv_oof(spark, sf):
+    from .plans import linear, search
+
+    d = rows.folds(training_rows(spark, sf), ["row_id"], 3, 1, "late").persist()
+    r = search.cross_validate(d, "late", lambda t: linear.fit(t, ["quantity", "line"], "late"), linear.predict, "auc", k=3)
+    return r.oof.select("row_id", "fold", F.col("late").alias("label"), F.round("prediction", 8).alias("prediction"))
+
+
+@query("tune_random")
+def tune_random(spark, sf):
+    from .plans import linear, search
+
+    d = rows.folds(training_rows(spark, sf).sample(0.2, 7), ["row_id"], 2, 1, "late").persist()
+    axes = [search.Axis.parse("reg_lambda=0.01..100:log"), search.Axis.parse("standardize=0,1")]
+
+    def evaluate(p: dict, k: int) -> float:
+        how = linear.LinearParams(reg_lambda=p["reg_lambda"], standardize=p["standardize"] == "1")
+        return search.cross_validate(d, "late", lambda t: linear.fit(t, ["quantity", "line"], "late", how), linear.predict, "auc", k=2, first=min(k, 2)).mean
+
+    return search.trial_table(spark, search.search(axes, evaluate, "random", 3, 2))
+
+
+@query("tree_shap")
+def tree_shap(spark, sf):
+    from .plans import boost, explain
+
+    d = training_rows(spark, sf)
+    m = boost.train(d, _KINDS, "late", boost.BoostParams(n_rounds=3, tree=boost.TreeParams(max_depth=4)))
+    return explain.tree_shap(d, m, ["row_id"])
+
+
+@query("model_importance")
+def model_importance(spark, sf):
+    from .plans import boost, explain
+
+    m = boost.train(training_rows(spark, sf), _KINDS, "late", boost.BoostParams(n_rounds=3, tree=boost.TreeParams(max_depth=4)))
+    return explain.importance(m.nodes(spark))

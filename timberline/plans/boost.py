@@ -441,7 +441,8 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
     elif start:
         base = start.base
     else:
-        base = [r["score"] for r in base_score(fit_rows, loss, y, w).orderBy(*(["class"] if loss.objective == "softmax" else [])).collect()]
+        found = base_score(fit_rows, loss, y, w)
+        base = [r["score"] for r in (found.orderBy("class") if loss.objective == "softmax" else found).collect()]
     tree = params.tree
     if loss.objective == "poisson" and not tree.split.max_delta_step:
         tree = replace(tree, split=replace(tree.split, max_delta_step=loss.poisson_max_delta_step))
