@@ -22,7 +22,7 @@ def _weight(w: str | None) -> Column:
 
 
 def _mean(df: DataFrame, loss: Column, w: str | None) -> DataFrame:
-    return df.agg((F.sum(loss * _weight(w)) / F.sum(_weight(w))).alias("value"))
+    return df.agg(F.try_divide(F.sum(loss * _weight(w)), F.sum(_weight(w))).alias("value"))
 
 
 def _levels(df: DataFrame, score: str, y: str, w: str | None) -> DataFrame:
@@ -89,7 +89,7 @@ def mae(df: DataFrame, score: str, y: str, w: str | None = None) -> DataFrame:
 def r2(df: DataFrame, score: str, y: str, w: str | None = None) -> DataFrame:
     """A constant target gives 1 if it is met, else 0."""
     wt, t, p = _weight(w), F.col(y), F.col(score)
-    mean = df.agg((F.sum(wt * t) / F.sum(wt)).alias("__m"))
+    mean = df.agg(F.try_divide(F.sum(wt * t), F.sum(wt)).alias("__m"))
     s = df.join(F.broadcast(mean)).agg(F.sum(wt * F.pow(t - p, 2)).alias("res"), F.sum(wt * F.pow(t - F.col("__m"), 2)).alias("tot"))
     return s.select(F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).when(F.col("res") == 0, 1.0).otherwise(0.0).alias("value"))
 

@@ -22,7 +22,7 @@ def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataF
     w = F.lit(1.0) if weight is None else F.col(weight)
     sums = df.groupBy(F.col(label).alias("class")).agg(F.sum(w).alias("wc"))
     both = sums.agg(F.sum("wc").alias("total"), F.count("*").alias("k"))
-    return sums.join(F.broadcast(both)).select("class", (F.col("total") / (F.col("k") * F.col("wc"))).alias("weight"))
+    return sums.join(F.broadcast(both)).select("class", F.try_divide(F.col("total"), F.col("k") * F.col("wc")).alias("weight"))
 
 
 def check_weights(df: DataFrame, weight: str) -> None:
@@ -135,7 +135,7 @@ def mvs_threshold(df: DataFrame, block: str, value: str, rate: float) -> DataFra
     d = d.withColumn("below", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("pos", F.row_number().over(w))
     d = d.withColumn("n", F.count("*").over(Window.partitionBy(block)))
     want, over = F.col("n") * rate, F.col("n") - F.col("pos")
-    mu = F.col("below") / (want - over)
+    mu = F.try_divide(F.col("below"), want - over)
     next_ = F.lead(value).over(w)
     fits = (want > over) & (mu >= F.col(value)) & (next_.isNull() | (mu <= next_))
     return d.where("true").withColumn("mu", F.when(fits, mu)).groupBy(block).agg(F.min("mu").alias("mu"))

@@ -66,9 +66,9 @@ def symmetric_scores(hist: DataFrame, kind: str, p: SplitParams = SplitParams(),
     d = hist.select(*leaf, "feature", "bin", *(F.sum(x).over(run).alias(f"l_{x}") for x in "ngh"), *(F.sum(x).over(part).alias(f"t_{x}") for x in "ngh"))
     lam = p.reg_lambda
     sides = [(F.col("l_g"), F.col("l_n"), F.col("l_h")), *[tuple(F.col(f"t_{x}") - F.col(f"l_{x}") for x in "gnh")]]
-    v = lambda g, n: F.when(n > 0, g / (n + lam)).otherwise(0.0)
+    v = lambda g, n: F.coalesce(F.try_divide(g, n + lam), F.lit(0.0))
     if kind == "gain":
-        parts = {"a": sum((g * g / (h + lam) for g, _, h in sides[1:]), sides[0][0] * sides[0][0] / (sides[0][2] + lam)), "b": F.lit(0.0)}
+        parts = {"a": sum((F.coalesce(F.try_divide(g * g, h + lam), F.lit(0.0)) for g, _, h in sides[1:]), F.coalesce(F.try_divide(sides[0][0] * sides[0][0], sides[0][2] + lam), F.lit(0.0))), "b": F.lit(0.0)}
     else:
         parts = {"a": sum((v(g, n) * g for g, n, _ in sides[1:]), v(sides[0][0], sides[0][1]) * sides[0][0]), "b": sum((v(g, n) * v(g, n) * n for g, n, _ in sides[1:]), v(sides[0][0], sides[0][1]) * v(sides[0][0], sides[0][1]) * sides[0][1])}
     both = d.where("l_n > 0 AND l_n < t_n") if not leaf else d

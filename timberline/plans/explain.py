@@ -96,7 +96,7 @@ def tree_shap(df: DataFrame, model: Model, keep: list[str], cover: str = "hess")
 
 def linear_shap(df: DataFrame, coefficients: dict[str, float], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """df with shap_<feature>: coefficient times standardised value."""
-    return df.withColumns({f"shap_{c}": w * F.coalesce((F.col(c) - stats[c][0]) / stats[c][1], F.lit(0.0)) for c, w in coefficients.items()})
+    return df.withColumns({f"shap_{c}": w * F.coalesce(F.try_divide(F.col(c) - stats[c][0], F.lit(stats[c][1])), F.lit(0.0)) for c, w in coefficients.items()})
 
 
 def mean_abs(shap: DataFrame, columns: list[str]) -> DataFrame:
