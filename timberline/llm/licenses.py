@@ -59,7 +59,7 @@ def template_positions(spark, base: dict[str, str], notices: dict[str, str]) ->
     return spark.createDataFrame(rows, "label string, exact boolean, at int, pair string, positions int").withColumn("h", F.xxhash64("pair"))
 
 
-def license_spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, slack: int = 3, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, slack: int = 3, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, label, exact, first, coverage: the verified spans, first counting words from 0."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), words_of(whole_text(text_col)).alias("w"))
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("w"), i + 1)))
