@@ -3,7 +3,7 @@
 A naive Bayes model of hashed words, fitted to labelled rows, gives each document posteriors p over domains. Rates
 r >= least are fitted by projected gradient so that the expected token totals of the domains, sum of r * tokens * p,
 are the targets' shares of the budget, in least squares. A step is the same few numbers for every document, scaled by
-the inverse of the domains' second moments: r <- max(least, r - p . step). So a document's rate is an expression of its
+the inverse of the second moments of the documents off the bound: r <- max(least, r - p . step). So a document's rate is an expression of its
 posteriors, each evaluation is one aggregate over a small table, and nothing but those sums reaches the driver. A step
 that doesn't lower the error is halved.
 
@@ -90,28 +90,35 @@ def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth
     aim = np.array([max(0.0, x) if now[k] > 1e-9 * words else 0.0 for k, x in enumerate(targets)])
     aim = aim / aim.sum() if aim.sum() else now / now.sum()
     budget = words * growth
-    moments = np.array([[first[f"m{a}_{b}"] for b in ks] for a in ks]) / words
-    scale = np.linalg.pinv(moments + 1e-9 * np.eye(len(p)), rcond=1e-7)
     error = lambda x: float((((x - budget * aim) / budget) ** 2).sum())
-    best, done = error(now), 0
-    grow = 1.0
-    for _ in range(steps):
-        if best < tolerance:
-            break
-        step = grow * scale @ (now - budget * aim) / words
+
+    def measured(r: Column) -> tuple[np.ndarray, np.ndarray]:
+        """The totals of a rate, and the second moments of the documents that may still go either way."""
+        free = F.when(r > least, t).otherwise(0.0)
+        got = rated.agg(*(F.sum(t * p[k] * r).alias(f"t{k}") for k in ks), *(F.sum(free * p[a] * p[b]).alias(f"m{a}_{b}") for a in ks for b in ks)).first()
+        return np.array([got[f"t{k}"] for k in ks]), np.array([[got[f"m{a}_{b}"] for b in ks] for a in ks]) / words
+
+    now, moments = measured(rate)
+    if least >= 1:  # at the bound every document may go up
+        moments = np.array([[first[f"m{a}_{b}"] for b in ks] for a in ks]) / words
+    best, done, size, plain = error(now), 0, 1.0, False
+    while done < steps and best >= tolerance:
+        way = np.eye(len(p)) if plain else np.linalg.pinv(moments, rcond=1e-7)
+        step = size * way @ (now - budget * aim) / words
         tried = F.greatest(F.lit(float(least)), rate - sum((p[k] * float(step[k]) for k in ks), F.lit(0.0)))
-        got = rated.agg(*(F.sum(t * p[k] * tried).alias(f"t{k}") for k in ks)).first()
-        there = np.array([got[f"t{k}"] for k in ks])
+        there, new_moments = measured(tried)
         done += 1
-        if error(there) < best:
-            gain = best - error(there)
-            rate, now, best, grow = tried, there, error(there), min(1.0, grow * 2)
-            if gain < tolerance * 1e-3:
+        gain = best - error(there)
+        if gain > 0:
+            rate, now, moments, best, size = tried, there, new_moments, error(there), min(1.0, size * 2)
+            if gain < tolerance * 1e-3 or gain < 1e-6 * best:
                 break
+        elif size > 0.05:
+            size /= 2
+        elif not plain:  # the unscaled step always lowers the error where that can be done
+            plain, size = True, 1.0
         else:
-            grow /= 2
-            if grow < 1e-4:
-                break
+            break
     return rate, {"totals": now.tolist(), "targets": (budget * aim).tolist(), "error": best, "steps": done, "budget": budget}
 
 
