@@ -338,23 +338,25 @@ def _binned(spark, sf) -> DataFrame:
     return li.select(F.when(F.col("l_partkey") % 10 == 0, 0).otherwise(F.col("l_quantity").cast("int")).alias("q"), (1 + F.round(F.col("l_discount") * 100)).cast("int").alias("d"), (1 + F.round(F.col("l_tax") * 100)).cast("int").alias("t"), F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_linenumber")).alias("l"), (F.col("l_returnflag") == "R").cast("int").alias("y"), ((F.col("l_linestatus") == "O").cast("int") + 1).cast("long").alias("node"))
 
 
-_COUNTS = {"n": F.lit(1).cast("long"), "pos": F.col("y").cast("long")}
+def _counts() -> dict[str, Column]:
+    return {"n": F.lit(1).cast("long"), "pos": F.col("y").cast("long")}
+
 
 
 @query("hist_root", f"WITH b AS ({_BINNED}), x AS ({_LONG}) SELECT feature, bin, count(*) AS n, sum(y)::BIGINT AS pos FROM x GROUP BY 1, 2")
 def hist_root(spark, sf):
-    return splits.histogram(_binned(spark, sf), _FEATURES, _COUNTS)
+    return splits.histogram(_binned(spark, sf), _FEATURES, _counts())
 
 
 @query("hist_level", f"WITH b AS ({_BINNED}), x AS ({_LONG}) SELECT node::BIGINT AS node, feature, bin, count(*) AS n, sum(y)::BIGINT AS pos FROM x GROUP BY 1, 2, 3")
 def hist_level(spark, sf):
-    return splits.histogram(_binned(spark, sf), _FEATURES, _COUNTS, ["node"])
+    return splits.histogram(_binned(spark, sf), _FEATURES, _counts(), ["node"])
 
 
 @query("hist_subtract", f"WITH b AS ({_BINNED}), x AS ({_LONG}) SELECT feature, bin, count(*) FILTER (node = 2) AS n, coalesce(sum(y) FILTER (node = 2), 0)::BIGINT AS pos FROM x GROUP BY 1, 2")
 def hist_subtract(spark, sf):
     b = _binned(spark, sf)
-    return splits.subtract(splits.histogram(b, _FEATURES, _COUNTS), splits.histogram(b.where("node = 1"), _FEATURES, _COUNTS), ["n", "pos"], ["feature", "bin"])
+    return splits.subtract(splits.histogram(b, _FEATURES, _counts()), splits.histogram(b.where("node = 1"), _FEATURES, _counts()), ["n", "pos"], ["feature", "bin"])
 
 
 def _with_gradients(hist: DataFrame, feature: str) -> DataFrame:
@@ -380,13 +382,13 @@ a AS (SELECT feature, threshold, missing_left, n_left::BIGINT AS n_left, lg * lg
 @query("best_split_numeric", _SPLIT_SQL.replace("{where}", "WHERE feature IN ('d', 't')") + "SELECT feature, threshold, missing_left, round(gain, 6) AS gain, n_left FROM a WHERE gain > 0")
 def best_split_numeric(spark, sf):
     """Every admissible split of two features, with its gain."""
-    hist = _with_gradients(splits.histogram(_binned(spark, sf), ["d", "t"], _COUNTS), "d")
+    hist = _with_gradients(splits.histogram(_binned(spark, sf), ["d", "t"], _counts()), "d")
     return splits.numeric_splits(hist, splits.SplitParams()).select("feature", "threshold", "missing_left", _r("gain"), "n_left")
 
 
 @query("best_split_missing", _SPLIT_SQL.replace("{where}", "") + "SELECT feature, threshold, missing_left, round(gain, 6) AS gain, n_left FROM a WHERE gain > 0 ORDER BY round(gain, 9) DESC, feature, threshold, missing_left DESC LIMIT 1")
 def best_split_missing(spark, sf):
-    hist = _with_gradients(splits.histogram(_binned(spark, sf), _FEATURES, _COUNTS), "d")
+    hist = _with_gradients(splits.histogram(_binned(spark, sf), _FEATURES, _counts()), "d")
     found = splits.numeric_splits(hist, splits.SplitParams())
     return splits.best(found, ["feature", "threshold", (~F.col("missing_left"))]).select("feature", "threshold", "missing_left", _r("gain"), "n_left")
 
@@ -396,14 +398,14 @@ t AS (SELECT sum(n) AS tn, sum(pos) AS tp, (sum(pos) / sum(n))::DOUBLE AS p FROM
 g AS (SELECT bin AS level, n AS n_left, tn - n AS rn, n * p - pos AS lg, n * p * (1 - p) AS lh, (tn - n) * p - (tp - pos) AS rg, (tn - n) * p * (1 - p) AS rh, tn * p - tp AS tg, tn * p * (1 - p) AS th FROM hist, t WHERE bin > 0)
 SELECT 'l' AS feature, level, round(lg * lg / (lh + 1) + rg * rg / (rh + 1) - tg * tg / (th + 1), 6) AS gain, n_left FROM g WHERE n_left >= 20 AND rn >= 20 AND lg * lg / (lh + 1) + rg * rg / (rh + 1) - tg * tg / (th + 1) > 0""")
 def best_split_onehot(spark, sf):
-    hist = _with_gradients(splits.histogram(_binned(spark, sf), ["l"], _COUNTS), "l")
+    hist = _with_gradients(splits.histogram(_binned(spark, sf), ["l"], _counts()), "l")
     return splits.onehot_splits(hist, splits.SplitParams()).select("feature", "level", _r("gain"), "n_left")
 
 
 @query("best_split_catset")
 def best_split_catset(spark, sf):
     li = table(spark, sf, "lineitem").select(((F.col("l_partkey") % 40) + 1).cast("int").alias("c"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    hist = [(r.bin, r.n, r.g, r.h) for r in _with_gradients(splits.histogram(li, ["c"], _COUNTS), "c").orderBy("bin").collect()]
+    hist = [(r.bin, r.n, r.g, r.h) for r in _with_gradients(splits.histogram(li, ["c"], _counts()), "c").orderBy("bin").collect()]
     total = tuple(sum(r[i] for r in hist) for i in (1, 2, 3))
     found = splits.category_set(hist, total, splits.SplitParams())
     return spark.createDataFrame([("c", found[1], round(found[0], 6))] if found else [], "feature string, levels array<int>, gain double")
@@ -523,7 +525,7 @@ SELECT feature, threshold, round({value.format(a=a, b=b)}, 6) AS score FROM s"""
 
     @query(f"symmetric_root_{kind}", sql)
     def run(spark, sf):
-        hist = _with_gradients(splits.histogram(_binned(spark, sf), _FEATURES, _COUNTS), "d")
+        hist = _with_gradients(splits.histogram(_binned(spark, sf), _FEATURES, _counts()), "d")
         return targets.symmetric_scores(hist, kind).select("feature", "threshold", _r("score"))
 
 
