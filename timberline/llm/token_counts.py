@@ -45,7 +45,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
     return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "n_tokens long")
 
 
-def length_report(lengths: DataFrame, block: int = 1024) -> DataFrame:
+def length_report(lengths: DataFrame, block: int = 64) -> DataFrame:
     """A row for each length that occurs, read as a context limit.
 
     n_tokens, n_docs (of that length), docs_within, docs_over, tokens_total, tokens_within, tokens_truncated (sum of
