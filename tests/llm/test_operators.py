@@ -178,7 +178,7 @@ def test_jaccard(docs):
     assert got == plain_classes(list(enumerate(TEXTS)))
 
 
-@pytest.mark.parametrize("block", [2, 1500])
+@pytest.mark.parametrize("block", [2, 5, 256])
 @pytest.mark.parametrize("bits", [9, 20])
 def test_jaccard_near_copies(spark, block, bits):
     """Chains of edits, at and around the threshold, and a passage that all share."""

@@ -5,7 +5,9 @@
 2. Equal sets become one class. A class's first n-grams in that order, as many as a linked set can't all lack, are
    its prefix: two linked sets share one of them.
 3. Classes meet where they share a prefix n-gram. Of n-grams with the same classes one is enough, and one whose
-   classes all meet elsewhere isn't needed. Meeting places of more than `block` classes are dealt out as pairs of blocks.
+   classes all meet elsewhere isn't needed. At a place of more than `block` classes each is first held against one of
+   them: those that are linked with it are connected already and needn't meet each other. Only the others meet all,
+   dealt out as pairs of blocks, so one large group of copies costs in proportion to its size.
    A class stays only where another could be linked with it: their lengths allow it, and their parity bitmaps differ in
    no more bits than linked sets can differ in n-grams.
 4. At a meeting place the sets go into a prefix tree, ordered by how many of its sets hold an n-gram, so that like
@@ -95,10 +97,11 @@ def bitmap(grams: np.ndarray, bits: int = 512) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def may_link(n: np.ndarray, maps: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets have another that could be linked with them. n: lengths; maps: a row of 64-bit words each."""
+def may_link(n: np.ndarray, maps: np.ndarray, loose: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets have another that could be linked with them. n: lengths; maps: a row of 64-bit words each; of two that
+    aren't loose nothing is asked, as they are connected already."""
     out = np.zeros(len(n), bool)
-    for i in range(len(n)):
+    for i in np.flatnonzero(loose):
         total = n + n[i]
         apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1, dtype=np.int64)
         ok = (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (apart * (den + num) <= (den - num) * total)
@@ -143,8 +146,8 @@ class _Node:
         self.label, self.kids, self.least, self.most, self.who, self.lab = label, {}, n, n, who, lab
 
 
-def tree_links(sets: list[np.ndarray], num: int, den: int, step: int = 32) -> list[tuple[int, int]]:
-    """Pairs of positions that connect what is linked: as many as it takes, no more."""
+def tree_links(sets: list[np.ndarray], num: int, den: int, loose: list[bool] | None = None, step: int = 32) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what is linked: as many as it takes, no more. Those that aren't loose are connected already."""
     if len(sets) < 2:
         return []
     ids, where, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -153,6 +156,9 @@ def tree_links(sets: list[np.ndarray], num: int, den: int, step: int = 32) -> li
     ends = np.cumsum([len(s) for s in sets])
     paths = [np.sort(x).tolist() for x in np.split(rank[where], ends[:-1])]
     up = list(range(len(sets)))
+    tied = [] if loose is None else [i for i, x in enumerate(loose) if not x]
+    for i in tied:
+        up[i] = tied[0]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -221,7 +227,7 @@ def _insert(top: dict[int, _Node], path: list[int], n: int, q: int, root) -> Non
         kids = node.kids
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 1500, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs. Sets link from a similarity of num/den."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -234,53 +240,82 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     rows = written(meet.select("token", "digest").join(one, "token").select("token", "c", "digest"), "meet")
     main = rows.groupBy("digest").agg(F.max(F.struct("c", "token")).alias("m")).select("digest", F.col("m.token").alias("main"))
     spare = rows.join(main, "digest").groupBy("token").agg(F.min("main").alias("a"), F.max("main").alias("b")).where("a = b AND a != token").select("token")
-    dealt = rows.join(spare, "token", "left_anti").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
-    own = F.pmod(F.xxhash64("digest", "token"), F.col("blocks").cast("long")).cast("int")
-    pairs = dealt.withColumn("own", own).select("token", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = pairs.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest").join(classes.select("digest", "n", "map"), "digest")
+    dealt = written(rows.join(spare, "token", "left_anti").select("token", "c", "digest"), "dealt")
+    named = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+
+    def sets_of(digests: DataFrame, count: int) -> DataFrame:
+        """digest, grams of some classes, from the text of one row of each."""
+        wanted = digests.distinct().join(named, "digest").select("digest", F.col("first_id").alias("id"))
+        wanted = F.broadcast(wanted) if count <= broadcast_rows else wanted
+        chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"])).select("digest", "text")
+
+        def sets(batches) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [(d, shingles(t, k)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                found = [(d, s) for d, s in found if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]  # of rows with one id, the one meant
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["digest", "grams"])
+
+        return chosen.mapInArrow(sets, "digest binary, grams array<long>")
+
+    star, usual = None, dealt.where(F.col("c") <= block).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", F.lit(True).alias("loose"))
+    crowd = dealt.where(F.col("c") > block).select("token", "digest")
+    n_crowd = crowd.count()
+    if n_crowd:
+        leaders = crowd.groupBy("token").agg(F.min("digest").alias("leader"))
+        held = written(sets_of(crowd.select("digest"), n_crowd), "held")
+        lead = leaders.join(held.withColumnsRenamed({"digest": "leader", "grams": "lead"}), "leader").select("token", "leader", "lead")
+        sides = crowd.join(held, "digest").dropDuplicates(["token", "digest"]).join(lead, "token").select("token", "digest", "leader", "grams", "lead")
+
+        def against(batches) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = []
+                for x, y in zip(b.column(3), b.column(4)):
+                    x, y = x.values.to_numpy(), y.values.to_numpy()
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ok, pa.bool_())], ["token", "digest", "leader", "tied"])
+
+        star = written(sides.mapInArrow(against, "token long, digest binary, leader binary, tied boolean"), "star")
+        sizes = star.groupBy("token").agg(F.ceil(F.count(F.when(F.col("tied"), 1)) / block).cast("int").alias("nt"), F.ceil(F.count(F.when(~F.col("tied"), 1)) / block).cast("int").alias("nl")).where("nl > 0")
+        lot = F.xxhash64("digest", "token")
+        own = F.when(F.col("tied"), F.pmod(lot, F.col("nt").cast("long"))).otherwise(F.col("nt") + F.pmod(lot, F.col("nl").cast("long"))).cast("int")
+        met = F.sequence(F.when(F.col("tied"), F.col("nt")).otherwise(F.lit(0)), F.col("nt") + F.col("nl") - 1)
+        blocks = star.join(sizes, "token").select("token", "digest", "tied", own.alias("own"), F.explode(met).alias("other"))
+        usual = usual.unionByName(blocks.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", (~F.col("tied")).alias("loose")))
+    placed = usual.join(classes.select("digest", "n", "map"), "digest")
 
     def likely(batches) -> Iterator[pa.RecordBatch]:
         def run(key, rows):
             if len(rows) < 2:
                 return
             n = np.array([r[1] for r in rows], np.int64)
-            ok = may_link(n, np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1), num, den)
-            d = [r[0] for r, k in zip(rows, ok) if k]
-            if d:
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(d), pa.int64()), pa.array([key[1]] * len(d), pa.int32()), pa.array([key[2]] * len(d), pa.int32()), pa.array(d, pa.binary())], ["token", "i", "j", "digest"])
+            ok = may_link(n, np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1), np.array([r[3] for r in rows], bool), num, den)
+            got = [(*key, r[0], r[3]) for r, keep in zip(rows, ok) if keep]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()))], ["token", "i", "j", "digest", "loose"])
 
         yield from by_key(batches, 3, run)
 
-    sorted_places = placed.select("token", "i", "j", "digest", "n", "map").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    seats = written(sorted_places.mapInArrow(likely, "token long, i int, j int, digest binary"), "seats")
+    sorted_places = placed.select("token", "i", "j", "digest", "n", "map", "loose").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    seats = written(sorted_places.mapInArrow(likely, "token long, i int, j int, digest binary, loose boolean"), "seats")
     n_seats = seats.count()
-    wanted = seats.select("digest").distinct().join(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "n")).alias("z")), "digest").select("digest", "doc_id")
-    wanted = F.broadcast(wanted) if n_seats <= broadcast_rows else wanted
-    chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "text")
-
-    def sets(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t, k) for t in b.column(1).to_pylist()]
-            ok = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(found, b.column(0).to_pylist())]  # of rows with one id, the one meant
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, o in zip(b.column(0).to_pylist(), ok) if o], pa.binary()), pa.array([s.view(np.int64) for s, o in zip(found, ok) if o], pa.list_(pa.int64()))], ["digest", "grams"])
-
-    held = chosen.mapInArrow(sets, "digest binary, grams array<long>")
     places_ = F.broadcast(seats) if n_seats <= broadcast_rows else seats
-    seated = held.join(places_, "digest")
+    seated = sets_of(seats.select("digest"), n_seats).join(places_, "digest")
 
     def join(batches) -> Iterator[pa.RecordBatch]:
         def run(key, rows):
-            found = {d: g for d, g in rows}  # repeated rows once
+            found = {d: (g, loose) for d, loose, g in rows}  # repeated rows once
             d = list(found)
-            links = tree_links([np.asarray(found[x], np.int64) for x in d], num, den)
+            links = tree_links([np.asarray(found[x][0], np.int64) for x in d], num, den, [found[x][1] for x in d])
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([d[a] for a, _ in links], pa.binary()), pa.array([d[b] for _, b in links], pa.binary())], ["u", "v"])
 
         yield from by_key(batches, 3, run)
 
-    edges = seated.select("token", "i", "j", "digest", "grams").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(join, "u binary, v binary")
+    edges = seated.select("token", "i", "j", "digest", "loose", "grams").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(join, "u binary, v binary")
+    if star is not None:
+        edges = edges.unionByName(star.where("tied AND digest != leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")))
     linked = components(edges)
-    named = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     rooted = named.join(linked, named["digest"] == linked["node"], "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = rooted.join(names, "root").select("digest", "component_id")
