@@ -85,22 +85,22 @@ def _first_lists(classes: DataFrame, dims: int, k: int, tables: int, seed: int,
 
 
 def _closest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k closest of each node: one row each, near first. Lists are cut before the shuffle and after."""
+    """The k closest of each node: one row each, near first. Rows come sorted, so a task holds k of one node at a time."""
 
-    def cut(batches) -> Iterator[pa.RecordBatch]:
-        def run(key, rows):
-            best: dict[int, tuple] = {}
-            for other, d2, new in rows:
-                if other not in best or (d2, new) < best[other]:
-                    best[other] = (d2, new)
-            top = sorted((d2, o, new) for o, (d2, new) in best.items())[:k]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(top), pa.int64()), pa.array([o for _, o, _ in top], pa.int64()), pa.array([d for d, _, _ in top], pa.float64()), pa.array([x for _, _, x in top], pa.int32())], ["node", "other", "d2", "new"])
-
-        yield from by_key(batches, 1, run)
-
-    schema = "node long, other long, d2 double, new int"
-    local = pairs.select("node", "other", "d2", "new").sortWithinPartitions("node").mapInArrow(cut, schema)
-    return local.repartition("node").sortWithinPartitions("node").mapInArrow(cut, schema)
+    def first(batches) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
+        for b in batches:
+            keep = []
+            for i, (node, other) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if node != now:
+                    now, seen = node, set()
+                if len(seen) < k and other not in seen:
+                    seen.add(other)
+                    keep.append(i)
+            if keep:
+                yield b.take(pa.array(keep))
+
+    return pairs.select("node", "other", "d2", "new").repartition("node").sortWithinPartitions("node", "d2", "other", "new").mapInArrow(first, "node long, other long, d2 double, new int")
 
 
 def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: int = 12, tables: int = 8, seed: int = 7, settle: float = 0.02) -> DataFrame:
