@@ -369,6 +369,45 @@ def test_forest(spark, learnable):
     assert out.where("prediction < 0 OR prediction > 1").count() == 0
 
 
+def test_linear_leaves(spark, learnable):
+    """On a sloped target they beat constant leaves of the same trees, and agree with a ridge fit of one leaf."""
+    d = learnable.withColumn("t", 0.3 * F.coalesce("a", F.lit(8.0)) - 0.2 * F.coalesce("b", F.lit(8.0)))
+    how = dict(n_rounds=3, loss=losses.Loss("squared_error"))
+    plain, sloped = (boost.train(d, KINDS, "t", boost.BoostParams(tree=boost.TreeParams(max_depth=2, linear_leaves=x, lin_leaf_lambda=0.01), **how)) for x in (False, True))
+    a, b = (value(metrics.rmse(model.predict(d, m, ["t"]), "prediction", "t")) for m in (plain, sloped))
+    assert b < a
+    assert model.Model.from_json(sloped.to_json()).trees[0].lin == sloped.trees[0].lin
+    rows_ = d.select("a", "t").dropna().toPandas()
+    one = boost.train(d.select("row_id", "a", "t").dropna(), {"a": "numeric"}, "t", boost.BoostParams(n_rounds=1, loss=losses.Loss("squared_error"), bins=binning.BinParams(min_data_in_bin=1), tree=boost.TreeParams(max_depth=1, linear_leaves=True, lin_leaf_lambda=0.5, split=splits.SplitParams(learning_rate=1.0))))
+    t = one.trees[0]
+    edges = one.schema.features[0].edges
+    bins = np.searchsorted(edges, rows_["a"], side="left") + 1
+    mid = np.concatenate([[0.0, edges[0]], (np.array(edges[:-1]) + np.array(edges[1:])) / 2, [edges[-1]]])
+    for leaf, keep in ((t.left[0], bins <= t.threshold[0]), (t.right[0], bins > t.threshold[0])):
+        x, g = mid[bins[keep]], one.base[0] - rows_["t"].to_numpy()[keep]
+        z = (x - x.mean()) / x.std()
+        want = -(g @ z) / (z @ z + 0.5 * len(z)) / x.std()
+        assert t.lin[str(leaf)][1][0] == pytest.approx(want)
+
+
+def test_targets_in_symmetric_trees(spark):
+    d = spark.range(3000).withColumnRenamed("id", "row_id").withColumn("c", F.when(F.col("row_id") % 17 > 0, F.concat(F.lit("l"), (F.xxhash64("row_id") % 20).cast("string")))).withColumn("e", F.concat(F.lit("e"), (F.xxhash64(F.lit(3), "row_id") % 9).cast("string")))
+    d = d.withColumn("y", F.when(F.coalesce(F.xxhash64("c") % 3 == 0, F.lit(False)) != (F.xxhash64("e") % 4 == 0), 1.0).otherwise(0.0)).cache()
+    kinds = {"c": "categorical", "e": "categorical"}
+    scores = []
+    for pairs in (1, 2):
+        m = boost.train(d, kinds, "y", boost.BoostParams(n_rounds=5, tree=boost.TreeParams("symmetric", 4, max_ctr_complexity=pairs)))
+        assert {f.kind for f in m.schema.features} == {"target"}
+        scores.append(value(metrics.auc(model.predict(d, model.Model.from_json(m.to_json()), ["y"]), "prediction", "y")))
+    assert scores[0] > 0.8 and scores[1] >= scores[0] - 0.02
+    before = targets.before_counts(d, ["c"], "y", "row_id", chunks=7).orderBy("row_id").collect()
+    seen = {}
+    for r in before:
+        assert (r["__pos"], r["__n"]) == seen.get(r["c"], (0, 0))
+        p, n = seen.get(r["c"], (0, 0))
+        seen[r["c"]] = p + int(r["y"]), n + 1
+
+
 def test_refusals(spark, learnable):
     for bad in (dict(grow_policy="x"), dict(max_depth=0), dict(subsample=0.0)):
         with pytest.raises(ValueError):

@@ -29,15 +29,18 @@ def hashed_positions(df: DataFrame, seed: int, ids: list[str], name: str = "pos"
     return positions(key, [*first, F.substring("__key", 1, 2)], ["__key", *ids], name).drop("__key")
 
 
+def range_of(key: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below the key: plain arithmetic, which joins and filters may be pushed through."""
+    return sum(((key > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+
+
 def running(df: DataFrame, key: str, sums: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
     """df has a row for each key. Adds before_<s> for each of sums: its sum over the keys that come before.
 
     Keys are dealt to ranges by approximate quantiles; each range is summed in order, from the ranges' totals before it.
     """
     cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)))
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key)))
+    place = range_of(F.col(key), cuts)
     if descending:
         place = -place
     dealt = df.withColumn("__r", place)

@@ -91,13 +91,13 @@ def sample_rows(df: DataFrame, ids: list[str], rate: float, seed: int = 0) -> Da
 
 def goss(df: DataFrame, ids: list[str], key: Column, top_rate: float = 0.2, other_rate: float = 0.1, seed: int = 0, g: str = "g", h: str = "h") -> DataFrame:
     """The rows of the largest key, and a sample of the rest whose g and h are scaled by (1 - top) / other; adds is_top."""
-    from .order import positions
+    from .order import positions, range_of
 
     if top_rate + other_rate > 1 or other_rate <= 0:
         raise ValueError("top_rate and other_rate must sum to 1 at most")
     scored = df.withColumn("__s", key)
     cuts = scored.approxQuantile("__s", [i / 64 for i in range(1, 64)], 0.01)
-    bucket = -F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("__s"))) if cuts else F.lit(0)
+    bucket = -range_of(F.col("__s"), cuts)
     placed = positions(scored, [bucket], [F.desc("__s"), *ids], "__p")
     n = F.broadcast(df.agg(F.round(F.count("*") * top_rate).cast("long").alias("__top"), F.round(F.count("*") * other_rate).cast("long").alias("__other")))
     marked = placed.join(n).withColumn("is_top", F.col("__p") < F.col("__top"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import range_of
 from .splits import SplitParams
 
 BORDERS = 15
@@ -25,6 +26,23 @@ def ctr_borders(df: DataFrame, level: str | list[str], y: str, order: list[str],
     return F.when(F.col(levels[0]).isNull(), 0).otherwise(bucket(value))
 
 
+def before_counts(df: DataFrame, levels: list[str], y: str, row: str, chunks: int = 64) -> DataFrame:
+    """df with __pos and __n: positives and rows of the same level before each row.
+
+    Rows are cut into ranges of the row id. A level's counts of whole ranges are summed first, so a level that most rows
+    have is still counted range by range, in as many tasks as there are ranges.
+    """
+    cuts = sorted(set(df.approxQuantile(row, [i / chunks for i in range(1, chunks)], 0.01)))
+    d = df.withColumn("__chunk", range_of(F.col(row), cuts)).withColumn("__hit", F.when(F.col(y) > 0.5, 1).otherwise(0))
+    d = d.withColumn("__g", F.concat_ws("\x1f", *(F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in levels)))
+    sums = d.groupBy("__g", "__chunk").agg(F.sum("__hit").alias("__p"), F.count("*").alias("__c"))
+    back = Window.partitionBy("__g").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select("__g", "__chunk", F.coalesce(F.sum("__p").over(back), F.lit(0)).alias("__hp"), F.coalesce(F.sum("__c").over(back), F.lit(0)).alias("__hc"))
+    inside = Window.partitionBy("__g", "__chunk").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.join(heads, ["__g", "__chunk"]).withColumn("__pos", F.col("__hp") + F.coalesce(F.sum("__hit").over(inside), F.lit(0))).withColumn("__n", F.col("__hc") + F.count("*").over(inside))
+    return out.drop("__g", "__chunk", "__hit", "__hp", "__hc")
+
+
 def ctr_final(df: DataFrame, level: str | list[str], y: str, prior: float) -> DataFrame:
     """level, bucket from all rows: what a model stores."""
     levels = [level] if isinstance(level, str) else level

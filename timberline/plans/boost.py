@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import Loss, base_score
-from ..operators.binning import BinParams, BinSchema, apply_schema, fit_schema
+from ..operators.binning import BinParams, BinSchema, Feature, column_of, fit_schema, key_of
 from ..operators.splits import SplitParams, category_set
 from .model import Model, Tree, natural
 
@@ -38,6 +38,12 @@ class TreeParams:
     max_cat_to_onehot: int = 4
     min_data_per_group: int = 100
     symmetric_score: str = "cosine"
+    one_hot_max_size: int = 2
+    max_ctr_complexity: int = 1
+    linear_leaves: bool = False
+    lin_leaf_lambda: float = 1.0
+    lin_leaf_max_terms: int = 8
+    colsample_bylevel: float = 1.0
 
     def __post_init__(self):
         if self.grow_policy not in ("depthwise", "lossguide", "symmetric"):
@@ -46,6 +52,10 @@ class TreeParams:
             raise ValueError("a tree needs max_depth or max_leaves")
         if not 0 < self.subsample <= 1 or not 0 < self.colsample_bytree <= 1 or not 0 < self.colsample_bynode <= 1:
             raise ValueError("sampling rates must be over 0 and at most 1")
+        if not 0 < self.colsample_bylevel <= 1 or self.max_ctr_complexity not in (1, 2):
+            raise ValueError("colsample_bylevel must be over 0 and at most 1, max_ctr_complexity 1 or 2")
+        if self.linear_leaves and self.grow_policy == "symmetric":
+            raise ValueError("symmetric trees have no linear leaves")
         if self.split.learning_rate <= 0 or self.split.reg_lambda < 0:
             raise ValueError("learning_rate must be positive, lambda not negative")
 
@@ -300,6 +310,8 @@ def grow(df: DataFrame, state: _State, schema: BinSchema) -> list[Tree]:
         if params.max_depth and depth[k][node] >= params.max_depth:
             return
         own = tree_features[k]
+        if params.colsample_bylevel < 1:
+            own = [own[i] for i in _chosen(len(own), params.colsample_bylevel, state.seeds[k] * 31 + 17 * depth[k][node] + 5)]
         if params.colsample_bynode < 1:
             own = [own[i] for i in _chosen(len(own), params.colsample_bynode, state.seeds[k] * 1_000_003 + node)]
         s = best_split(hists[k][node], off, kinds, params, own)
@@ -399,9 +411,120 @@ def grow_symmetric(df: DataFrame, state: _State, schema: BinSchema) -> list[Tree
 
 def prepare(df: DataFrame, schema: BinSchema, y: str, w: str | None, row: str, base: list[float], init: list[str] | None = None) -> DataFrame:
     """row, y, w, a raw score for each class, and bins: what every job of a fit reads."""
-    b = apply_schema(df, schema, "__b_")
+    b = df.withColumns({f"__b_{f.name}": column_of(f) for f in schema.features if f"__b_{f.name}" not in df.columns})
     raws = [F.lit(float(x)).alias(f"__raw{i}") for i, x in enumerate(base)] if not init else [F.col(c).cast("double").alias(f"__raw{i}") for i, c in enumerate(init)]
-    return b.select(F.col(row).cast("long").alias("__row"), F.col(y).cast("double").alias("__y"), (F.lit(1.0) if w is None else F.col(w).cast("double")).alias("__w"), *raws, *(F.col(f"__b_{f.name}").cast("short").alias(f"__b{i}") for i, f in enumerate(schema.features)))
+    return b.select(F.col(row).cast("long").alias("__row"), F.col(y).cast("double").alias("__y"), (F.lit(1.0) if w is None else F.col(w).cast("double")).alias("__w"), *raws, *(F.col(f"`__b_{f.name}`").cast("short").alias(f"__b{i}") for i, f in enumerate(schema.features)))
+
+
+def with_targets(df: DataFrame, schema: BinSchema, y: str, row: str, params: TreeParams) -> tuple[DataFrame, BinSchema]:
+    """Replaces wide categories by their target statistics: three priors and a counter each, and of pairs if asked for.
+
+    Training rows get buckets from the rows before them (row order), the schema keeps what all rows give.
+    """
+    from ..operators.targets import before_counts, bucket, ctr_counter, ctr_final
+
+    wide = [f for f in schema.features if f.kind == "categorical" and len(f.levels) > params.one_hot_max_size]
+    kept = [f for f in schema.features if f.kind != "categorical" or 1 < len(f.levels) <= params.one_hot_max_size]
+    sources = [[f.name] for f in wide]
+    if params.max_ctr_complexity > 1:
+        sources += [[a.name, b.name] for i, a in enumerate(wide) for b in wide[i + 1 :]]
+    spark = df.sparkSession
+    for source in sources:
+        name = "+".join(source)
+        df = before_counts(df.withColumn("__key", key_of(source)), ["__key"], y, row)
+        known = df.select("__key", y)
+        for prior in (0.0, 0.5, 1.0):
+            f32 = lambda x: F.lit(float(x)).cast("float")
+            value = (F.col("__pos").cast("float") + f32(prior)).cast("float") / (F.col("__n").cast("float") + f32(1))
+            df = df.withColumn(f"__b_{name}:{prior:g}", F.when(F.col("__key").isNull(), 0).otherwise(bucket(value) + 1))
+            final = ctr_final(known, "__key", y, prior).where("__key IS NOT NULL").collect()
+            unseen = int(min(15, int(np.float32(prior) * np.float32(15))))
+            kept.append(Feature(f"{name}:{prior:g}", "target", [*(float(r["bucket"]) for r in final), float(unseen)], [r["__key"] for r in final], source))
+        counted = ctr_counter(known, "__key").collect()
+        f = Feature(f"{name}:n", "target", [*(float(r["bucket"]) for r in counted), 0.0], [r["__key"] for r in counted], source)
+        table = spark.createDataFrame([(k, int(b) + 1) for k, b in zip(f.levels, f.edges)], "__lk string, __lb int")
+        df = df.join(F.broadcast(table) if len(f.levels) <= 100_000 else table, F.col("__key") == F.col("__lk"), "left").withColumn(f"__b_{f.name}", F.coalesce("__lb", F.lit(0))).drop("__lk", "__lb", "__pos", "__n", "__key")
+        kept.append(f)
+    return df, BinSchema(kept)
+
+
+def _linear_leaves(df: DataFrame, state: _State, schema: BinSchema) -> None:
+    """A slope for each numeric feature on a leaf's path, from the leaf's moments: one job for all leaves of the round."""
+    import pyarrow as pa
+
+    params, lr = state.params, state.params.split.learning_rate
+    plans: list[dict[int, list[int]]] = []
+    for t in state.trees:
+        paths, stack = {}, [(0, [])]
+        while stack:
+            n, path = stack.pop()
+            if t.feature[n] < 0:
+                own = list(dict.fromkeys(f for f in path if schema.features[f].kind == "numeric"))[: params.lin_leaf_max_terms]
+                if own:
+                    paths[n] = own
+                continue
+            stack += [(c, [*path, t.feature[n]]) for c in (t.left[n], t.right[n])]
+        plans.append(paths)
+
+    def values(f: int) -> np.ndarray:
+        e = np.array(schema.features[f].edges)
+        if not len(e):
+            return np.zeros(2)
+        return np.concatenate([[0.0, e[0]], (e[:-1] + e[1:]) / 2, [e[-1]]])
+
+    shared = df.sparkSession.sparkContext.broadcast((state, plans))
+
+    def run(batches):
+        s, plans_ = shared.value
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            width = s.model.width
+            raw, bins = np.column_stack(cols[3 : 3 + width]), np.column_stack(cols[3 + width :]).astype(np.int32)
+            raw = raw + (s.model.raw(bins, s.pending, base=False) if s.pending else 0)
+            for k, t in enumerate(s.trees):
+                g, h = _gradients(s.loss, raw, cols[1], cols[2], k % width)
+                leaf = t.leaves(bins)
+                for n, fs in plans_[k].items():
+                    at = np.flatnonzero(leaf == n)
+                    x = np.column_stack([values(f)[bins[at, f]] for f in fs])
+                    m = (bins[at][:, fs] > 0).astype(float)
+                    hm = h[at, None] * m
+                    cell = np.concatenate([hm.sum(0), (hm * x).sum(0), (hm * x * x).sum(0), (g[at, None] * m).sum(0), (g[at, None] * m * x).sum(0), *( [((h[at, None] * m * x).T @ (m * x)).ravel(), ((h[at, None] * m).T @ m).ravel(), ((h[at, None] * m * x).T @ m).ravel()])])
+                    sums[k, n] = sums.get((k, n), 0) + cell
+        keys = list(sums)
+        flat = [(k, n, i, float(v)) for k, n in keys for i, v in enumerate(sums[k, n])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["tree", "leaf", "i", "v"])
+
+    rows = df.mapInArrow(run, "tree int, leaf int, i int, v double").groupBy("tree", "leaf", "i").agg(F.sum("v").alias("v")).collect()
+    got: dict[tuple[int, int], dict[int, float]] = {}
+    for r in rows:
+        got.setdefault((r.tree, r.leaf), {})[r.i] = r.v
+    for (k, n), cells in got.items():
+        fs = plans[k][n]
+        c = np.array([cells[i] for i in range(len(cells))])
+        q = len(fs)
+        sh, shx, shxx, sg, sgx = (c[i * q : (i + 1) * q] for i in range(5))
+        xx, mm, xm = (c[5 * q + i * q * q : 5 * q + (i + 1) * q * q].reshape(q, q) for i in range(3))
+        mean = np.where(sh > 0, shx / np.maximum(sh, 1e-300), 0.0)
+        sd = np.sqrt(np.maximum(0, np.where(sh > 0, shxx / np.maximum(sh, 1e-300), 0.0) - mean**2))
+        ok = sd > 1e-12
+        if not ok.any():
+            continue
+        # Centred second moments over rows that have both features; missing sits at the centre.
+        a = xx - xm * mean[None, :] - xm.T * mean[:, None] + mean[:, None] * mean[None, :] * mm
+        g = sgx - mean * sg
+        a, g, scale = a[np.ix_(ok, ok)] / np.outer(sd[ok], sd[ok]), g[ok] / sd[ok], sd[ok]
+        beta = -np.linalg.solve(a + params.lin_leaf_lambda * float(sh.max()) * np.eye(len(g)), g) / scale
+        used = [f for f, o in zip(fs, ok) if o]
+        table = []
+        for f, m in zip(used, mean[ok]):
+            v = values(f) - m
+            v[0] = 0.0
+            table.append(v.tolist())
+        state.trees[k].lin[str(n)] = [used, (lr * beta).tolist(), table]
 
 
 def _offsets(schema: BinSchema) -> np.ndarray:
@@ -447,6 +570,9 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
     if loss.objective == "poisson" and not tree.split.max_delta_step:
         tree = replace(tree, split=replace(tree.split, max_delta_step=loss.poisson_max_delta_step))
     model = Model(schema, list(start.trees) if start else [], list(base), loss.objective)
+    if tree.grow_policy == "symmetric" and not start and any(f.kind == "categorical" for f in schema.features):
+        fit_rows, schema = with_targets(fit_rows, schema, y, row, tree)
+        model.schema = schema
     data = prepare(fit_rows, schema, y, w, row, base, init).persist()
     seen = prepare(df.where(F.col(valid)), schema, y, w, row, base, init).persist() if valid else None
     width, stored = model.width, 0
@@ -460,6 +586,8 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
         (grow_symmetric if tree.grow_policy == "symmetric" else grow)(data, state, schema)
         if loss.objective in ("absolute_error", "quantile"):
             _renewed(data, state, loss, tree.split.learning_rate)
+        elif tree.linear_leaves:
+            _linear_leaves(data, state, schema)
         model.trees += state.trees
         if len(model.trees) - stored >= params.store_every * width and turn + 1 < params.n_rounds:
             data, seen, stored = _stored(data, model, stored), _stored(seen, model, stored) if seen else None, len(model.trees)

@@ -26,6 +26,8 @@ class Tree:
     gain: list[float]
     hess: list[float]
     count: list[float]
+    #: Leaves that are affine: leaf -> [features, slopes, the value of each bin of each feature]; missing gives the leaf's centre, 0.
+    lin: dict[str, list] = field(default_factory=dict)
 
     @staticmethod
     def empty() -> "Tree":
@@ -56,7 +58,13 @@ class Tree:
         return node
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.leaves(bins)]
+        leaf = self.leaves(bins)
+        out = np.array(self.value)[leaf]
+        for n, (features, slopes, values) in self.lin.items():
+            at = np.flatnonzero(leaf == int(n))
+            for f, s, v in zip(features, slopes, values):
+                out[at] += s * np.array(v)[bins[at, f]]
+        return out
 
 
 @dataclass
@@ -120,15 +128,15 @@ def mapped(df: DataFrame, model: Model, keep: list[str], out: list[str], run) ->
     """Bins features in the JVM and runs a vector function over the bins; one narrow stage, the model broadcast."""
     import pyarrow as pa
 
-    from ..operators.binning import bin_of, level_of
+    from ..operators.binning import column_of, columns_needed
 
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     fs = model.schema.features
-    lacking = [f.name for f in fs if f.name not in df.columns]
+    lacking = [c for c in columns_needed(model.schema) if c not in df.columns]
     if lacking:
         raise ValueError(f"no column {', '.join(lacking)}")
-    cols = [(bin_of(F.col(f.name).cast("double"), f.edges) if f.kind == "numeric" else level_of(F.col(f.name), f.levels)).cast("int").alias(f"__b{i}") for i, f in enumerate(fs)]
+    cols = [column_of(f).alias(f"__b{i}") for i, f in enumerate(fs)]
     d = df.select(*keep, *cols)
     n = len(keep)
 
