@@ -577,7 +577,7 @@ def stump_predict(spark, sf):
     return model.predict(table(spark, sf, "events").select("event_id", "value"), stump, keep=["event_id"]).select("event_id", _r("prediction"))
 
 
-@query("stump_shap", "SELECT event_id, round(CASE WHEN value <= 100 THEN -1.5 ELSE 2.5 END - 1.5, 6) AS shap_value, round(0.25 + 1.5, 6)::DOUBLE AS shap_bias FROM events")
+@query("stump_shap", "SELECT event_id, round((CASE WHEN value <= 100 THEN -1.5 ELSE 2.5 END - 1.5)::DOUBLE, 6) AS shap_value, round(0.25 + 1.5, 6)::DOUBLE AS shap_bias FROM events")
 def stump_shap(spark, sf):
     from .plans import explain, model
 

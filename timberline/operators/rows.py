@@ -14,7 +14,7 @@ def encode_labels(df: DataFrame, label: str, numeric: bool = False, most: int =
     """class, index: classes in order. One class, or too many, are refused."""
     value = F.col(label).cast("double") if numeric else F.col(label).cast("string")
     classes = df.where(value.isNotNull()).select(value.alias("class")).distinct()
-    return classes.select("class", (F.row_number().over(Window.orderBy("class")) - 1).alias("index"))
+    return classes.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("long").alias("index"))
 
 
 def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
