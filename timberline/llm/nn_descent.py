@@ -84,23 +84,50 @@ def _first_lists(classes: DataFrame, dims: int, k: int, tables: int, seed: int,
     return ordered.mapInArrow(near, "node long, other long, d2 double")
 
 
-def _closest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k closest of each node: one row each, near first. Rows come sorted, so a task holds k of one node at a time."""
+_LISTS = "node long, other long, d2 double, new int, pick int, worst double"
+
+
+def _mixed(a: int, b: int, seed: int) -> int:
+    """A lot for a pair, the same on every machine."""
+    x = ((a * 0x9E3779B97F4A7C15) ^ (b * 0xC2B2AE3D27D4EB4F) ^ (seed * 0x165667B19E3779F9)) & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+
+
+def _closest(pairs: DataFrame, k: int, sample: int = 0, seed: int = 0) -> DataFrame:
+    """The k closest of each node: one row each, near first. Rows come sorted, so a task holds k of one node at a time.
+
+    pick: 1 for `sample` of a node's rows, new ones first, by lot; worst: the distance of the k-th, if there are so many.
+    """
 
     def first(batches) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
+        def leave(node: int, rows: list[tuple]) -> list[tuple]:
+            chosen = {r[0] for r in sorted(rows, key=lambda r: (-r[2], _mixed(node, r[0], seed)))[:sample]}
+            worst = rows[-1][1] if len(rows) >= k else float("inf")
+            return [(node, o, d, n, int(o in chosen), worst) for o, d, n in rows]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["node", "other", "d2", "new", "pick", "worst"])
+
+        now, seen, rows, out = None, set(), [], []
         for b in batches:
-            keep = []
-            for i, (node, other) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            for node, other, d2, new in zip(*(c.to_pylist() for c in b.columns)):
                 if node != now:
-                    now, seen = node, set()
+                    if rows:
+                        out += leave(now, rows)
+                    now, seen, rows = node, set(), []
                 if len(seen) < k and other not in seen:
                     seen.add(other)
-                    keep.append(i)
-            if keep:
-                yield b.take(pa.array(keep))
+                    rows.append((other, d2, new))
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        if rows:
+            out += leave(now, rows)
+        if out:
+            yield batch(out)
 
-    return pairs.select("node", "other", "d2", "new").repartition("node").sortWithinPartitions("node", "d2", "other", "new").mapInArrow(first, "node long, other long, d2 double, new int")
+    return pairs.select("node", "other", "d2", "new").repartition("node").sortWithinPartitions("node", "d2", "other", "new").mapInArrow(first, _LISTS)
 
 
 def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: int = 12, tables: int = 8, seed: int = 7, settle: float = 0.02) -> DataFrame:
@@ -109,7 +136,7 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
     sample: new neighbours of each node that a round joins, forward and as many back; the others wait for the next.
     new: 0 for a neighbour that has been joined, 1 for one that hasn't.
     """
-    lists = written(_closest(_first_lists(classes, dims, k, tables, seed).withColumn("new", F.lit(1)), k), "lists")
+    lists = written(_closest(_first_lists(classes, dims, k, tables, seed).withColumn("new", F.lit(1)), k, sample, seed), "lists")
     n = classes.count()
 
     def meet(batches) -> Iterator[pa.RecordBatch]:
@@ -137,17 +164,15 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
         yield from by_key(batches, 1, run)
 
     for turn in range(rounds):
-        lot = F.xxhash64(F.lit(seed + turn), "node", "other")
-        chosen = lists.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("new"), lot))).where(f"r <= {sample}")
+        chosen = lists.where("pick = 1").select("node", "other", "new")
         back = chosen.select(F.col("other").alias("node"), F.col("node").alias("other"), "new")
         back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64(F.lit(seed - turn), "node", "other")))).where(f"r <= {sample}")
         around = chosen.select("node", "other", "new").unionByName(back.select("node", "other", "new"))
-        worst = lists.groupBy("node").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("worst"))
+        worst = lists.groupBy("node").agg(F.max("worst").alias("worst"))
         about = classes.join(worst, "node", "left").select(F.col("node").alias("other"), "x", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         found = around.join(about, "other").select("node", "other", "new", "x", "worst").repartition("node").sortWithinPartitions("node").mapInArrow(meet, "node long, other long, d2 double, new int")
-        joined = chosen.select("node", "other", F.lit(0).alias("was"))
-        old = lists.join(joined, ["node", "other"], "left").select("node", "other", "d2", F.coalesce("was", "new").alias("new"))
-        after = written(_closest(old.unionByName(found), k), "lists")
+        old = lists.select("node", "other", "d2", F.when(F.col("pick") == 1, 0).otherwise(F.col("new")).alias("new"))
+        after = written(_closest(old.unionByName(found), k, sample, seed + turn + 1), "lists")
         fresh = after.agg(F.sum("new")).first()[0] or 0
         unjoined = old.agg(F.sum("new")).first()[0] or 0
         dropped(classes.sparkSession, lists)
@@ -157,7 +182,7 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
     return lists.select("node", "other", "d2")
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, opened: int = 40, steps: int = 40, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, steps: int = 40, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` the `top` nearest others found."""
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
@@ -179,7 +204,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
     edges = graph(classes, dims, k, seed=seed, **how)
     back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "d2")
     kept_back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("d2", "other"))).where(f"r <= {k}").select("node", "other")
-    both = written(edges.select("node", "other").unionByName(kept_back).distinct(), "graph")
+    around = edges.select("node", "other").unionByName(kept_back).distinct()
+    both = written(around.join(classes.select(F.col("node").alias("other"), "x"), "other").select("node", "other", "x"), "graph")
 
     asked_ids = member.where(F.col("id") % every == 0).select(F.col("node").alias("q")).distinct()
     asked = written(asked_ids.join(classes, asked_ids["q"] == classes["node"]).select("q", F.col("x").alias("qx")), "asked")
@@ -202,21 +228,22 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
 
         return run
 
+    n_asked = asked.count()
+    near_asked = F.broadcast(asked) if n_asked * beam <= broadcast_rows else asked
+
     def walked(open_: DataFrame) -> DataFrame:
-        """The graph's neighbours of (q, via), measured."""
-        reached = open_.join(both, open_["via"] == both["node"]).select("q", "other").where("q != other").distinct()
-        x = classes.select(F.col("node").alias("other"), "x")
-        return reached.join(x, "other").join(asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.int8), schema)
+        """The graph's neighbours of (q, via), measured. A step's places to open are few unless the queries are many."""
+        few = F.broadcast(open_) if n_asked * beam <= broadcast_rows else open_
+        reached = both.join(few, both["node"] == few["via"]).select("q", "other", "x").where("q != other")
+        return reached.join(near_asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.int8), schema)
 
     own = walked(asked.select("q", F.col("q").alias("via")))
     found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
-    next_ = Window.partitionBy("node").orderBy("d2", "other")
     for _ in range(steps):
-        open_ = found.where("new = 1").withColumn("r", F.row_number().over(next_)).where(f"r <= {opened}")
+        open_ = found.where("new = 1").select(F.col("node").alias("q"), F.col("other").alias("via"))
         if open_.isEmpty():
             break
-        done = open_.select("node", "other", F.lit(0).alias("was"))
-        after = written(_closest(found.join(done, ["node", "other"], "left").select("node", "other", "d2", F.coalesce("was", "new").alias("new")).unionByName(walked(open_.select(F.col("node").alias("q"), F.col("other").alias("via")))), beam), "found")
+        after = written(_closest(found.select("node", "other", "d2", F.lit(0).alias("new")).unionByName(walked(open_)), beam), "found")
         dropped(spark, found)
         found = after
     whole = member.where("id = node").select("node", "whole")
