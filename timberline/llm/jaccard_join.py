@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, small_batches, whole_text, written
+from .common import by_key, dropped, small_batches, whole_text, written
 from .components import components
 
 BLOCKS = 256
@@ -316,6 +316,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     if star is not None:
         edges = edges.unionByName(star.where("tied AND digest != leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")))
     linked = components(edges)
+    dropped(spark, rows, dealt, seats, *([] if star is None else [held, star]))
     rooted = named.join(linked, named["digest"] == linked["node"], "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = rooted.join(names, "root").select("digest", "component_id")

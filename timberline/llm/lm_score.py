@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, small_batches, whole_text, written
+from .common import by_key, dropped, small_batches, whole_text, written
 
 
 class Numbers(dict):
@@ -92,6 +92,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     total = sum(r.n for r in sizes)
     power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= vocabulary)
     top = sorted(counted.where(F.col("n") >= F.lit(2**power)).collect(), key=lambda r: (-r.n, r.word)) if power < 63 else []
+    dropped(spark, counted)
     counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.int64)
     number = Numbers({r.word.encode(): i + 1 for i, r in enumerate(top)})
     n_hot = int((counts[1:] * hot >= total).sum()) if total else 0  # numbers 1..n_hot, as numbers go by frequency
