@@ -34,3 +34,19 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", ["forest", "linear_fit", "gbdt_depthwise", "folds_grouped"])
 def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_tune_random_searches_all_rows(spark, monkeypatch):
+    """Every trial holds out each row of the table once."""
+    from timberline.plans import search
+
+    held, real = [], search.cross_validate
+
+    def counted(*a, **how):
+        r = real(*a, **how)
+        held.append(r.oof.count())
+        return r
+
+    monkeypatch.setattr(search, "cross_validate", counted)
+    assert catalog.QUERIES["tune_random"](spark, SF).count() == 3
+    assert held == [catalog.training_rows(spark, SF).count()] * 3

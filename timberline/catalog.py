@@ -667,7 +667,7 @@ def cv_oof(spark, sf):
 def tune_random(spark, sf):
     from .plans import linear, search
 
-    d = rows.folds(training_rows(spark, sf).sample(0.2, 7), ["row_id"], 2, 1, "late").persist()
+    d = rows.folds(training_rows(spark, sf), ["row_id"], 2, 1, "late").persist()
     axes = [search.Axis.parse("reg_lambda=0.01..100:log"), search.Axis.parse("standardize=0,1")]
 
     def evaluate(p: dict, k: int) -> float:
