@@ -444,6 +444,19 @@ def test_neighbours(spark):
     assert got[got.query_id == 100].vec_id.tolist() == list(range(2000, 2010))
 
 
+@pytest.mark.parametrize("far", [1e4, 1e9])
+def test_neighbours_with_an_outlier(spark, far):
+    """One vector with huge components, and one huge component in all vectors, take nothing from the others' resolution."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 12))
+    x[:, 0] = 300 + 0.001 * x[:, 0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5001, [far * 300] * 12)]
+    got = nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    want = plain_neighbours(rows)
+    hits = sum(len(set(got[got.query_id == q].vec_id) & {i for _, i in near}) for q, near in want.items())
+    assert hits >= 0.95 * 10 * len(want)
+
+
 def test_neighbours_few(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nn_descent.search(d).collect())

@@ -5,7 +5,9 @@ neighbours of a class, forward and back, meet at that class) and keeps the close
 lists change. The first lists come from several random projections, where each class takes the next classes in
 sorted order within its block. Queries start at classes near them on those projections and walk the graph: each
 step joins the classes not yet opened among the best `beam` to the graph, measures their neighbours, and keeps the best
-`beam`, until nothing new is found. Distances are taken from the original vectors in double precision.
+`beam`, until nothing new is found. Graph and walk measure single-precision components with a scale of each vector's
+own, so no other vector changes a vector's resolution; what the walk found is measured again on the original vectors in
+double precision.
 
 Edge cases: vectors that are null, empty, zero, of another length than most or with null or non-finite components take
 no part; equal vectors are all returned, ties by smaller id; of repeated rows of one id the smallest vector counts;
@@ -36,10 +38,18 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _packed(v, kind: type = np.int8) -> np.ndarray:
-    """Packed vectors as the rows of a matrix."""
-    x = np.frombuffer(b"".join(v), kind).reshape(len(v), -1)
-    return x.astype(np.float32) if kind is np.int8 else x
+def _single(v: np.ndarray) -> bytes:
+    """A vector as its own scale, a power of two, and single-precision components."""
+    scale = 2.0 ** min(1000, max(-1000, int(np.frexp(np.abs(v).max())[1])))
+    return np.float64(scale).tobytes() + (v / scale).astype(np.float32).tobytes()
+
+
+def _packed(v, kind: type = np.float32) -> np.ndarray:
+    """Packed vectors as the rows of a matrix of doubles."""
+    if kind is np.float64:
+        return np.frombuffer(b"".join(v), kind).reshape(len(v), -1)
+    x = np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)
+    return x[:, 2:] * np.ascontiguousarray(x[:, :2]).view(np.float64)
 
 
 def _first_lists(classes: DataFrame, dims: int, k: int, tables: int, seed: int, block: int = 64) -> DataFrame:
@@ -131,7 +141,7 @@ def _closest(pairs: DataFrame, k: int, sample: int = 0, seed: int = 0) -> DataFr
 
 
 def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: int = 12, tables: int = 8, seed: int = 7, settle: float = 0.02) -> DataFrame:
-    """node, other, d2: the neighbour graph. classes: node, x (packed doubles).
+    """node, other, d2: the neighbour graph. classes: node, x (of _single).
 
     sample: new neighbours of each node that a round joins, forward and as many back; the others wait for the next.
     new: 0 for a neighbour that has been joined, 1 for one that hasn't.
@@ -191,12 +201,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = first[0]
 
-    largest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
-
     def pack(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [np.array(v, np.float64) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.round(v * (127 / largest)).astype(np.int8).tobytes() for v in x], pa.binary())], ["id", "whole", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([_single(v) for v in x], pa.binary())], ["id", "whole", "x"])
 
     packed = rows.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).mapInArrow(pack, "id long, whole binary, x binary")
     member = written(packed.join(packed.groupBy("whole").agg(F.min("id").alias("node")), "whole").select("id", "node", "whole", "x"), "member")
@@ -235,7 +243,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
         """The graph's neighbours of (q, via), measured. A step's places to open are few unless the queries are many."""
         few = F.broadcast(open_) if n_asked * beam <= broadcast_rows else open_
         reached = both.join(few, both["node"] == few["via"]).select("q", "other", "x").where("q != other")
-        return reached.join(near_asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.int8), schema)
+        return reached.join(near_asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.float32), schema)
 
     own = walked(asked.select("q", F.col("q").alias("via")))
     found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
