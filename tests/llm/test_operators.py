@@ -535,6 +535,28 @@ def test_transducer_keeps_little():
     assert most < 200
 
 
+def test_bpe_goes_through_the_transducer(tokenizer, monkeypatch):
+    """No word takes the short way by default, and the decoded text comes from ids, a bounded run at a time."""
+    b, most, decoded = bpe.WordBpe(json.load(open(queries.vocabulary()))), [], []
+    fed = bpe.Decoder.feed_all
+
+    def feed_all(self, ids):
+        most.append(len(ids))
+        decoded.extend(ids)
+        return fed(self, ids)
+
+    streamed = []
+    feed = bpe.WordStream.feed
+    monkeypatch.setattr(bpe.WordStream, "feed", lambda self, x: streamed.append(x) or feed(self, x))
+    monkeypatch.setattr(bpe.Decoder, "feed_all", feed_all)
+    text = "short words here " + "the quick brown fox jumps " * 3000 + "abcdefgh" * 3000
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert b.digest(text) == (len(want), sha(" ".join(map(str, want))), sha(tokenizer.decode(want, skip_special_tokens=False)))
+    assert "".join(streamed).startswith("short</w>words</w>here</w>the</w>quick</w>")
+    assert decoded == want and max(most) < 5000
+
+
 def test_decoder_emits_whole_characters():
     b = bpe.WordBpe(json.load(open(queries.vocabulary())))
     d = bpe.Decoder(b, as_text=True)

@@ -4,11 +4,13 @@
 of that prefix's encoding, found among the tokens that end there by asking whether the pair with the token
 before it is stable. Chains of last tokens lead back to the start; once all chains that a later symbol could
 reach pass through one place, the tokens before it can't change, and they leave. A later token starts at most
-`longest` symbols back, so only that many chains are alive, and the lookahead is bounded by the merge list
-(`lookahead`). Memory doesn't grow with the word. `Decoder` turns ids back, byte by byte.
+`longest` symbols back, so only that many chains are alive. Memory doesn't grow with the word. `Decoder` turns ids
+back. Both hashes of a text are fed a bounded run of ids at a time, and the decoded one from ids alone.
+
+Every word goes through the transducer; a worker keeps what short words gave for when they are met again.
 
 Edge cases: a null or empty text has no tokens; texts and words of any length take the same memory besides the
-text itself; rows are independent, so repeated rows repeat; other columns are ignored.
+text itself (and its ids, where they are asked for); rows are independent, so repeated rows repeat; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +44,8 @@ class Merges:
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         size = lambda t: len(t) - len(end) * bool(end and t.endswith(end))
         self.longest = max([1, *(size(a + b) for a, b in self.ranks)])
-        #: Symbols past a place after which its token can't change: a rule can delay it once, by its own length at most.
-        self.lookahead = max(1, len(merges)) * self.longest
-        self.pair_ok = functools.lru_cache(1 << 16)(self._pair_ok)
+        self.pair_ok = functools.lru_cache(1 << 18)(self._pair_ok)
+        self.is_whole = functools.lru_cache(1 << 18)(self._is_whole)
 
     def plain(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, leftmost of equals first."""
@@ -69,9 +70,13 @@ class Merges:
     def _pair_ok(self, left: str, right: str) -> bool:
         return self.plain([*self.symbols(left), *self.symbols(right)]) == [left, right]
 
+    def _is_whole(self, token: str) -> bool:
+        return self.plain(self.symbols(token)) == [token]
+
     @functools.cached_property
-    def whole(self) -> set[str]:
-        return {t for t in self.vocab if self.plain(self.symbols(t)) == [t]}
+    def endings(self) -> set[str]:
+        """What a token can end with: a run of symbols that isn't here ends no token, nor does a longer one."""
+        return {t[i:] for t in self.vocab for i in range(len(t))}
 
 
 class WordStream:
@@ -79,20 +84,26 @@ class WordStream:
 
     def __init__(self, merges: Merges):
         self.m, self.n, self.base = merges, 0, 0
-        self.tail: list[str] = []  # the last symbols, as many as the longest token
+        self.tail: list[str] = []  # the last symbols, as many as the longest token or up to twice that
         self.last: dict[int, tuple[int, str]] = {}  # end of a prefix -> where its last token starts, and that token
 
     def feed(self, symbol: str) -> list[str]:
-        m, end = self.m, self.n + 1
-        self.tail = [*self.tail[-m.longest + 1 :], symbol] if m.longest > 1 else [symbol]
-        text = ""
-        best = None
-        for size, s in enumerate(reversed(self.tail), 1):
-            text, start = s + text, end - size
-            if start < self.base:
+        m, end, last = self.m, self.n + 1, self.last
+        self.tail.append(symbol)
+        if len(self.tail) >= 2 * m.longest:
+            del self.tail[: -m.longest]
+        text, fits = "", []
+        for size, s in enumerate(reversed(self.tail[-min(m.longest, end - self.base) :]), 1):
+            text = s + text
+            if size > 1 and text not in m.endings:
                 break
-            if (text in m.vocab or size == 1) and ((start == self.base and text in m.whole | {symbol} and self._opens(text)) or (start in self.last and m.pair_ok(self.last[start][1], text))):
+            if size == 1 or text in m.vocab:
+                fits.append((end - size, text))
+        best = None
+        for start, text in reversed(fits):  # the longest is likeliest
+            if start == self.base and (text == symbol or m.is_whole(text)) and self._opens(text) or start in last and m.pair_ok(last[start][1], text):
                 best = (start, text)
+                break
         self.last[end], self.n = best, end
         return self._stable() if end % 32 == 0 else []
 
@@ -134,7 +145,7 @@ class WordStream:
 class WordBpe:
     """The tokenizer of a vocabulary file: NFC, white space as one space, lower case, split, bytes, merges with word ends."""
 
-    def __init__(self, spec: dict, long_word: int = 512, cache: int = 400_000):
+    def __init__(self, spec: dict, long_word: int = 0, cache: int = 400_000):
         model = spec["model"]
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""
@@ -152,46 +163,71 @@ class WordBpe:
         text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()  # each character alone: no final sigma
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens of a word, each joined by a space; kept for words met again."""
-        table = byte_symbols()
-        symbols = [table[b] for b in word.encode()]
-        symbols[-1] += self.end
-        if len(symbols) <= self.long_word:
-            tokens = self.m.plain(symbols)
+    def word(self, word: str) -> Iterator[tuple[int, ...]]:
+        """Runs of ids of a word as they are settled; kept for short words met again. Words of at most long_word bytes are merged at once."""
+        table, get = byte_symbols(), self.m.vocab.get
+        raw = word.encode()
+        last = table[raw[-1]] + self.end
+        if len(raw) <= self.long_word:
+            runs = iter([self.m.plain([*(table[b] for b in raw[:-1]), last])])
         else:
-            stream, tokens = WordStream(self.m), []
-            for s in symbols:
-                tokens += stream.feed(s)
-            tokens += stream.close()
-        ids = [self.m.vocab[t] for t in tokens if t in self.m.vocab]
-        out = len(ids), " ".join(map(str, ids)), " ".join(t for t in tokens if t in self.m.vocab)
-        if len(symbols) <= 64:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[word] = out
-        return out
-
-    def stream(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """The encoding, a word at a time."""
+            runs = self._streamed(raw, last)
+        if len(raw) > 64:
+            yield from (tuple(i for t in run if (i := get(t)) is not None) for run in runs)
+            return
+        out = tuple(i for run in runs for t in run if (i := get(t)) is not None)
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        self.seen[word] = out
+        yield out
+
+    def _streamed(self, raw: bytes, last: str) -> Iterator[list[str]]:
+        table, stream = byte_symbols(), WordStream(self.m)
+        for at in range(len(raw) - 1):
+            if run := stream.feed(table[raw[at]]):
+                yield run
+        yield stream.feed(last)
+        yield stream.close()
+
+    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+        """The encoding, a short word or a run of a long one at a time."""
+        get = self.seen.get
         for part in self.marks.split(text) if self.marks and "<" in text else (text,):
             if part in self.special:
-                yield 1, str(self.special[part]), part
+                yield (self.special[part],)
             elif part:
-                get = self.seen.get
-                for w in self.split.findall(self.normal(part)):
-                    yield get(w) or self.word(w)
+                for m in self.split.finditer(self.normal(part)):
+                    w = m.group()
+                    if (ids := get(w)) is not None:
+                        yield ids
+                    elif w:
+                        yield from self.word(w)
+
+    def runs(self, text: str, held: int = 4096) -> Iterator[list[int]]:
+        """The ids, about `held` at a time."""
+        now: list[int] = []
+        for ids in self.stream(text):
+            now += ids
+            if len(now) >= held:
+                yield now
+                now = []
+        if now:
+            yield now
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.stream(text) for i in ids.split()]
+        return [i for ids in self.stream(text) for i in ids]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids and of the decoded text."""
-        found = list(self.stream(text))
-        ids = " ".join([x[1] for x in found if x[0]])
-        decoder = Decoder(self)
-        decoded = "".join([*decoder.feed_tokens(x[2] for x in found if x[0]), decoder.close()])
-        return sum(x[0] for x in found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def digest(self, text: str, kept: list[int] | None = None) -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of the ids and of the text decoded from them. kept: gets the ids."""
+        n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self)
+        for run in self.runs(text):
+            ids.update(((" " if n else "") + " ".join(map(str, run))).encode())
+            decoded.update(decoder.feed_all(run).encode())
+            n += len(run)
+            if kept is not None:
+                kept += run
+        decoded.update(decoder.close().encode())
+        return n, ids.hexdigest(), decoded.hexdigest()
 
 
 class Decoder:
@@ -202,18 +238,19 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.bytes = {s: b for b, s in enumerate(byte_symbols())}
 
-    def feed_tokens(self, runs) -> Iterator[str]:
-        """runs: tokens joined by a space, as the encoder emits them."""
-        for run in runs:
-            if not self.as_text:
-                yield run if self.first else self.bpe.joiner + run
-                self.first = False
-                continue
-            for token in run.split(" "):
-                yield self._text(token)
+    def feed_all(self, ids: list[int]) -> str:
+        """What a run of ids adds; unknown ids add nothing."""
+        names = self.bpe.names
+        tokens = [names[i] for i in ids if i in names]
+        if self.as_text:
+            return "".join(map(self._text, tokens))
+        if not tokens:
+            return ""
+        before, self.first = "" if self.first else self.bpe.joiner, False
+        return before + self.bpe.joiner.join(tokens)
 
     def feed(self, i: int) -> str:
-        return "".join(self.feed_tokens([self.bpe.names[i]])) if i in self.bpe.names else ""
+        return self.feed_all([i])
 
     def _text(self, token: str) -> str:
         if token in self.bpe.special:
@@ -250,11 +287,12 @@ def encode_decode(docs, vocabulary: str, id_col: str = "doc_id", text_col: str =
         bpe = _made(spec.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            cols = [bpe.digest(t) for t in texts]
+            kept = [[] for _ in texts] if keep_ids else [None] * len(texts)
+            cols = [bpe.digest(t, k) for t, k in zip(texts, kept)]
             arrays = [b.column(0), pa.array([c[0] for c in cols], pa.int64()), pa.array([c[1] for c in cols], pa.string()), pa.array([c[2] for c in cols], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                arrays.append(pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32())))
+                arrays.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
