@@ -332,6 +332,14 @@ def test_lm(docs, vocabulary, hot):
         assert got[i][1] == (None if s is None else pytest.approx(s, abs=2e-6))
 
 
+@pytest.mark.parametrize("listed", [0, 40])
+def test_lm_counts_every_word(docs, listed):
+    """However few words are listed, every word and pair has its own counts."""
+    got = by_id(lm_score.lm_scores(docs, listed=listed), "n_words", "score")
+    for i, (n, s) in enumerate(plain_lm(TEXTS, 1 << 40)):
+        assert got[i] == (n, None if s is None else pytest.approx(s, abs=2e-6))
+
+
 def test_lm_odd_rows(docs):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
     assert lm_score.lm_scores(docs.union(docs)).count() == 2 * len(TEXTS)

@@ -1,12 +1,18 @@
 """Stupid-backoff scores from count tables partitioned by hash.
 
-1. Words are counted over all documents. Those that occur c times or more get a number, where c is the least power
-   of two that at most `vocabulary` words reach; every other word is the unknown word 0, as in any closed-vocabulary
-   model. So a pair of words is one exact 64-bit number.
+1. Words are counted over all documents. The most frequent ones (those that occur c times or more, where c is the least
+   power of two that at most `listed` words reach) get a number and are broadcast with their counts. Every other word
+   goes by a 63-bit hash, and its count stays in a table partitioned by that hash. `listed` only says where a count is
+   kept: each word and each pair has its own counts at every size of the input.
 2. Pairs of two very frequent words (each at least 1/`hot` of all words, so at most hot*hot pairs) are counted first
    and broadcast: no task gathers the rows of a pair that every document has.
 3. All other pairs of every document go to the partition of their hash, once, packed in a few bytes each. There they
    are counted, the count table is joined to the pairs, and their log scores are summed by document before they leave.
+4. A score is linear in the logarithms of counts. Where a pair needs the count of a word that isn't listed, the document,
+   the word's hash and how often it is added or taken away go to the partition of that word and are joined to its count there.
+
+With `vocabulary` the model is closed instead: the words of the list are all there are, at most so many, and every
+other word is the unknown word 0.
 
 A pair that at least `least_docs` documents have scores count(pair)/count(first); else alpha*count(second)/words. The first
 word of a text scores count(word)/words. The result is the mean log10 per word.
@@ -17,6 +23,7 @@ with equal counts are all in the vocabulary or all out; an empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,11 +37,22 @@ from pyspark.sql import functions as F
 from .common import by_key, dropped, small_batches, whole_text, written
 
 
+def hashed(word: bytes) -> int:
+    """A negative number for a word that isn't listed."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % 2**63 - 2**63
+
+
 class Numbers(dict):
-    """word -> number; 0 for every other word."""
+    """word -> number; for every other word 0 where the vocabulary is closed, else its hash."""
+
+    closed = True
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        return 0 if self.closed else hashed(word)
+
+
+#: Kinds of packed rows: pairs of listed words or sums, pairs or words that wait for a count, documents, counts.
+PAIRS, RARE, ABOUT, COUNTS = range(4)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,6 +90,17 @@ def _pack(*columns: np.ndarray) -> bytes:
     return zstandard.compress(head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+def _place(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+
+
 def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
     n, at, out = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
@@ -82,7 +111,7 @@ def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, least_docs: int = 2, hot: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: int | None = None, alpha: float = 0.4, least_docs: int = 2, hot: int = 200, listed: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -90,20 +119,27 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     counted = written(word_counts(texts), "words")
     sizes = counted.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     total = sum(r.n for r in sizes)
-    power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= vocabulary)
+    power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= (listed if vocabulary is None else vocabulary))
     top = sorted(counted.where(F.col("n") >= F.lit(2**power)).collect(), key=lambda r: (-r.n, r.word)) if power < 63 else []
-    dropped(spark, counted)
-    counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.int64)
+    closed = vocabulary is not None or power == 0  # at power 0 all words are listed
+    if closed:
+        dropped(spark, counted)
+    counts = np.array([total - sum(r.n for r in top) if closed else 0, *(r.n for r in top)], np.int64)
     number = Numbers({r.word.encode(): i + 1 for i, r in enumerate(top)})
     n_hot = int((counts[1:] * hot >= total).sum()) if total else 0  # numbers 1..n_hot, as numbers go by frequency
     hot_unk = bool(total) and counts[0] * hot >= total
-    shared = spark.sparkContext.broadcast((number, counts, total, n_hot, hot_unk))
+    shared = spark.sparkContext.broadcast((dict(number), counts, total, n_hot, hot_unk))
+
+    def numbers() -> Numbers:
+        out = Numbers(shared.value[0])
+        out.closed = closed
+        return out
 
     def is_hot(x: np.ndarray) -> np.ndarray:
         return (x <= n_hot) & ((x > 0) | hot_unk)
 
     def count_hot(batches) -> Iterator[pa.RecordBatch]:
-        number = shared.value[0]
+        number = Numbers(shared.value[0])  # words that aren't listed are never hot
         sums: dict[int, list[int]] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -121,17 +157,24 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        number, counts, total, _, _ = shared.value
+        number, (_, counts, total, _, _) = numbers(), shared.value
         hots = hot_pairs.value
         for at, b in enumerate(batches):
             rows, docs_, texts_ = (c.to_pylist() for c in b.columns)
             if not rows:
                 continue
             owner, pairs, times, length, base = [], [], [], [], []
+            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first, second, document of pairs with a word that isn't listed
             for k, t in enumerate(texts_):
                 i = _ids(t, number)
-                s = math.log10(counts[i[0]] / total) if len(i) else 0.0
-                p, n = np.unique((i[:-1] << 32) | i[1:], return_counts=True)
+                s = math.log10(counts[i[0]] / total) if len(i) and i[0] >= 0 else 0.0
+                both = (i[:-1] >= 0) & (i[1:] >= 0)
+                if not both.all() or len(i) and i[0] < 0:
+                    a, z = i[:-1][~both], i[1:][~both]
+                    if i[0] < 0:  # the first word stands after no word, 0
+                        a, z = np.append(a, 0), np.append(z, i[0])
+                    rare.append((a, z, np.full(len(a), k, np.uint32)))
+                p, n = np.unique(((i[:-1] << 32) | i[1:])[both], return_counts=True)
                 here = is_hot(p >> 32) & is_hot(p & 0xFFFFFFFF)
                 for x, c in zip(p[here].tolist(), n[here].tolist()):
                     f, d = hots[x]
@@ -142,19 +185,33 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
                 length.append(len(i))
                 base.append(s)
             own, p, n = np.concatenate(owner), np.concatenate(pairs), np.concatenate(times).astype(np.uint32)
-            where = ((p * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+            where = _place(p, parts)
             order = np.lexsort((own, p, where))
             own, p, n, where = own[order], p[order], n[order], where[order]
             ids, starts = np.unique(where, return_index=True)
             ends = np.append(starts[1:], len(where))
             packed = [_pack((p[a:z] >> 32).astype(np.uint32), (p[a:z] & 0xFFFFFFFF).astype(np.uint32), own[a:z], n[a:z]) for a, z in zip(starts, ends)]
+            kinds = [PAIRS] * len(ids)
+            ids = ids.tolist()
+            if rare:
+                a, z, own = (np.concatenate(c) for c in zip(*rare))
+                where = _place(a * 31 + z, parts)
+                order = np.lexsort((own, z, a, where))
+                a, z, own, where = a[order], z[order], own[order], where[order]
+                at_ = _runs(a, z, own)  # where goes with a and z
+                n = np.diff(np.append(at_, len(a))).astype(np.uint32)
+                a, z, own, where = a[at_], z[at_], own[at_], where[at_]
+                found, starts = np.unique(where, return_index=True)
+                packed += [_pack(a[o:e], z[o:e], own[o:e], n[o:e]) for o, e in zip(starts, np.append(starts[1:], len(where)))]
+                ids += found.tolist()
+                kinds += [RARE] * len(found)
             known = np.array([d is not None for d in docs_], np.uint8)
             meta = _pack(np.array([d or 0 for d in docs_], np.int64), known, np.array(length, np.int64), np.array(base, np.float64))
             spread = (rows[0] + at) % parts
-            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), spread], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*[False] * len(ids), True]), pa.array([*packed, meta], pa.binary())], ["part", "row", "about", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([*ids, spread], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*kinds, ABOUT], pa.int32()), pa.array([*packed, meta], pa.binary())], ["part", "row", "kind", "data"])
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    dealt = numbered.mapInArrow(deal, "part int, row long, about boolean, data binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    dealt = numbered.mapInArrow(deal, "part int, row long, kind int, data binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
 
     def home(row: np.ndarray) -> np.ndarray:
         """Where the sums of a document meet: neighbours in a file share it."""
@@ -163,55 +220,111 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
     def joined(batches, held: int = 2_000_000) -> Iterator[pa.RecordBatch]:
         """Part by part: the count table of its pairs, joined to the pairs of each document, summed by document."""
         _, counts, total, _, _ = shared.value
-        names = ["home", "about", "data"]
         with np.errstate(divide="ignore"):
             first = np.log10(counts.astype(float))
             backed = np.log10(alpha * counts / max(total, 1))
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def leave() -> Iterator[pa.RecordBatch]:
-            if kept:
-                who, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([x for _, x in kept]), len(who))
-                where = home(who)
-                order = np.argsort(where, kind="stable")
-                ids, starts = np.unique(where[order], return_index=True)
-                data = [_pack(who[o], sums[o]) for o in np.split(order, starts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([False] * len(ids)), pa.array(data, pa.binary())], names)
-                kept.clear()
-
         def part(_, rows) -> Iterator[pa.RecordBatch]:
-            own, pairs, times = [], [], []
-            for row, about, data in rows:
-                if about:
+            own, pairs, times, rare = [], [], [], []
+            for row, kind, data in rows:
+                if kind == ABOUT:
                     columns = _unpack(data, np.int64, np.uint8, np.int64, np.float64)
                     at = row + np.arange(len(columns[0]))
                     where = home(at)
                     for h in np.unique(where):
-                        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([True]), pa.array([_pack(at[where == h], *(c[where == h] for c in columns))], pa.binary())], names)
-                else:
+                        yield sent([h], ABOUT, [_pack(at[where == h], *(c[where == h] for c in columns))])
+                elif kind == PAIRS:
                     i1, i2, o, n = _unpack(data, np.uint32, np.uint32, np.uint32, np.uint32)
                     own.append(row + o.astype(np.int64))
                     pairs.append((i1.astype(np.int64) << 32) | i2)
                     times.append(n.astype(np.int64))
+                else:
+                    a, z, o, n = _unpack(data, np.int64, np.int64, np.uint32, np.uint32)
+                    rare.append((a, z, row + o.astype(np.int64), n.astype(np.int64)))
             if own:
                 o, p, n = np.concatenate(own), np.concatenate(pairs), np.concatenate(times)
                 table, at, docs_ = np.unique(p, return_inverse=True, return_counts=True)
                 f = np.bincount(at, n, len(table))
                 log = np.where(docs_ >= least_docs, np.log10(f) - first[table >> 32], backed[table & 0xFFFFFFFF])
                 kept.append((o, n * log[at]))
+            if rare:
+                a, z, o, n = (np.concatenate(c) for c in zip(*rare))
+                order = np.lexsort((z, a))
+                a, z, o, n = a[order], z[order], o[order], n[order]
+                at = _runs(a, z)
+                size = np.diff(np.append(at, len(a)))
+                met = np.repeat((size >= least_docs) & (a[at] != 0), size)
+                f = np.repeat(np.add.reduceat(n, at), size)
+                listed_a, listed_z = first[np.maximum(a, 0)], first[np.maximum(z, 0)]
+                with np.errstate(invalid="ignore"):
+                    log = np.where(met, np.log10(f) - np.where(a > 0, listed_a, 0.0), np.where(a == 0, 0.0, math.log10(alpha)) - math.log10(total) + np.where(z > 0, listed_z, 0.0))
+                kept.append((o, n * log))
+                # What still lacks the count of a word that isn't listed.
+                less, more = met & (a < 0), ~met & (z < 0)
+                word, who, times_ = np.append(a[less], z[more]), np.append(o[less], o[more]), np.append(-n[less], n[more])
+                if len(word):
+                    where = _place(word, parts)
+                    order = np.lexsort((who, word, where))
+                    ids, starts = np.unique(where[order], return_index=True)
+                    yield sent(ids, RARE, [_pack(word[x], who[x], times_[x].astype(np.int32)) for x in np.split(order, starts[1:])])
+            if sum(len(x) for x, _ in kept) >= held:
+                yield from summed_up(kept)
+
+        yield from by_key(batches, 1, part)
+        yield from summed_up(kept)
+
+    def sent(where, kind: int, data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(where).astype(np.int32)), pa.array([kind] * len(data), pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
+
+    def summed_up(kept: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The sums of documents, to their homes."""
+        if kept:
+            who, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([x for _, x in kept]), len(who))
+            where = home(who)
+            order = np.argsort(where, kind="stable")
+            ids, starts = np.unique(where[order], return_index=True)
+            yield sent(ids, PAIRS, [_pack(who[o], sums[o]) for o in np.split(order, starts[1:])])
+            kept.clear()
+
+    def counted_rare(batches) -> Iterator[pa.RecordBatch]:
+        """The counts of words that aren't listed, to the places of their hashes."""
+        for b in batches:
+            if b.num_rows:
+                word = np.fromiter((hashed(w.encode()) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+                n, where = b.column(1).to_numpy(), _place(word, parts)
+                order = np.lexsort((word, where))
+                ids, starts = np.unique(where[order], return_index=True)
+                yield sent(ids, COUNTS, [_pack(word[x], n[x]) for x in np.split(order, starts[1:])])
+
+    def looked_up(batches, held: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        """Part by part: the counts of words joined to the documents that wait for them. Other rows pass."""
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def part(key, rows) -> Iterator[pa.RecordBatch]:
+            for kind in (ABOUT, PAIRS):
+                if data := [d for k, d in rows if k == kind]:
+                    yield sent([key[0]] * len(data), kind, data)
+            waiting = [_unpack(d, np.int64, np.int64, np.int32) for k, d in rows if k == RARE]
+            if waiting:
+                word, n = (np.concatenate(c) for c in zip(*(_unpack(d, np.int64, np.int64) for k, d in rows if k == COUNTS)))
+                table, at = np.unique(word, return_inverse=True)
+                log = np.log10(np.bincount(at, n, len(table)))  # equal hashes count as one
+                word, who, times = (np.concatenate(c) for c in zip(*waiting))
+                kept.append((who, times * log[np.searchsorted(table, word)]))
                 if sum(len(x) for x, _ in kept) >= held:
-                    yield from leave()
+                    yield from summed_up(kept)
 
         yield from by_key(batches, 1, part)
-        yield from leave()
+        yield from summed_up(kept)
 
     def summed(batches) -> Iterator[pa.RecordBatch]:
         """Home by home: each document with the sum of what its pairs gave."""
 
         def run(_, rows) -> Iterator[pa.RecordBatch]:
-            abouts = [_unpack(d, np.int64, np.int64, np.uint8, np.int64, np.float64) for a, d in rows if a]
-            sums = [_unpack(d, np.int64, np.float64) for a, d in rows if not a]
+            abouts = [_unpack(d, np.int64, np.int64, np.uint8, np.int64, np.float64) for k, d in rows if k == ABOUT]
+            sums = [_unpack(d, np.int64, np.float64) for k, d in rows if k == PAIRS]
             row, doc, known, length, s = (np.concatenate(x) for x in zip(*abouts))
             order = np.argsort(row)
             s = s[order].copy()
@@ -222,6 +335,10 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, alpha: float = 0.4, le
 
         yield from by_key(batches, 1, run)
 
-    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, "home int, about boolean, data binary")
-    out = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").sortWithinPartitions("home").mapInArrow(summed, "doc_id long, n_words long, s double")
+    n_parts, schema = int(spark.conf.get("spark.sql.shuffle.partitions")), "part int, kind int, data binary"
+    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, schema)
+    if not closed:
+        waited = sums.unionByName(counted.where(F.col("n") < F.lit(2**power)).mapInArrow(counted_rare, schema))
+        sums = waited.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(looked_up, schema)
+    out = sums.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(summed, "doc_id long, n_words long, s double")
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
