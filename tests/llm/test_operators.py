@@ -525,11 +525,9 @@ def test_bpe(docs, tokenizer):
 ODD = ["it's I'LL they're", "<|startoftext|>x <|endoftext|><|ENDOFTEXT|>", "İstanbul ΑΣ ΣΑΣ ǅ", "é \x1c\x1d ​ x\x85y　z", "abcdefgh" * 400, "的" * 500 + "\U0001f389" * 300, "".join(random.Random(1).choices("abcdef", k=3000))]
 
 
-@pytest.mark.parametrize("long_word", [0, 512])
-def test_bpe_streaming(tokenizer, long_word):
-    """Words through the transducer alone, and with the short way for short words."""
-    b = bpe.WordBpe(json.load(open(queries.vocabulary())), long_word=long_word)
-    for t in [*ODD, *(x for x in TEXTS if x and len(x) < 6000)]:
+def test_bpe_streaming(tokenizer):
+    b = bpe.WordBpe(json.load(open(queries.vocabulary())))
+    for t in [*ODD, *(x for x in TEXTS if x and len(x) < 6000), "ab" * 20_000]:
         assert b.encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
@@ -537,14 +535,35 @@ def test_transducer_keeps_little():
     b = bpe.WordBpe(json.load(open(queries.vocabulary())))
     s, most, out = bpe.WordStream(b.m), 0, []
     for c in "theinternationalisationof" * 400:
-        out += s.feed(c)
-        most = max(most, len(s.last))
+        out += s.feed([c])
+        most = max(most, len(s.held))
     assert "".join([*out, *s.close()]) == "theinternationalisationof" * 400
-    assert most < 200
+    assert most <= b.m.lookahead + 256 < 2000
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_lookahead_is_sufficient(seed):
+    """Over random merge lists, what leaves early is what merging the whole word gives."""
+    r, tokens, merges = random.Random(seed), list("ab"), []
+    for _ in range(r.randint(1, 14)):
+        x, y = r.choice(tokens), r.choice(tokens)
+        if x + y not in tokens:
+            merges.append((x, y))
+            tokens.append(x + y)
+    m = bpe.Merges({t: i for i, t in enumerate(tokens)}, merges)
+    for _ in range(50):
+        word, out, s = [r.choice("ab") for _ in range(r.randint(1, 60))], [], bpe.WordStream(m, chunk=1)
+        for c in word:
+            out += s.feed([c])
+        assert [*out, *s.close()] == m._short(word) == m._long(word)
+
+
+def test_lookahead_of_an_unordered_list():
+    assert bpe.Merges({}, [("ab", "c"), ("a", "b")]).lookahead is None
 
 
 def test_bpe_goes_through_the_transducer(tokenizer, monkeypatch):
-    """No word takes the short way by default, and the decoded text comes from ids, a bounded run at a time."""
+    """Every word is fed to it, and the decoded text comes from ids, a bounded run at a time."""
     b, most, decoded = bpe.WordBpe(json.load(open(queries.vocabulary()))), [], []
     fed = bpe.Decoder.feed_all
 
@@ -555,7 +574,7 @@ def test_bpe_goes_through_the_transducer(tokenizer, monkeypatch):
 
     streamed = []
     feed = bpe.WordStream.feed
-    monkeypatch.setattr(bpe.WordStream, "feed", lambda self, x: streamed.append(x) or feed(self, x))
+    monkeypatch.setattr(bpe.WordStream, "feed", lambda self, x: streamed.extend(x) or feed(self, x))
     monkeypatch.setattr(bpe.Decoder, "feed_all", feed_all)
     text = "short words here " + "the quick brown fox jumps " * 3000 + "abcdefgh" * 3000
     want = tokenizer.encode(text, add_special_tokens=False).ids

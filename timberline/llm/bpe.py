@@ -1,16 +1,21 @@
 """BPE encoding and decoding as streaming transducers.
 
-`Merges` holds a merge list. A word's symbols go through `WordStream`: for every prefix it keeps the last token
-of that prefix's encoding, found among the tokens that end there by asking whether the pair with the token
-before it is stable. Chains of last tokens lead back to the start; once all chains that a later symbol could
-reach pass through one place, the tokens before it can't change, and they leave. A later token starts at most
-`longest` symbols back, so only that many chains are alive. Memory doesn't grow with the word. `Decoder` turns ids
-back. Both hashes of a text are fed a bounded run of ids at a time, and the decoded one from ids alone.
+`Merges` holds a merge list and computes its lookahead: how many symbols before the end of what has been read a token
+must end so that nothing read later can change it. Two texts that begin alike are merged alike up to some place. A
+merge of (a, b) moves that place back by the length of a, and only if the token before the place is a and b starts at
+the place in one of the two texts; b then starts with what moved the place before. So the place moves back by no more
+than the longest such chain of merges of rising rank, which one pass over the list in falling order finds. `WordStream`
+takes the symbols of a word, holds at most `window` of them, merges what it holds, and emits the tokens that end before
+the lookahead. No merge crosses the end of a stable token, so the rest goes on alone, and memory doesn't grow with the
+word. `Decoder` turns ids back. Both hashes of a text are fed a bounded run of ids at a time, and the decoded one from
+ids alone.
 
 Every word goes through the transducer; a worker keeps what short words gave for when they are met again.
 
 Edge cases: a null or empty text has no tokens; texts and words of any length take the same memory besides the
-text itself (and its ids, where they are asked for); rows are independent, so repeated rows repeat; other columns are ignored.
+text itself (and its ids, where they are asked for); a list in which a token is an operand before it is made has no
+bounded lookahead here, and its words leave at their ends; rows are independent, so repeated rows repeat; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -42,13 +48,34 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.vocab, self.end = vocab, end
         self.ranks = {pair: i for i, pair in enumerate(merges)}
-        size = lambda t: len(t) - len(end) * bool(end and t.endswith(end))
-        self.longest = max([1, *(size(a + b) for a, b in self.ranks)])
-        self.pair_ok = functools.lru_cache(1 << 18)(self._pair_ok)
-        self.is_whole = functools.lru_cache(1 << 18)(self._is_whole)
 
-    def plain(self, symbols: list[str]) -> list[str]:
+    def size(self, token: str) -> int:
+        return len(token) - len(self.end) * bool(self.end and token != self.end and token.endswith(self.end))
+
+    @functools.cached_property
+    def lookahead(self) -> int | None:
+        """The longest chain of merges, each of a higher rank than the one before, in which the right side of the next
+        begins with the left side of the last: the sum of the left sides' lengths. None: a token is an operand before
+        it is made."""
+        made = {a + b: i for (a, b), i in self.ranks.items()}  # the last merge that makes it
+        chain: dict[str, int] = {}  # beginning of a right side -> the longest chain from a merge of such a right side on
+        longest = 0
+        for (a, b), i in sorted(self.ranks.items(), key=lambda x: -x[1]):
+            if made.get(a, -1) >= i or made.get(b, -1) >= i:
+                return None
+            here = self.size(a) + chain.get(a, 0)
+            longest = max(longest, here)
+            for n in range(1, self.size(b) + 1):
+                if chain.get(b[:n], 0) < here:
+                    chain[b[:n]] = here
+            chain[b] = max(here, chain.get(b, 0))
+        return longest
+
+    def merged(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, leftmost of equals first."""
+        return self._short(symbols) if len(symbols) <= 48 else self._long(symbols)
+
+    def _short(self, symbols: list[str]) -> list[str]:
         get, none, s = self.ranks.get, 1 << 60, list(symbols)
         r = [get(p, none) for p in zip(s, s[1:])]
         while r and (k := min(r)) < none:
@@ -61,91 +88,58 @@ class Merges:
                 r[i - 1] = get((s[i - 1], s[i]), none)
         return s
 
-    def symbols(self, token: str) -> list[str]:
-        if self.end and token.endswith(self.end) and len(token) > len(self.end):
-            head = token[: -len(self.end)]
-            return [*head[:-1], head[-1] + self.end]
-        return list(token)
-
-    def _pair_ok(self, left: str, right: str) -> bool:
-        return self.plain([*self.symbols(left), *self.symbols(right)]) == [left, right]
-
-    def _is_whole(self, token: str) -> bool:
-        return self.plain(self.symbols(token)) == [token]
-
-    @functools.cached_property
-    def endings(self) -> set[str]:
-        """What a token can end with: a run of symbols that isn't here ends no token, nor does a longer one."""
-        return {t[i:] for t in self.vocab for i in range(len(t))}
+    def _long(self, symbols: list[str]) -> list[str]:
+        """The same by a heap of pairs over a linked list."""
+        get, s, n = self.ranks.get, list(symbols), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(k, i, s[i], s[i + 1]) for i in range(n - 1) if (k := get((s[i], s[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:
+                continue
+            s[i], s[j] = a + b, None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (k := get((s[x], s[y]))) is not None:
+                    heapq.heappush(heap, (k, x, s[x], s[y]))
+        return [t for t in s if t is not None]
 
 
 class WordStream:
     """Symbols of one word in, stable tokens out."""
 
-    def __init__(self, merges: Merges):
-        self.m, self.n, self.base = merges, 0, 0
-        self.tail: list[str] = []  # the last symbols, as many as the longest token or up to twice that
-        self.last: dict[int, tuple[int, str]] = {}  # end of a prefix -> where its last token starts, and that token
-
-    def feed(self, symbol: str) -> list[str]:
-        m, end, last = self.m, self.n + 1, self.last
-        self.tail.append(symbol)
-        if len(self.tail) >= 2 * m.longest:
-            del self.tail[: -m.longest]
-        text, fits = "", []
-        for size, s in enumerate(reversed(self.tail[-min(m.longest, end - self.base) :]), 1):
-            text = s + text
-            if size > 1 and text not in m.endings:
-                break
-            if size == 1 or text in m.vocab:
-                fits.append((end - size, text))
-        best = None
-        for start, text in reversed(fits):  # the longest is likeliest
-            if start == self.base and (text == symbol or m.is_whole(text)) and self._opens(text) or start in last and m.pair_ok(last[start][1], text):
-                best = (start, text)
+    def __init__(self, merges: Merges, chunk: int = 256):
+        self.m, self.held = merges, []
+        self.window = None if merges.lookahead is None else merges.lookahead + chunk
+
+    def feed(self, symbols: list[str]) -> list[str]:
+        """symbols: the next ones of the word, as many as come at a time."""
+        self.held += symbols
+        return [] if self.window is None or len(self.held) < self.window else self._settled()
+
+    def _settled(self) -> list[str]:
+        stable, out, at = len(self.held) - self.m.lookahead, [], 0
+        for token in self.m.merged(self.held):
+            if at + self.m.size(token) > stable:
                 break
-        self.last[end], self.n = best, end
-        return self._stable() if end % 32 == 0 else []
-
-    def _opens(self, text: str) -> bool:
-        """A token at the base stands after the token that has left, which it must not change."""
-        return self.before is None or self.m.pair_ok(self.before, text)
-
-    before: str | None = None
-
-    def _stable(self) -> list[str]:
-        alive = {e for e in range(max(self.base, self.n - self.m.longest) + 1, self.n + 1) if e in self.last}
-        if self.n - self.m.longest <= self.base:
-            return []
-        while len(alive) > 1:  # step the furthest chain back until all meet
-            top = max(alive)
-            alive.remove(top)
-            alive.add(self.last[top][0])
-            if min(alive) <= self.base:
-                return []
-        meet = alive.pop()
-        return self._leave(meet)
-
-    def _leave(self, place: int) -> list[str]:
-        out, at = [], place
-        while at > self.base:
-            start, token = self.last[at]
             out.append(token)
-            at = start
-        for e in [e for e in self.last if e <= place]:
-            del self.last[e]
-        if out:
-            self.before, self.base = out[0], place
-        return out[::-1]
+            at += self.m.size(token)
+        del self.held[:at]
+        return out
 
     def close(self) -> list[str]:
-        return self._leave(self.n)
+        out, self.held = self.m.merged(self.held), []
+        return out
 
 
 class WordBpe:
     """The tokenizer of a vocabulary file: NFC, white space as one space, lower case, split, bytes, merges with word ends."""
 
-    def __init__(self, spec: dict, long_word: int = 0, cache: int = 400_000):
+    def __init__(self, spec: dict, cache: int = 400_000):
         model = spec["model"]
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""
@@ -157,37 +151,29 @@ class WordBpe:
         self.split = regex.compile(pattern.replace(r"\s", SPACE))
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.long_word, self.most, self.seen = long_word, cache, {}
+        self.most, self.seen = cache, {}
 
     def normal(self, text: str) -> str:
         text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()  # each character alone: no final sigma
 
-    def word(self, word: str) -> Iterator[tuple[int, ...]]:
-        """Runs of ids of a word as they are settled; kept for short words met again. Words of at most long_word bytes are merged at once."""
-        table, get = byte_symbols(), self.m.vocab.get
-        raw = word.encode()
-        last = table[raw[-1]] + self.end
-        if len(raw) <= self.long_word:
-            runs = iter([self.m.plain([*(table[b] for b in raw[:-1]), last])])
-        else:
-            runs = self._streamed(raw, last)
-        if len(raw) > 64:
-            yield from (tuple(i for t in run if (i := get(t)) is not None) for run in runs)
-            return
-        out = tuple(i for run in runs for t in run if (i := get(t)) is not None)
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen[word] = out
-        yield out
-
-    def _streamed(self, raw: bytes, last: str) -> Iterator[list[str]]:
-        table, stream = byte_symbols(), WordStream(self.m)
-        for at in range(len(raw) - 1):
-            if run := stream.feed(table[raw[at]]):
-                yield run
-        yield stream.feed(last)
-        yield stream.close()
+    def word(self, word: str, piece: int = 1024) -> Iterator[tuple[int, ...]]:
+        """Runs of ids of a word as they are settled; kept for short words met again."""
+        table, get, raw, stream = byte_symbols(), self.m.vocab.get, word.encode(), WordStream(self.m)
+        short, out = len(raw) <= 64, ()
+        for at in range(0, len(raw), piece):
+            symbols = [table[x] for x in raw[at : at + piece]]
+            if last := at + piece >= len(raw):
+                symbols[-1] += self.end
+            tokens = stream.feed(symbols) + (stream.close() if last else [])
+            out = tuple(i for t in tokens if (i := get(t)) is not None)
+            if not short:
+                yield out
+        if short:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            self.seen[word] = out
+            yield out
 
     def stream(self, text: str) -> Iterator[tuple[int, ...]]:
         """The encoding, a short word or a run of a long one at a time."""
