@@ -127,6 +127,13 @@ def test_greedy_keeps_zero_alone():
         assert len(edges) <= budget
 
 
+@pytest.mark.parametrize(("values", "cuts"), [(range(-50, 51), 19), ([*range(-50, 0), *range(1, 51)], 18), (range(1, 101), 18), (range(-100, 0), 18)])
+def test_greedy_budget(values, cuts):
+    """Of 20 bins one is zero's, whether or not there are zeros; the cuts around it come with its bin."""
+    edges = binning.edges_of(*runs(list(values)), binning.BinParams("greedy", 1, 21))
+    assert len(edges) == cuts
+
+
 def test_edges_are_inclusive(spark):
     d = spark.createDataFrame([(1.0,), (1.5,), (2.0,), (None,)], "v double")
     got = [r.b for r in d.select(binning.bin_of(F.col("v"), [1.5]).alias("b")).collect()]
