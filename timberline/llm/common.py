@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +30,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch holds, so that a few very long texts don't fill a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bounds what one Arrow batch holds, in rows and bytes, so that long texts don't fill a Python worker. It stays set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the cluster names none (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "timberline-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,3 +76,38 @@ def by_key(batches, width: int, run) -> Iterator:
             rows.append(row[width:])
     if rows:
         yield from run(now, rows)
+
+
+def whole_runs(batches, width: int, rows: int = 4096, size: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys (the first `width` columns, numbers) of sorted batches, and where the runs begin.
+
+    Short runs come together, up to about `rows` rows or `size` bytes; a longer run comes by itself.
+    """
+    held: list[pa.RecordBatch] = []
+    n, most = 0, 1.0
+
+    def whole(last: bool):
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = [t.column(i).to_numpy() for i in range(width)]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        return (t, starts, t.num_rows) if last else (t, starts, int(starts[-1]))
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n = max(sum(x.num_rows for x in held) / rows, sum(x.nbytes for x in held) / size)
+            if n >= most:
+                t, starts, cut = whole(False)
+                if cut:
+                    yield t.slice(0, cut).combine_chunks(), starts[:-1]
+                held, most = t.slice(cut).combine_chunks().to_batches(), 1.0 if cut else 2 * n
+    if held:
+        t, starts, _ = whole(True)
+        yield t, starts
+
+
+def binary_rows(column) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix of bytes."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(len(values), -1)

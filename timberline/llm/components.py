@@ -12,8 +12,8 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: u, v, of any ordered type. Returns node, root: the smallest node reachable, for each node with a link.
+def components(edges: DataFrame, rounds: int = 60, roots: bool = True) -> DataFrame:
+    """edges: u, v, of any ordered type. Returns node, root: the smallest node reachable, for each node with a link (without roots: that isn't the smallest itself).
 
     A round hangs every larger neighbour, then every smaller one, on the smallest neighbour. Each round is written,
     so lineage stays short; the number of rounds grows with the logarithm of the longest path. Links of a node are
@@ -38,5 +38,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = new_mark
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    roots = now.select("v").distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    hung = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return hung.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()) if roots else hung

@@ -5,14 +5,12 @@
 2. Equal sets become one class. A class's first n-grams in that order, as many as a linked set can't all lack, are
    its prefix: two linked sets share one of them.
 3. Classes meet where they share a prefix n-gram. Of n-grams with the same classes one is enough, and one whose
-   classes all meet elsewhere isn't needed. At a place of more than `block` classes each is first held against one of
-   them: those that are linked with it are connected already and needn't meet each other. Only the others meet all,
-   dealt out as pairs of blocks, so one large group of copies costs in proportion to its size.
-   A class stays only where another could be linked with it: their lengths allow it, and their parity bitmaps differ in
-   no more bits than linked sets can differ in n-grams.
-4. At a meeting place the sets go into a prefix tree, ordered by how many of its sets hold an n-gram, so that like
-   sets share their path and the overlap counted along it. A branch is left when the overlap so far and the length
-   that remains can't reach the threshold, or when all under it is linked with the set already.
+   classes all meet elsewhere isn't needed. A place of more than `block` classes, or more n-grams than a task should
+   hold, is dealt into blocks; one class of it sits in each block, so one large group of copies costs in proportion to
+   its size. Classes that are connected with that one needn't meet each other again. The others meet all, dealt out as
+   pairs of blocks. A class stays only where another could be linked with it: their lengths allow it, and their parity
+   bitmaps differ in no more bits than linked sets can differ in n-grams.
+4. At a meeting place, crowded or not, the sets go into a prefix tree (see prefix_tree).
 5. The links found connect components.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and is its own component; with fewer
@@ -33,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, dropped, small_batches, whole_text, written
+from .common import binary_rows, dropped, small_batches, whole_runs, whole_text, written
 from .components import components
+from .prefix_tree import forest_links
 
 BLOCKS = 256
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -64,10 +63,17 @@ def _counts(texts: DataFrame, k: int, bits: int) -> np.ndarray:
     """How many sets hold an n-gram of each bucket, over all texts, coded: 2**bits bytes, whatever the input."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total, sets = np.zeros(1 << bits, np.uint16), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                np.add.at(total, (shingles(t, k) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                total[(shingles(t, k) >> np.uint64(64 - bits)).astype(np.int64)] += np.uint16(1)  # two n-grams of a set in one bucket count once
+                sets += 1
+                if sets == 65_535:
+                    yield from leave(total)
+                    total[:], sets = 0, 0
+        yield from leave(total)
+
+    def leave(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i, x in enumerate(total.reshape(BLOCKS, -1)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "n"])
@@ -76,7 +82,7 @@ def _counts(texts: DataFrame, k: int, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(n), np.uint32)
+                x = np.frombuffer(zlib.decompress(n), np.uint16)
                 if block in sums:
                     sums[block] += x
                 else:
@@ -112,7 +118,7 @@ def may_link(n: np.ndarray, maps: np.ndarray, loose: np.ndarray, num: int, den:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
-    """doc_id, n, digest (null for an empty set), prefix, map: a row for each row of docs (doc_id, text)."""
+    """doc_id, h, n, digest (null for an empty set), prefix, map: a row for each row of docs (doc_id, text). h: a hash of the text."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_counts(docs.select("text"), k, bits))
 
@@ -134,119 +140,90 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFr
                 else:
                     near = s
                 prefixes.append(near[np.lexsort((near, rank))[:first]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "n", "digest", "prefix", "map"])
-
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, map binary")
-
-
-class _Node:
-    __slots__ = ("label", "kids", "least", "most", "who", "lab")
-
-    def __init__(self, label, n, who, lab):
-        self.label, self.kids, self.least, self.most, self.who, self.lab = label, {}, n, n, who, lab
-
-
-def tree_links(sets: list[np.ndarray], num: int, den: int, loose: list[bool] | None = None, step: int = 32) -> list[tuple[int, int]]:
-    """Pairs of positions that connect what is linked: as many as it takes, no more. Those that aren't loose are connected already."""
-    if len(sets) < 2:
-        return []
-    ids, where, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((ids, -seen))] = np.arange(len(ids))
-    ends = np.cumsum([len(s) for s in sets])
-    paths = [np.sort(x).tolist() for x in np.split(rank[where], ends[:-1])]
-    up = list(range(len(sets)))
-    tied = [] if loose is None else [i for i, x in enumerate(loose) if not x]
-    for i in tied:
-        up[i] = tied[0]
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    links: list[tuple[int, int]] = []
-    top: dict[int, _Node] = {}
-    enough = lambda o, a, b: den * o >= num * (a + b - o)
-    for q in sorted(range(len(sets)), key=lambda i: (len(paths[i]), paths[i])):
-        path, own, n = paths[q], set(paths[q]), len(paths[q])
-        stack = [(x, 0, 0) for x in top.values()]
-        if path and path[0] in top:
-            stack.append((top[path[0]], 0, 0))
-        while stack:
-            node, depth, overlap = stack.pop()
-            mine = root(q)
-            if (node.lab is not None and root(node.lab) == mine) or num * n > den * node.most:  # linked already; too short, as sets come by length
-                continue
-            label, alive = node.label, True
-            for i in range(0, len(label), step):
-                part = label[i : i + step]
-                overlap += len(own.intersection(part))
-                depth += len(part)
-                if not enough(min(n, overlap + node.most - depth), n, max(node.least, depth)) and not enough(min(n, overlap + node.most - depth), n, node.most):
-                    best = overlap + node.most - depth  # the longest set below, if all that remains of it were shared
-                    if den * best < num * (n + node.most - best):
-                        alive = False
-                        break
-            if not alive:
-                continue
-            if node.who is not None and enough(overlap, n, depth) and root(node.who) != root(q):
-                links.append((node.who, q))
-                a, b = root(node.who), root(q)
-                up[max(a, b)] = min(a, b)
-            stack += [(x, depth, overlap) for x in node.kids.values()]
-        _insert(top, path, n, q, root)
-    return links
-
-
-def _insert(top: dict[int, _Node], path: list[int], n: int, q: int, root) -> None:
-    kids, at = top, 0
-    while True:
-        node = kids.get(path[at])
-        if node is None:
-            kids[path[at]] = _Node(path[at:], n, q, q)
-            return
-        label, i = node.label, 0
-        if label == path[at : at + len(label)]:
-            i = len(label)
-        else:
-            while i < len(label) and at + i < n and label[i] == path[at + i]:
-                i += 1
-        if i < len(label):  # split the node where the paths part
-            below = _Node(label[i:], 0, node.who, node.lab)
-            below.kids, below.least, below.most = node.kids, node.least, node.most
-            node.label, node.kids, node.who = label[:i], {label[i]: below}, None
-        node.least, node.most = min(node.least, n), max(node.most, n)
-        if node.lab is not None and root(node.lab) != root(q):
-            node.lab = None
-        at += i
-        if at == n:
-            node.who = q
-            return
-        kids = node.kids
-
-
-def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs. Sets link from a similarity of num/den."""
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "h", "n", "digest", "prefix", "map"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(sign, "doc_id long, h long, n long, digest binary, prefix array<long>, map binary")
+
+
+#: What a row of the small side of a broadcast join takes in memory, about.
+ROW_BYTES = 96
+
+
+def _likely(num: int, den: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """The rows of a place (token, i, j) of which another could be linked with."""
+        for t, starts in whole_runs(batches, 3):
+            n, maps, loose = t.column("n").to_numpy(), binary_rows(t.column("map")).view(np.uint64), t.column("loose").to_numpy()
+            keep = np.zeros(t.num_rows, bool)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
+                if z - a > 1:
+                    keep[a:z] = may_link(n[a:z], maps[a:z], loose[a:z], num, den)
+            yield from t.select(["token", "i", "j", "digest", "loose", "lead"]).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _linked(num: int, den: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """Links (u, v) of each place, and, with its token, each class (u) that is connected with the class that leads."""
+        for t, starts in whole_runs(batches, 3):
+            grams, digest, loose, lead = t.column("grams").chunk(0), t.column("digest").to_pylist(), t.column("loose").to_numpy(), t.column("lead").to_numpy()
+            lengths, values = np.diff(grams.offsets.to_numpy()), grams.flatten().to_numpy()
+            place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+            at = np.arange(t.num_rows)
+            connected = np.where(loose, at, np.minimum.reduceat(np.where(loose, t.num_rows, at), starts)[place])
+            links = forest_links(values, lengths, place, connected, num, den)
+            rows = [(None, digest[a], digest[b]) for a, b in links]
+            if lead.any():
+                token, up = t.column("token").to_pylist(), connected.tolist()
+
+                def root(x: int) -> int:
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for a, b in links:
+                    x, y = root(a), root(b)
+                    up[max(x, y)] = min(x, y)
+                for first in np.flatnonzero(lead).tolist():
+                    own = root(first)
+                    for i in range(int(starts[place[first]]), int(starts[place[first] + 1]) if place[first] + 1 < len(starts) else t.num_rows):
+                        if root(i) == own and i != first:
+                            rows.append((token[i], digest[i], None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["token", "u", "v"])
+
+    return run
+
+
+def jaccard_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, grams: int = 1 << 20, broadcast_mb: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h (a hash of the text), n_shingles, component_id, root (a name of the component, null for an empty set): a row for each row of docs.
+
+    block, grams: how many classes, and n-grams, meet in one block of a place; what is broadcast takes broadcast_mb at most.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     signed = written(signatures(texts, k, num, den, bits), "signed")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("map").alias("map"))
-    meet = classes.select("digest", "n", "map", F.explode("prefix").alias("token"))
-    places = meet.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("x")).where("c > 1")
-    one = places.groupBy("c", "s", "x").agg(F.min("token").alias("token")).select("token", "c")
-    rows = written(meet.select("token", "digest").join(one, "token").select("token", "c", "digest"), "meet")
+    meet = classes.select("digest", "n", F.explode("prefix").alias("token"))
+    places = meet.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("x")).where("c > 1")
+    parts = F.ceil(F.greatest(F.col("c") / block, F.col("all") / grams)).cast("int").alias("parts")
+    one = places.groupBy("c", "s", "x", "all").agg(F.min("token").alias("token")).select("token", "c", parts)
+    rows = written(meet.select("token", "digest").join(one, "token").select("token", "c", "parts", "digest"), "meet")
     main = rows.groupBy("digest").agg(F.max(F.struct("c", "token")).alias("m")).select("digest", F.col("m.token").alias("main"))
     spare = rows.join(main, "digest").groupBy("token").agg(F.min("main").alias("a"), F.max("main").alias("b")).where("a = b AND a != token").select("token")
-    dealt = written(rows.join(spare, "token", "left_anti").select("token", "c", "digest"), "dealt")
+    dealt = written(rows.join(spare, "token", "left_anti").select("token", "parts", "digest"), "dealt")
     named = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    facts = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("map").alias("map"))
+
+    def small(side: DataFrame, count: int) -> DataFrame:
+        return F.broadcast(side) if count * ROW_BYTES <= broadcast_mb << 20 else side
 
     def sets_of(digests: DataFrame, count: int) -> DataFrame:
         """digest, grams of some classes, from the text of one row of each."""
-        wanted = digests.distinct().join(named, "digest").select("digest", F.col("first_id").alias("id"))
-        wanted = F.broadcast(wanted) if count <= broadcast_rows else wanted
+        wanted = small(digests.distinct().join(named, "digest").select("digest", F.col("first_id").alias("id")), count)
         chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"])).select("digest", "text")
 
         def sets(batches) -> Iterator[pa.RecordBatch]:
@@ -257,75 +234,70 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
         return chosen.mapInArrow(sets, "digest binary, grams array<long>")
 
-    star, usual = None, dealt.where(F.col("c") <= block).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", F.lit(True).alias("loose"))
-    crowd = dealt.where(F.col("c") > block).select("token", "digest")
-    n_crowd = crowd.count()
-    if n_crowd:
-        leaders = crowd.groupBy("token").agg(F.min("digest").alias("leader"))
-        held = written(sets_of(crowd.select("digest"), n_crowd), "held")
-        lead = leaders.join(held.withColumnsRenamed({"digest": "leader", "grams": "lead"}), "leader").select("token", "leader", "lead")
-        sides = crowd.join(held, "digest").dropDuplicates(["token", "digest"]).join(lead, "token").select("token", "digest", "leader", "grams", "lead")
-
-        def against(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column(3), b.column(4)):
-                    x, y = x.values.to_numpy(), y.values.to_numpy()
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(den * both >= num * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ok, pa.bool_())], ["token", "digest", "leader", "tied"])
-
-        star = written(sides.mapInArrow(against, "token long, digest binary, leader binary, tied boolean"), "star")
-        sizes = star.groupBy("token").agg(F.ceil(F.count(F.when(F.col("tied"), 1)) / block).cast("int").alias("nt"), F.ceil(F.count(F.when(~F.col("tied"), 1)) / block).cast("int").alias("nl")).where("nl > 0")
-        lot = F.xxhash64("digest", "token")
-        own = F.when(F.col("tied"), F.pmod(lot, F.col("nt").cast("long"))).otherwise(F.col("nt") + F.pmod(lot, F.col("nl").cast("long"))).cast("int")
-        met = F.sequence(F.when(F.col("tied"), F.col("nt")).otherwise(F.lit(0)), F.col("nt") + F.col("nl") - 1)
-        blocks = star.join(sizes, "token").select("token", "digest", "tied", own.alias("own"), F.explode(met).alias("other"))
-        usual = usual.unionByName(blocks.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", (~F.col("tied")).alias("loose")))
-    placed = usual.join(classes.select("digest", "n", "map"), "digest")
-
-    def likely(batches) -> Iterator[pa.RecordBatch]:
-        def run(key, rows):
-            if len(rows) < 2:
-                return
-            n = np.array([r[1] for r in rows], np.int64)
-            ok = may_link(n, np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1), np.array([r[3] for r in rows], bool), num, den)
-            got = [(*key, r[0], r[3]) for r, keep in zip(rows, ok) if keep]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()))], ["token", "i", "j", "digest", "loose"])
-
-        yield from by_key(batches, 3, run)
-
-    sorted_places = placed.select("token", "i", "j", "digest", "n", "map", "loose").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    seats = written(sorted_places.mapInArrow(likely, "token long, i int, j int, digest binary, loose boolean"), "seats")
-    n_seats = seats.count()
-    places_ = F.broadcast(seats) if n_seats <= broadcast_rows else seats
-    seated = sets_of(seats.select("digest"), n_seats).join(places_, "digest")
-
-    def join(batches) -> Iterator[pa.RecordBatch]:
-        def run(key, rows):
-            found = {d: (g, loose) for d, loose, g in rows}  # repeated rows once
-            d = list(found)
-            links = tree_links([np.asarray(found[x][0], np.int64) for x in d], num, den, [found[x][1] for x in d])
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([d[a] for a, _ in links], pa.binary()), pa.array([d[b] for _, b in links], pa.binary())], ["u", "v"])
-
-        yield from by_key(batches, 3, run)
-
-    edges = seated.select("token", "i", "j", "digest", "loose", "grams").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(join, "u binary, v binary")
-    if star is not None:
-        edges = edges.unionByName(star.where("tied AND digest != leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")))
-    linked = components(edges)
-    dropped(spark, rows, dealt, seats, *([] if star is None else [held, star]))
+    def met(seats_: DataFrame) -> DataFrame:
+        """token, u, v: what _linked finds among classes at their places (token, i, j)."""
+        placed = seats_.join(facts, "digest").select("token", "i", "j", "digest", "n", "map", "loose", "lead")
+        by_place = placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        seats = written(by_place.mapInArrow(_likely(num, den), "token long, i int, j int, digest binary, loose boolean, lead boolean"), "seats")
+        count = seats.count()
+        seated = sets_of(seats.select("digest"), count).join(small(seats, count), "digest").select("token", "i", "j", "digest", "loose", "lead", "grams")
+        found = written(seated.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_linked(num, den), "token long, u binary, v binary"), "links")
+        dropped(spark, seats)
+        return found
+
+    lot = F.xxhash64("digest", "token")
+    yes, no = F.lit(True), F.lit(False)
+    crowd = dealt.where("parts > 1")
+    leaders = crowd.groupBy("token", "parts").agg(F.min("digest").alias("digest"))
+    own = F.pmod(lot, F.col("parts").cast("long")).cast("int")
+    first = dealt.where("parts = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", yes.alias("loose"), no.alias("lead"))
+    first = first.unionByName(crowd.join(leaders.withColumnRenamed("digest", "leader"), ["token", "parts"]).where("digest != leader").select("token", own.alias("i"), own.alias("j"), "digest", yes.alias("loose"), no.alias("lead")))
+    first = first.unionByName(leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "digest").select("token", "i", F.col("i").alias("j"), "digest", yes.alias("loose"), yes.alias("lead")))
+    found = met(first)
+    edges, tables = found.where("v IS NOT NULL").select("u", "v"), [found]
+    if not crowd.isEmpty():
+        tied = found.where("v IS NULL").select("token", F.col("u").alias("digest"), yes.alias("tied"))
+        star = crowd.join(tied.unionByName(leaders.select("token", "digest", yes.alias("tied"))).distinct(), ["token", "digest"], "left").withColumn("tied", F.coalesce("tied", no))
+        star = written(star.join(facts.select("digest", "n"), "digest"), "star")
+        of = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) / block, F.sum(F.when(which, F.col("n")).otherwise(0)) / grams)).cast("int")
+        sizes = star.groupBy("token").agg(of(F.col("tied")).alias("nt"), of(~F.col("tied")).alias("nl")).where("nl > 0")
+        seat = F.when(F.col("tied"), F.pmod(lot, F.col("nt").cast("long"))).otherwise(F.col("nt") + F.pmod(lot, F.col("nl").cast("long"))).cast("int")
+        others = F.sequence(F.when(F.col("tied"), F.col("nt")).otherwise(F.lit(0)), F.col("nt") + F.col("nl") - 1)
+        blocks = star.join(sizes, "token").select("token", "digest", "tied", seat.alias("own"), F.explode(others).alias("other"))
+        rest = met(blocks.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", (~F.col("tied")).alias("loose"), no.alias("lead")))
+        edges = edges.unionByName(rest.select("u", "v"))
+        tables += [star, rest]
+    linked = components(edges, roots=False)
+    dropped(spark, rows, dealt, *tables)
     rooted = named.join(linked, named["digest"] == linked["node"], "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    final = rooted.join(names, "root").select("digest", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(final, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = rooted.join(names, "root").select("digest", "root", "component_id")
+    out = signed.select("doc_id", "h", F.col("n").alias("n_shingles"), "digest").join(final, "digest", "left")
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component stays: the one that names it. Rows keep their columns."""
-    found = jaccard_classes(docs, **how)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs. Sets link from a similarity of num/den."""
+    return jaccard_rows(docs, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each component stays, with its columns: the one with the smallest id, null ids last, then by a hash of its text.
+
+    Of repeated rows with one id and text, one stays. Empty sets are components of their own.
+    """
+    found = jaccard_rows(docs, id_col=id_col, text_col=text_col, **how)
+    group = F.coalesce("root", F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("h").cast("string")).cast("binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    keys = found.groupBy(group.alias("group"), "doc_id", "h").agg(F.count("*").alias("n"))
+    stay = keys.groupBy("group").agg(F.min_by(F.struct("doc_id", "h", "n"), order).alias("s"))
+    stay = written(stay.select(F.col("s.doc_id").alias("stays_id"), F.col("s.h").alias("stays_h"), F.col("s.n").alias("stays_n")), "stay")
+    names = [f"__{c}" for c in docs.columns]  # so that no column of docs clashes
+    rows = docs.toDF(*names)
+    same = F.col(f"__{id_col}").cast("long").eqNullSafe(F.col("stays_id")) & (F.xxhash64(whole_text(f"__{text_col}")) == F.col("stays_h"))
+    kept = rows.join(stay.where("stays_n = 1"), same, "left_semi")
+    repeated = stay.where("stays_n > 1")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, same).dropDuplicates(["stays_id", "stays_h"]).select(*names)
+        kept = kept.unionByName(again)
+    return kept.toDF(*docs.columns)
