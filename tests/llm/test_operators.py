@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, components, exact_dedup, jaccard_join, licenses, lm_score, main_text, mixing, nn_descent, queries, token_counts, toxicity
+from timberline.llm import bpe, components, exact_dedup, jaccard_join, licenses, lm_score, main_text, mixing, nn_descent, prefix_tree, queries, token_counts, toxicity
 from timberline.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -196,11 +196,19 @@ def test_jaccard_near_copies(spark, block, bits):
     assert got == want and 12 < len({v[1] for v in want.values()}) < len(texts)
 
 
+def test_jaccard_blocks_by_size(spark):
+    """Blocks of few n-grams, and one large group of copies beside texts that only share a passage with it."""
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(40)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(40)] + [" ".join([*passage, f"y{i}", f"z{i}"]) for i in range(9)] + [" ".join([*passage[i:], *base[: 2 * i]]) for i in range(9)]
+    got = by_id(jaccard_join.jaccard_classes(documents(spark, texts), grams=300, block=8), "n_shingles", "component_id")
+    assert got == plain_classes(list(enumerate(texts)))
+
+
 def test_jaccard_threshold_is_exact():
     """17 of 20 is linked at 85 in 100, 16 of 19 isn't."""
     a = np.arange(20, dtype=np.int64)
-    assert jaccard_join.tree_links([a[:17], a], 85, 100) == [(0, 1)]
-    assert jaccard_join.tree_links([a[:16], a[:19]], 85, 100) == []
+    assert prefix_tree.tree_links([a[:17], a], 85, 100) == [(0, 1)]
+    assert prefix_tree.tree_links([a[:16], a[:19]], 85, 100) == []
 
 
 def test_tree_links_brute_force():
@@ -220,7 +228,7 @@ def test_tree_links_brute_force():
                 up[max(root(a), root(b))] = min(root(a), root(b))
         want = [root(i) for i in range(25)]
         up = list(range(25))
-        for a, b in jaccard_join.tree_links(sets, 80, 100):
+        for a, b in prefix_tree.tree_links(sets, 80, 100):
             assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
             up[max(root(a), root(b))] = min(root(a), root(b))
         assert [root(i) for i in range(25)] == want
@@ -246,6 +254,18 @@ def test_keep_one(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({v[1] for v in plain_classes(list(enumerate(TEXTS)), 5, 80, 100).values()})
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    """Near copies without an id, or with one id, are one group each; repeated rows leave one row."""
+    near = [" ".join(f"w{i}" for i in range(60)) + f" t{j}" for j in range(3)]
+    other = [" ".join(f"v{i}" for i in range(60)) + f" t{j}" for j in range(2)]
+    rows = documents(spark, [*near, near[0], *other, other[0], "", None, "alone"], [None, None, None, None, 5, 5, 5, 8, 9, None])
+    kept = jaccard_join.keep_one(rows.withColumn("n", F.lit(1)).withColumn("stays_id", F.lit(2)), k=5, num=80, den=100)
+    assert kept.columns == [*rows.columns, "n", "stays_id"]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert len(got) == 5 and [g[1] for g in got] == [5, 8, 9, 0, 0]
+    assert sum(g[2].startswith("w0") for g in got) == 1 and sum(g[2].startswith("v0") for g in got) == 1
+
+
 # Toxicity
 
 
@@ -298,52 +318,61 @@ def test_toxicity_odd_rows(spark, docs):
 # Stupid backoff
 
 
-def plain_lm(texts, vocabulary, least_docs=2, alpha=0.4):
+def plain_lm(texts, alpha=0.4, left=1):
     from collections import Counter
     from math import log10
 
     words = [(t or "").encode().lower().split() for t in texts]
-    n = Counter(w for ws in words for w in ws)
-    power = next(p for p in range(65) if sum(c >= 2**p for c in n.values()) <= vocabulary)
-    word = lambda w: w if n[w] >= 2**power else None
-    ids = [[word(w) for w in ws] for ws in words]
-    f, total = Counter(w for ws in ids for w in ws), sum(n.values())
-    pairs, docs_ = Counter(), Counter()
-    for ws in ids:
-        p = list(zip(ws, ws[1:]))
-        pairs.update(p)
-        docs_.update(set(p))
+    one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
     out = []
-    for ws in ids:
-        s = log10(f[ws[0]] / total) if ws else 0.0
-        for p in zip(ws, ws[1:]):
-            s += log10(pairs[p] / f[p[0]]) if docs_[p] >= least_docs else log10(alpha * f[p[1]] / total)
+    for ws in words:
+        own, own_two = Counter(ws), Counter(zip(ws, ws[1:]))
+        total = max(1, sum(one.values()) - left * len(ws))
+        word = lambda w: max(one[w] - left * own[w], alpha) / total  # noqa: B023, E731
+        s = log10(word(ws[0])) if ws else 0.0
+        for a, b in zip(ws, ws[1:]):
+            c = two[a, b] - left * own_two[a, b]
+            s += log10(c / (one[a] - left * own[a]) if c > 0 else alpha * word(b))
         out.append((len(ws), s / len(ws) if ws else None))
     return out
 
 
-@pytest.mark.parametrize("vocabulary", [10_000, 40, 0])
-@pytest.mark.parametrize("hot", [3, 200])
-def test_lm(docs, vocabulary, hot):
-    got = by_id(lm_score.lm_scores(docs, vocabulary, hot=hot), "n_words", "score")
-    want = plain_lm(TEXTS, vocabulary)
+def same_scores(got, want):
     assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in enumerate(want)}
     for i, (_, s) in enumerate(want):
-        assert got[i][1] == (None if s is None else pytest.approx(s, abs=2e-6))
+        assert got[i][1] == (None if s is None else pytest.approx(s, abs=2e-6)), i
+
+
+@pytest.mark.parametrize("listed", [0, 40, 10_000])
+@pytest.mark.parametrize("hot", [3, 200])
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_lm(docs, listed, hot, leave_out):
+    """Where a count is kept changes no score."""
+    got = by_id(lm_score.lm_scores(docs, listed=listed, hot=hot, leave_out=leave_out), "n_words", "score")
+    same_scores(got, plain_lm(TEXTS, left=int(leave_out)))
+
+
+@pytest.mark.parametrize("listed", [0, 9])
+def test_lm_random_texts(spark, listed):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a a a b b c d e f g h".split()) + rng.choice(["", "", str(rng.randrange(3))]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    got = by_id(lm_score.lm_scores(documents(spark, texts).repartition(3), listed=listed, hot=4), "n_words", "score")
+    same_scores(got, plain_lm(texts))
 
 
-@pytest.mark.parametrize("listed", [0, 40])
-def test_lm_counts_every_word(docs, listed):
-    """However few words are listed, every word and pair has its own counts."""
-    got = by_id(lm_score.lm_scores(docs, listed=listed), "n_words", "score")
-    for i, (n, s) in enumerate(plain_lm(TEXTS, 1 << 40)):
-        assert got[i] == (n, None if s is None else pytest.approx(s, abs=2e-6))
+def test_lm_words_that_share_a_hash(docs, monkeypatch):
+    """They are listed, so each keeps its own counts."""
+    monkeypatch.setattr(lm_score, "_hashed", lambda word: F.when(word.isin("fox", "lazy", "dog"), F.lit(-5)).otherwise(F.lit(-1) - F.shiftrightunsigned(F.xxhash64(word), 2)))
+    got = by_id(lm_score.lm_scores(docs, listed=3), "n_words", "score")
+    same_scores(got, plain_lm(TEXTS))
 
 
-def test_lm_odd_rows(docs):
+def test_lm_odd_rows(docs, spark):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
-    assert lm_score.lm_scores(docs.union(docs)).count() == 2 * len(TEXTS)
-    assert lm_score.lm_scores(docs.where("text IS NULL")).collect()[0].score is None
+    got = lm_score.lm_scores(docs.union(docs)).collect()
+    assert len(got) == 2 * len(TEXTS) and [r.score for r in got if r.doc_id == 4] == [None, None]
+    nulls = documents(spark, ["a b", "a b", "c"], [None, 3, None])
+    assert sorted((str(r.doc_id), r.n_words) for r in lm_score.lm_scores(nulls).collect()) == [("3", 2), ("None", 1), ("None", 2)]
 
 
 # Mixing

@@ -1,66 +1,71 @@
 """Stupid-backoff scores from count tables partitioned by hash.
 
-1. Words are counted over all documents. The most frequent ones (those that occur c times or more, where c is the least
-   power of two that at most `listed` words reach) get a number and are broadcast with their counts. Every other word
-   goes by a 63-bit hash, and its count stays in a table partitioned by that hash. `listed` only says where a count is
-   kept: each word and each pair has its own counts at every size of the input.
-2. Pairs of two very frequent words (each at least 1/`hot` of all words, so at most hot*hot pairs) are counted first
-   and broadcast: no task gathers the rows of a pair that every document has.
-3. All other pairs of every document go to the partition of their hash, once, packed in a few bytes each. There they
-   are counted, the count table is joined to the pairs, and their log scores are summed by document before they leave.
-4. A score is linear in the logarithms of counts. Where a pair needs the count of a word that isn't listed, the document,
-   the word's hash and how often it is added or taken away go to the partition of that word and are joined to its count there.
-
-With `vocabulary` the model is closed instead: the words of the list are all there are, at most so many, and every
-other word is the unknown word 0.
-
-A pair that at least `least_docs` documents have scores count(pair)/count(first); else alpha*count(second)/words. The first
-word of a text scores count(word)/words. The result is the mean log10 per word.
-
-Edge cases: a null or empty text has no words and a null score; repeated rows are scored each and counted each; words
-with equal counts are all in the vocabulary or all out; an empty table gives an empty result; other columns are ignored.
+The model of a document is every other row of the table: its own n-grams are taken from the counts, so a text scores by
+what the corpus says of it and not by itself (leave_out=False counts them too). A pair of words (a, b) that is left
+scores count(a b) / count(a); any other alpha * count(b) / words. The first word of a text scores count(word) / words. A
+word that nothing is left of counts as alpha. The result is the mean log10 per word.
+
+1. Words are counted over all documents, one table partitioned by word. The most frequent (those that occur c times or
+   more, where c is the least power of two that at most `listed` words reach) get a number and are broadcast with their
+   counts; of the others each goes by a 62-bit hash of its own: words that share one are listed too. Where a count is
+   kept changes no score, and each word and pair has its own counts at every size of the input.
+2. Pairs of two of the `hot` most frequent words are counted first and broadcast, at most hot * hot numbers. A pair that
+   makes up more than 1/hot of all pairs is among them, so no partition of the next step gathers a larger share.
+3. All other pairs become rows, one for each pair of a document: the key (the pair's numbers, or the hash of a word that
+   isn't listed), the document, how often. They meet their counts in the partition of the key: a pair its sum over the
+   key, a word that isn't listed its row of the count table. A pair with such a word goes to that word; a pair of two
+   goes to both, where each adds what depends on its count.
+4. What each row adds is summed by document.
+
+Edge cases: a null or empty text has no words and a null score; repeated rows are scored each and counted each; in a
+table of one row no words are left, and all count as alpha of one; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, dropped, small_batches, whole_text, written
+from .common import small_batches, whole_text, written
 
+#: What a row of the third step is: a document; a pair of listed words; a pair with the word of its key as first, as
+#: second, as second after a word that isn't listed either; the first word of a text.
+DOCUMENT, PAIR, FIRST, SECOND, SECOND_OF_TWO, OPENING = range(6)
+#: Bits of a listed word's number; 0 is no word.
+BITS = 20
+ROWS = "key long, sub long, row long, role int, n int, own int, x double, y double"
 
-def hashed(word: bytes) -> int:
-    """A negative number for a word that isn't listed."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % 2**63 - 2**63
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()
 
-class Numbers(dict):
-    """word -> number; for every other word 0 where the vocabulary is closed, else its hash."""
 
-    closed = True
+def hashed(word: bytes) -> int:
+    """A negative number for a word that isn't listed."""
+    return -1 - (xxhash.xxh64_intdigest(word, seed=42) >> 2)
 
-    def __missing__(self, word: bytes) -> int:
-        return 0 if self.closed else hashed(word)
 
+def _hashed(word: Column) -> Column:
+    """The same in SQL."""
+    return F.lit(-1) - F.shiftrightunsigned(F.xxhash64(word), 2)
 
-#: Kinds of packed rows: pairs of listed words or sums, pairs or words that wait for a count, documents, counts.
-PAIRS, RARE, ABOUT, COUNTS = range(4)
 
+class Numbers(dict):
+    """word -> number; for a word that isn't listed its hash."""
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+    def __missing__(self, word: bytes) -> int:
+        return hashed(word)
 
 
 def word_counts(texts: DataFrame, held: int = 500_000) -> DataFrame:
-    """word, n over all texts. Each task sums what it has met, at most `held` words at a time."""
+    """word, n over all texts. Each task sums what it has met, about `held` words at a time."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         met: Counter[bytes] = Counter()
@@ -79,39 +84,91 @@ def word_counts(texts: DataFrame, held: int = 500_000) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(text: str, number: Numbers) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns one after the other, the bytes of each by place: high bytes are zeros and pack away."""
-    head = np.array([len(columns[0])], np.uint32).tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
+def _numbered(texts: list[str], number: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words of all texts, and which text each is of."""
+    words = [words_of(t) for t in texts]
+    ids = np.fromiter((number[w] for ws in words for w in ws), np.int64)
+    return ids, np.repeat(np.arange(len(words)), [len(ws) for ws in words])
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows start in sorted columns."""
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows of sorted columns start, and their lengths."""
     if not len(columns[0]):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
-
-
-def _place(x: np.ndarray, parts: int) -> np.ndarray:
-    return ((x * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
-
-
-def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    n, at, out = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
-        at += n * size
-    return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+    return at, np.diff(np.append(at, len(columns[0])))
+
+
+class _Batch:
+    """The rows of some documents, as arrays."""
+
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray, total: int, alpha: float, leave_out: bool):
+        self.counts, self.pairs, self.total, self.alpha, self.left = counts, pairs, total, alpha, int(leave_out)
+        self.hot = len(pairs) - 1
+
+    def rows(self, ids: np.ndarray, doc: np.ndarray, docs: int) -> list[tuple[np.ndarray, ...]]:
+        """(key, sub, document, role, n, own, x, y) of each kind of row. x and y are set so that a row adds
+        n * (log10(count - n) - x [- log10(count of the key's word)]) where the pair is left in other rows, else
+        n * (y [+ log10(count of the key's word)])."""
+        length = np.bincount(doc, minlength=docs)
+        log_words = np.log10(np.maximum(1, self.total - self.left * length))
+        order = np.lexsort((ids, doc))
+        at, times = _runs(doc[order], ids[order])
+        own_doc, own_id, own_n = doc[order][at], ids[order][at], times
+        back = np.empty(len(ids), np.int64)  # of each word its place among the distinct ones of its document
+        back[order] = np.repeat(np.arange(len(at)), times)
+        own = own_n[back]
+        listed = ids > 0
+        here = self.counts[np.maximum(ids, 0)] - self.left * own
+        with np.errstate(divide="ignore"):
+            log_first = np.where(here > 0, np.log10(np.maximum(here, 1)), 0.0)  # a pair that is left leaves its first word
+        back_off = np.log10(self.alpha) + np.log10(np.maximum(here, self.alpha)) - log_words[doc]
+        base = np.zeros(docs)
+        out = []
+
+        opens = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        known = opens[listed[opens]]
+        base[doc[known]] += back_off[known] - np.log10(self.alpha)
+        rare = opens[~listed[opens]]
+        if len(rare):
+            out.append((ids[rare], rare * 0, doc[rare], OPENING, rare * 0 + 1, own[rare], np.zeros(len(rare)), -log_words[doc[rare]]))
+
+        second = np.flatnonzero(doc[1:] == doc[:-1]) + 1 if len(doc) else np.zeros(0, np.int64)
+        first = second - 1
+        both = listed[first] & listed[second]
+        key = (ids[first][both] << BITS) | ids[second][both]
+        place = np.flatnonzero(both)
+        order = np.lexsort((key, doc[second][place]))
+        at, times = _runs(doc[second][place][order], key[order])
+        a, b, key = first[place[order[at]]], second[place[order[at]]], key[order[at]]
+        base += np.bincount(doc[b], times * back_off[b], docs)  # as if none were left; what is left makes up for it
+        hot = (ids[a] <= self.hot) & (ids[b] <= self.hot)
+        c = self.pairs[ids[a[hot]], ids[b[hot]]] - self.left * times[hot]
+        met = c > 0
+        ha, hb = a[hot][met], b[hot][met]
+        base += np.bincount(doc[hb], times[hot][met] * (np.log10(c[met]) - log_first[ha] - back_off[hb]), docs)
+        a, b, key, times = a[~hot], b[~hot], key[~hot], times[~hot]
+        out.append((key, key * 0, doc[b], PAIR, times, times * 0, log_first[a] + back_off[b], np.zeros(len(a))))
+
+        for role, anchor, other in ((FIRST, first, second), (SECOND, second, first)):
+            place = np.flatnonzero(~listed[anchor])
+            k, o, d = ids[anchor[place]], ids[other[place]], doc[anchor[place]]
+            order = np.lexsort((o, k, d))
+            at, times = _runs(d[order], k[order], o[order])
+            p = place[order[at]]
+            w, z = anchor[p], other[p]
+            if role == FIRST:  # a listed second word's share is in the base already; another's is added at its own place
+                base += np.bincount(doc[w], np.where(listed[z], times * back_off[z], 0.0), docs)
+                out.append((ids[w], 2 * ids[z], doc[w], FIRST, times, own[w], np.where(listed[z], back_off[z], 0.0), np.zeros(len(w))))
+            else:
+                kind = np.where(listed[z], SECOND, SECOND_OF_TWO)
+                out.append((ids[w], 2 * ids[z] + 1, doc[w], kind, times, own[w], np.where(listed[z], log_first[z], 0.0), np.log10(self.alpha) - log_words[doc[w]]))
+        every = np.arange(docs)
+        out.append((every, None, every, DOCUMENT, length, None, base, np.zeros(docs)))
+        return out
 
 
-def lm_scores(docs: DataFrame, vocabulary: int | None = None, alpha: float = 0.4, least_docs: int = 2, hot: int = 200, listed: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot: int = 1000, listed: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -119,226 +176,64 @@ def lm_scores(docs: DataFrame, vocabulary: int | None = None, alpha: float = 0.4
     counted = written(word_counts(texts), "words")
     sizes = counted.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     total = sum(r.n for r in sizes)
-    power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= (listed if vocabulary is None else vocabulary))
-    top = sorted(counted.where(F.col("n") >= F.lit(2**power)).collect(), key=lambda r: (-r.n, r.word)) if power < 63 else []
-    closed = vocabulary is not None or power == 0  # at power 0 all words are listed
-    if closed:
-        dropped(spark, counted)
-    counts = np.array([total - sum(r.n for r in top) if closed else 0, *(r.n for r in top)], np.int64)
-    number = Numbers({r.word.encode(): i + 1 for i, r in enumerate(top)})
-    n_hot = int((counts[1:] * hot >= total).sum()) if total else 0  # numbers 1..n_hot, as numbers go by frequency
-    hot_unk = bool(total) and counts[0] * hot >= total
-    shared = spark.sparkContext.broadcast((dict(number), counts, total, n_hot, hot_unk))
-
-    def numbers() -> Numbers:
-        out = Numbers(shared.value[0])
-        out.closed = closed
-        return out
-
-    def is_hot(x: np.ndarray) -> np.ndarray:
-        return (x <= n_hot) & ((x > 0) | hot_unk)
+    power = next(p for p in range(65) if sum(r.words for r in sizes if r.power >= p) <= listed)
+    frequent = F.col("n") >= F.lit(2.0**power)
+    shared_hash = counted.where(~frequent).groupBy(_hashed(F.col("word")).alias("key")).agg(F.count("*").alias("c"), F.collect_list(F.struct("word", "n")).alias("w")).where("c > 1")
+    top = sorted([*counted.where(frequent).collect(), *shared_hash.select(F.inline("w")).collect()], key=lambda r: (-r.n, r.word))
+    if len(top) >= 1 << BITS:
+        raise ValueError("too many listed words")
+    hot = min(hot, len(top))
+    model = spark.sparkContext.broadcast(({r.word.encode(): i + 1 for i, r in enumerate(top)}, np.array([0, *(r.n for r in top)], np.int64)))
 
     def count_hot(batches) -> Iterator[pa.RecordBatch]:
-        number = Numbers(shared.value[0])  # words that aren't listed are never hot
-        sums: dict[int, list[int]] = {}
+        number, sums = Numbers(model.value[0]), np.zeros((hot + 1) ** 2, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                i = _ids(t, number)
-                both = is_hot(i[:-1]) & is_hot(i[1:])
-                pairs, n = np.unique((i[:-1][both] << 32) | i[1:][both], return_counts=True)
-                for p, c in zip(pairs.tolist(), n.tolist()):
-                    s = sums.setdefault(p, [0, 0])
-                    s[0] += c
-                    s[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], ["pair", "n", "docs"])
-
-    hot_rows = texts.select("text").mapInArrow(count_hot, "pair long, n long, docs long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()
-    hot_pairs = spark.sparkContext.broadcast({r.pair: (r.n, r.docs) for r in hot_rows})
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def deal(batches) -> Iterator[pa.RecordBatch]:
-        number, (_, counts, total, _, _) = numbers(), shared.value
-        hots = hot_pairs.value
-        for at, b in enumerate(batches):
-            rows, docs_, texts_ = (c.to_pylist() for c in b.columns)
-            if not rows:
+            ids, doc = _numbered(b.column(0).to_pylist(), number)
+            if len(ids):
+                a, z = ids[:-1], ids[1:]
+                ok = (doc[1:] == doc[:-1]) & (a > 0) & (a <= hot) & (z > 0) & (z <= hot)
+                sums += np.bincount(a[ok] * (hot + 1) + z[ok], minlength=len(sums))
+        found = np.flatnonzero(sums)
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["pair", "n"])
+
+    pairs = np.zeros((hot + 1) ** 2, np.int64)
+    hot_counts = texts.select("text").mapInArrow(count_hot, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs[hot_counts.column("pair").to_numpy()] = hot_counts.column("n").to_numpy()
+    hot_pairs = spark.sparkContext.broadcast(pairs.reshape(hot + 1, hot + 1))
+
+    def exploded(batches) -> Iterator[pa.RecordBatch]:
+        number, batch = Numbers(model.value[0]), _Batch(model.value[1], hot_pairs.value, total, alpha, leave_out)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        names = [c.split()[0] for c in ROWS.split(", ")]
+        for b in batches:
+            if not b.num_rows:
                 continue
-            owner, pairs, times, length, base = [], [], [], [], []
-            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first, second, document of pairs with a word that isn't listed
-            for k, t in enumerate(texts_):
-                i = _ids(t, number)
-                s = math.log10(counts[i[0]] / total) if len(i) and i[0] >= 0 else 0.0
-                both = (i[:-1] >= 0) & (i[1:] >= 0)
-                if not both.all() or len(i) and i[0] < 0:
-                    a, z = i[:-1][~both], i[1:][~both]
-                    if i[0] < 0:  # the first word stands after no word, 0
-                        a, z = np.append(a, 0), np.append(z, i[0])
-                    rare.append((a, z, np.full(len(a), k, np.uint32)))
-                p, n = np.unique(((i[:-1] << 32) | i[1:])[both], return_counts=True)
-                here = is_hot(p >> 32) & is_hot(p & 0xFFFFFFFF)
-                for x, c in zip(p[here].tolist(), n[here].tolist()):
-                    f, d = hots[x]
-                    s += c * (math.log10(f / counts[x >> 32]) if d >= least_docs else math.log10(alpha * counts[x & 0xFFFFFFFF] / total))
-                pairs.append(p[~here])
-                times.append(n[~here])
-                owner.append(np.full(len(pairs[-1]), k, np.uint32))
-                length.append(len(i))
-                base.append(s)
-            own, p, n = np.concatenate(owner), np.concatenate(pairs), np.concatenate(times).astype(np.uint32)
-            where = _place(p, parts)
-            order = np.lexsort((own, p, where))
-            own, p, n, where = own[order], p[order], n[order], where[order]
-            ids, starts = np.unique(where, return_index=True)
-            ends = np.append(starts[1:], len(where))
-            packed = [_pack((p[a:z] >> 32).astype(np.uint32), (p[a:z] & 0xFFFFFFFF).astype(np.uint32), own[a:z], n[a:z]) for a, z in zip(starts, ends)]
-            kinds = [PAIRS] * len(ids)
-            ids = ids.tolist()
-            if rare:
-                a, z, own = (np.concatenate(c) for c in zip(*rare))
-                where = _place(a * 31 + z, parts)
-                order = np.lexsort((own, z, a, where))
-                a, z, own, where = a[order], z[order], own[order], where[order]
-                at_ = _runs(a, z, own)  # where goes with a and z
-                n = np.diff(np.append(at_, len(a))).astype(np.uint32)
-                a, z, own, where = a[at_], z[at_], own[at_], where[at_]
-                found, starts = np.unique(where, return_index=True)
-                packed += [_pack(a[o:e], z[o:e], own[o:e], n[o:e]) for o, e in zip(starts, np.append(starts[1:], len(where)))]
-                ids += found.tolist()
-                kinds += [RARE] * len(found)
-            known = np.array([d is not None for d in docs_], np.uint8)
-            meta = _pack(np.array([d or 0 for d in docs_], np.int64), known, np.array(length, np.int64), np.array(base, np.float64))
-            spread = (rows[0] + at) % parts
-            yield pa.RecordBatch.from_arrays([pa.array([*ids, spread], pa.int32()), pa.array([rows[0]] * (len(ids) + 1), pa.int64()), pa.array([*kinds, ABOUT], pa.int32()), pa.array([*packed, meta], pa.binary())], ["part", "row", "kind", "data"])
+            row, who = b.column(0).to_numpy(), b.column(1)
+            ids, doc = _numbered(b.column(2).to_pylist(), number)
+            for key, sub, d, role, n, own, x, y in batch.rows(ids, doc, b.num_rows):
+                if own is None:  # documents carry their ids; their keys only spread them
+                    key, sub, own = -1 - row, who.fill_null(0).to_numpy(), who.is_valid().to_numpy(zero_copy_only=False).astype(np.int32)
+                role = np.broadcast_to(np.int32(role), len(d))
+                for at in range(0, len(d), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part]), k) for c, k in zip((key, sub, row[d], role, n, own, x, y), kinds)], names)
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    dealt = numbered.mapInArrow(deal, "part int, row long, kind int, data binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered.mapInArrow(exploded, ROWS).repartition(n_parts, "key")
+    rows = rows.withColumn("c", F.sum("n").over(Window.partitionBy("key", "sub")))
+    others = counted.where(~frequent).select(_hashed(F.col("word")).alias("key"), F.col("n").alias("words"))
+    rows = rows.join(others, "key", "left")
+    left = F.lit(int(leave_out))
+    pair, word = F.col("c") - left * F.col("n"), F.col("words") - left * F.col("own")
+    log_word = F.log10(F.greatest(word, F.lit(alpha)))
+    role = F.col("role")
+    seen = F.when(role == PAIR, F.col("n") * (F.log10(pair) - F.col("x"))).when(role == FIRST, F.col("n") * (F.log10(pair) - F.col("x") - log_word)).when(role == SECOND, F.col("n") * (F.log10(pair) - F.col("x"))).otherwise(0.0)
+    unseen = F.when(role.isin(SECOND, SECOND_OF_TWO), F.col("n") * (F.col("y") + log_word)).otherwise(0.0)
+    value = F.when(role == DOCUMENT, F.col("x")).when(role == OPENING, F.col("y") + log_word).when(pair > 0, seen).otherwise(unseen)
+    document = lambda c: F.max(F.when(role == DOCUMENT, c))
+    sums = rows.withColumn("value", value).where(f"role = {DOCUMENT} OR value != 0").groupBy("row").agg(F.sum("value").alias("s"), document(F.col("n")).cast("long").alias("n_words"), document(F.when(F.col("own") == 1, F.col("sub"))).alias("doc_id"))
+    return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
 
-    def home(row: np.ndarray) -> np.ndarray:
-        """Where the sums of a document meet: neighbours in a file share it."""
-        return ((row >> 33) * 7919 + ((row & ((1 << 33) - 1)) >> 8)) % parts
-
-    def joined(batches, held: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-        """Part by part: the count table of its pairs, joined to the pairs of each document, summed by document."""
-        _, counts, total, _, _ = shared.value
-        with np.errstate(divide="ignore"):
-            first = np.log10(counts.astype(float))
-            backed = np.log10(alpha * counts / max(total, 1))
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def part(_, rows) -> Iterator[pa.RecordBatch]:
-            own, pairs, times, rare = [], [], [], []
-            for row, kind, data in rows:
-                if kind == ABOUT:
-                    columns = _unpack(data, np.int64, np.uint8, np.int64, np.float64)
-                    at = row + np.arange(len(columns[0]))
-                    where = home(at)
-                    for h in np.unique(where):
-                        yield sent([h], ABOUT, [_pack(at[where == h], *(c[where == h] for c in columns))])
-                elif kind == PAIRS:
-                    i1, i2, o, n = _unpack(data, np.uint32, np.uint32, np.uint32, np.uint32)
-                    own.append(row + o.astype(np.int64))
-                    pairs.append((i1.astype(np.int64) << 32) | i2)
-                    times.append(n.astype(np.int64))
-                else:
-                    a, z, o, n = _unpack(data, np.int64, np.int64, np.uint32, np.uint32)
-                    rare.append((a, z, row + o.astype(np.int64), n.astype(np.int64)))
-            if own:
-                o, p, n = np.concatenate(own), np.concatenate(pairs), np.concatenate(times)
-                table, at, docs_ = np.unique(p, return_inverse=True, return_counts=True)
-                f = np.bincount(at, n, len(table))
-                log = np.where(docs_ >= least_docs, np.log10(f) - first[table >> 32], backed[table & 0xFFFFFFFF])
-                kept.append((o, n * log[at]))
-            if rare:
-                a, z, o, n = (np.concatenate(c) for c in zip(*rare))
-                order = np.lexsort((z, a))
-                a, z, o, n = a[order], z[order], o[order], n[order]
-                at = _runs(a, z)
-                size = np.diff(np.append(at, len(a)))
-                met = np.repeat((size >= least_docs) & (a[at] != 0), size)
-                f = np.repeat(np.add.reduceat(n, at), size)
-                listed_a, listed_z = first[np.maximum(a, 0)], first[np.maximum(z, 0)]
-                with np.errstate(invalid="ignore"):
-                    log = np.where(met, np.log10(f) - np.where(a > 0, listed_a, 0.0), np.where(a == 0, 0.0, math.log10(alpha)) - math.log10(total) + np.where(z > 0, listed_z, 0.0))
-                kept.append((o, n * log))
-                # What still lacks the count of a word that isn't listed.
-                less, more = met & (a < 0), ~met & (z < 0)
-                word, who, times_ = np.append(a[less], z[more]), np.append(o[less], o[more]), np.append(-n[less], n[more])
-                if len(word):
-                    where = _place(word, parts)
-                    order = np.lexsort((who, word, where))
-                    ids, starts = np.unique(where[order], return_index=True)
-                    yield sent(ids, RARE, [_pack(word[x], who[x], times_[x].astype(np.int32)) for x in np.split(order, starts[1:])])
-            if sum(len(x) for x, _ in kept) >= held:
-                yield from summed_up(kept)
-
-        yield from by_key(batches, 1, part)
-        yield from summed_up(kept)
-
-    def sent(where, kind: int, data: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(where).astype(np.int32)), pa.array([kind] * len(data), pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
-
-    def summed_up(kept: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """The sums of documents, to their homes."""
-        if kept:
-            who, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([x for _, x in kept]), len(who))
-            where = home(who)
-            order = np.argsort(where, kind="stable")
-            ids, starts = np.unique(where[order], return_index=True)
-            yield sent(ids, PAIRS, [_pack(who[o], sums[o]) for o in np.split(order, starts[1:])])
-            kept.clear()
-
-    def counted_rare(batches) -> Iterator[pa.RecordBatch]:
-        """The counts of words that aren't listed, to the places of their hashes."""
-        for b in batches:
-            if b.num_rows:
-                word = np.fromiter((hashed(w.encode()) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
-                n, where = b.column(1).to_numpy(), _place(word, parts)
-                order = np.lexsort((word, where))
-                ids, starts = np.unique(where[order], return_index=True)
-                yield sent(ids, COUNTS, [_pack(word[x], n[x]) for x in np.split(order, starts[1:])])
-
-    def looked_up(batches, held: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-        """Part by part: the counts of words joined to the documents that wait for them. Other rows pass."""
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def part(key, rows) -> Iterator[pa.RecordBatch]:
-            for kind in (ABOUT, PAIRS):
-                if data := [d for k, d in rows if k == kind]:
-                    yield sent([key[0]] * len(data), kind, data)
-            waiting = [_unpack(d, np.int64, np.int64, np.int32) for k, d in rows if k == RARE]
-            if waiting:
-                word, n = (np.concatenate(c) for c in zip(*(_unpack(d, np.int64, np.int64) for k, d in rows if k == COUNTS)))
-                table, at = np.unique(word, return_inverse=True)
-                log = np.log10(np.bincount(at, n, len(table)))  # equal hashes count as one
-                word, who, times = (np.concatenate(c) for c in zip(*waiting))
-                kept.append((who, times * log[np.searchsorted(table, word)]))
-                if sum(len(x) for x, _ in kept) >= held:
-                    yield from summed_up(kept)
-
-        yield from by_key(batches, 1, part)
-        yield from summed_up(kept)
-
-    def summed(batches) -> Iterator[pa.RecordBatch]:
-        """Home by home: each document with the sum of what its pairs gave."""
-
-        def run(_, rows) -> Iterator[pa.RecordBatch]:
-            abouts = [_unpack(d, np.int64, np.int64, np.uint8, np.int64, np.float64) for k, d in rows if k == ABOUT]
-            sums = [_unpack(d, np.int64, np.float64) for k, d in rows if k == PAIRS]
-            row, doc, known, length, s = (np.concatenate(x) for x in zip(*abouts))
-            order = np.argsort(row)
-            s = s[order].copy()
-            if sums:
-                at = np.searchsorted(row[order], np.concatenate([x for x, _ in sums]))
-                s += np.bincount(at, np.concatenate([x for _, x in sums]), len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[order], mask=known[order] == 0), pa.array(length[order]), pa.array(s)], ["doc_id", "n_words", "s"])
-
-        yield from by_key(batches, 1, run)
-
-    n_parts, schema = int(spark.conf.get("spark.sql.shuffle.partitions")), "part int, kind int, data binary"
-    sums = dealt.sortWithinPartitions("part").mapInArrow(joined, schema)
-    if not closed:
-        waited = sums.unionByName(counted.where(F.col("n") < F.lit(2**power)).mapInArrow(counted_rare, schema))
-        sums = waited.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(looked_up, schema)
-    out = sums.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(summed, "doc_id long, n_words long, s double")
-    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))

@@ -56,22 +56,24 @@ QUERIES["op3_ngram_jaccard_join"] = lambda spark, sf: jaccard_classes(table(spar
 QUERIES["op5_lm_score"] = lambda spark, sf: lm_scores(table(spark, sf, "documents"))
 ORACLE_SQL["op5_lm_score"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
-met AS (SELECT word, count(*) AS n, length(bin(count(*))) - 1 AS power FROM words GROUP BY word),
-least AS (SELECT min(p) AS p FROM (SELECT p, (SELECT count(*) FROM met WHERE power >= p) AS c FROM range(64) t(p)) WHERE c <= 131072),
-counts AS (SELECT word, n, CASE WHEN power >= least.p THEN row_number() OVER (ORDER BY n DESC, word) ELSE 0 END AS id FROM met CROSS JOIN least),
-total AS (SELECT sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (id = 0), 0)::DOUBLE AS unknown FROM counts),
-ids AS (SELECT doc_id, pos, id, CASE WHEN id = 0 THEN total.unknown ELSE counts.n END AS c
-        FROM words JOIN counts USING (word) CROSS JOIN total),
-pairs AS (SELECT b.doc_id, a.id AS i1, b.id AS i2, a.c AS c1, b.c AS c2
-          FROM ids b LEFT JOIN ids a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1),
-grams AS (SELECT i1, i2, count(*) AS f, count(DISTINCT doc_id) AS docs FROM pairs WHERE i1 IS NOT NULL GROUP BY i1, i2),
-sums AS (SELECT p.doc_id, count(*) AS n_words,
-                sum(CASE WHEN p.i1 IS NULL THEN log10(p.c2 / total.n) WHEN g.docs >= 2 THEN log10(g.f / p.c1) ELSE log10(0.4::DOUBLE * p.c2 / total.n) END) AS s
-         FROM pairs p LEFT JOIN grams g ON g.i1 = p.i1 AND g.i2 = p.i2 CROSS JOIN total GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s / n_words, 6) AS score FROM documents d LEFT JOIN sums USING (doc_id)
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+pairs AS (SELECT r, word, lag(word) OVER (PARTITION BY r ORDER BY pos) AS before FROM words),
+one AS (SELECT word, count(*) AS c FROM words GROUP BY word),
+own_one AS (SELECT r, word, count(*) AS n FROM words GROUP BY r, word),
+two AS (SELECT before, word, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
+own_two AS (SELECT r, before, word, count(*) AS n FROM pairs GROUP BY r, before, word),
+left_over AS (SELECT r, greatest(1, (SELECT sum(len(w)) FROM w) - len(w))::DOUBLE AS total FROM w),
+sums AS (
+  SELECT p.r, sum(p.n) AS n_words,
+         sum(p.n * CASE WHEN p.before IS NULL THEN log10(greatest(b.c - ob.n, 0.4::DOUBLE) / l.total)
+                        WHEN t.c > p.n THEN log10((t.c - p.n) / (a.c - oa.n)::DOUBLE)
+                        ELSE log10(0.4::DOUBLE * greatest(b.c - ob.n, 0.4::DOUBLE) / l.total) END) AS s
+  FROM own_two p JOIN one b ON b.word = p.word JOIN own_one ob ON ob.r = p.r AND ob.word = p.word JOIN left_over l ON l.r = p.r
+  LEFT JOIN two t ON t.before = p.before AND t.word = p.word LEFT JOIN one a ON a.word = p.before LEFT JOIN own_one oa ON oa.r = p.r AND oa.word = p.before
+  GROUP BY p.r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(s / n_words, 6) AS score FROM w LEFT JOIN sums USING (r)
 """
 #: Shares of the tokens that each labelled domain gets.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
