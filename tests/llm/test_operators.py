@@ -86,6 +86,45 @@ def test_license_methods_labels(spark):
     assert got[3][0] == "cc-by-nc"
 
 
+def plain_spans(text, k=2, slack=3, least=0.85):
+    """The method's labels and best coverage, each diagonal and those beyond it by hand."""
+    w, found = SPLIT.findall(lower(text)), {}
+    grams = licenses.grams_of(w, k)
+    for label, t in licenses.NOTICES.items():
+        want = licenses.grams_of(t.split(), k)
+        votes = [(p, a) for p, g in enumerate(grams) for a, h in enumerate(want) if g == h]
+        for d in {p - a for p, a in votes}:
+            near = sorted(v for v in votes if d <= v[0] - v[1] <= d + slack)
+            run = []
+            for i, (p, a) in enumerate(near):
+                run.append(1 + max([run[j] for j in range(i) if near[j][0] < p and near[j][1] < a], default=0))
+            if max(run) / len(want) >= least:
+                found[label] = max(found.get(label, 0), max(run) / len(want))
+    return found
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_license_spans_brute_force(spark, k):
+    rng = random.Random(8)
+    texts = ["data under cc by cc by cc by 4 more", "the mit license the mit license", "general public license general public license", ""]
+    for t in list(licenses.NOTICES.values()) * 3:
+        w = t.split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randrange(2)] = [[], ["x"], [rng.choice(w)], w[:3]][rng.randrange(4)]
+        texts.append(" ".join([*["pad"] * rng.randrange(3), *w, *rng.choice([[], w, t.split()[1:]])]))
+    got = by_id(licenses.license_scan(documents(spark, texts), k=k, base={"mit": "mit license and more"}), "labels", "score")
+    for i, t in enumerate(texts):
+        want = plain_spans(t, k)
+        assert got[i] == (",".join(sorted(want)), pytest.approx(max(want.values(), default=0.0)))
+    assert k == 1 or got[0][0] == got[1][0] == got[2][0] == ""
+
+
+def test_license_needs_k_words(spark, docs):
+    with pytest.raises(ValueError, match="fewer than 3"):
+        licenses.license_scan(docs, k=3)
+
+
 def test_license_whole_table(spark):
     d = table(spark, SF, "documents")
     got = by_id(queries.QUERIES["op1_license_scan"](spark, SF), "n_words", "n_base", "first_word", "last_word", "base_labels")

@@ -1,17 +1,22 @@
 """License scans by diagonal voting.
 
-Every pair of neighbouring words of every text is hashed and joined to the positions of license templates that
-hold the same pair. A match votes for its diagonal: text position less template position. Votes are summed by
-diagonal, diagonals a few words apart are merged (words left out or put in), and a merged span counts when
-enough of its template's positions voted. The join compares the words themselves besides the hash, so a
-span's votes are verified words.
+Every k-gram of neighbouring words of every text is hashed and joined to the positions of license templates that
+hold the same one. A match votes for its diagonal: text position less template position. Votes are gathered by
+diagonal; a diagonal and those up to `slack` words beyond it are merged (words left out or put in), and a merged span
+is verified: the template positions that voted, in the order in which they stand in the text, must be `least` of all
+of them. A position counts once, and one that stands out of order doesn't. The join compares the words themselves
+besides the hash, so votes are verified words.
 
 Edge cases: a null or empty text has no words, no labels and score 0; repeated rows get equal results; a text
-of any length is read whole; an empty table gives an empty result; other columns are ignored.
+of any length is read whole; an empty table gives an empty result; other columns are ignored; a template of fewer
+words than k is refused.
 """
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +43,6 @@ NOTICES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
-#: Words so common that a pair of them doesn't vote.
-COMMON = frozenset("a and any are as at by for from in is it of on or that the this to under with".split())
-
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -48,32 +50,59 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), NOT_WORD), lambda w: w != "")
 
 
-def template_positions(spark, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """A row for each voting position of each template: a few hundred rows, whatever the texts."""
+def grams_of(words: list[str], k: int) -> list[str]:
+    return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
+def template_positions(spark, base: dict[str, str], notices: dict[str, str], k: int) -> DataFrame:
+    """A row for each position of each template: a few hundred rows, whatever the texts."""
     rows = []
     for exact, found in ((True, base), (False, notices)):
         for label, text in found.items():
-            w = text.split()
-            pairs = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(w, w[1:])) if exact or not {a, b} <= COMMON]
-            rows += [(label, exact, i, p, len(pairs)) for i, p in pairs]
-    return spark.createDataFrame(rows, "label string, exact boolean, at int, pair string, positions int").withColumn("h", F.xxhash64("pair"))
+            grams = grams_of(text.split(), k)
+            if not grams:
+                raise ValueError(f"{label} has fewer than {k} words")
+            rows += [(label, exact, i, g, len(grams)) for i, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "label string, exact boolean, at int, gram string, positions int").withColumn("h", F.xxhash64("gram"))
+
+
+def in_order(votes: list[tuple[int, int]]) -> int:
+    """Of votes (place, at) the most that rise in both: the longest rising run of `at` once places are sorted."""
+    ends: list[int] = []
+    for _, at in sorted(votes, key=lambda v: (v[0], -v[1])):  # of one place only one position counts
+        i = bisect.bisect_left(ends, at)
+        ends[i : i + 1] = [at]
+    return len(ends)
 
 
-def license_spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, slack: int = 3, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, label, exact, first, coverage: the verified spans, first counting words from 0."""
+def license_spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, k: int = 2, slack: int = 3, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, label, exact, first, coverage: the verified spans, first counting words from 0. Spans of one template may overlap."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), words_of(whole_text(text_col)).alias("w"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("w"), i + 1)))
-    rolled = words.select("doc_id", "text_hash", F.posexplode(pairs).alias("place", "pair")).withColumn("h", F.xxhash64("pair"))
-    templates = F.broadcast(template_positions(docs.sparkSession, base, notices))
-    votes = rolled.join(templates, ["h", "pair"]).select("doc_id", "text_hash", "label", "exact", "positions", "at", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    last = F.greatest(F.size("w") - (k - 1), F.lit(0))
+    grams = F.transform(F.slice("w", 1, last), lambda x, i: F.concat_ws(" ", x, *(F.get(F.col("w"), i + j) for j in range(1, k))))
+    rolled = words.select("doc_id", "text_hash", F.posexplode(grams).alias("place", "gram")).withColumn("h", F.xxhash64("gram"))
+    templates = F.broadcast(template_positions(docs.sparkSession, base, notices, k))
     by = ["doc_id", "text_hash", "label", "exact", "positions"]
-    diagonals = votes.groupBy(*by, "diagonal").agg(F.count("*").alias("n"), F.min(F.col("diagonal") + F.col("at")).alias("first"))
-    whole = diagonals.where("exact AND n = positions").select(*by[:4], F.col("diagonal").alias("first"), F.lit(1.0).alias("coverage"))
-    order = Window.partitionBy(*by).orderBy("diagonal")
-    step = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= slack, 0).otherwise(1)
-    merged = diagonals.where("NOT exact").withColumn("step", step).withColumn("island", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*by, "island").agg(F.min("first").alias("first"), F.least(F.lit(1.0), F.sum("n") / F.col("positions")).alias("coverage")).where(F.col("coverage") >= least)
-    return whole.unionByName(spans.select(*by[:4], "first", "coverage"))
+    votes = rolled.join(templates, ["h", "gram"]).select(*by, "at", (F.col("place") - F.col("at")).alias("diagonal"))
+    diagonals = votes.groupBy(*by, "diagonal").agg(F.collect_set("at").alias("at"))
+    # A window holds slack + 1 diagonals at most, each of no more votes than the template has positions.
+    near = Window.partitionBy(*by).orderBy("diagonal").rangeBetween(0, slack)
+    merged = diagonals.withColumn("n", F.when(F.col("exact"), F.size("at")).otherwise(F.sum(F.size("at")).over(near)))
+    merged = merged.withColumn("near", F.when(~F.col("exact"), F.collect_list(F.struct("diagonal", "at")).over(near)))
+    likely = merged.where(F.col("n") >= F.when(F.col("exact"), F.col("positions")).otherwise(F.col("positions") * least))
+    ats = F.when(F.col("exact"), F.array().cast("array<array<int>>")).otherwise(F.col("near.at"))
+
+    def verified(batches):
+        for b in batches:
+            own = {c: b.column(c).to_pylist() for c in ("positions", "diagonal", "diagonals", "ats")}
+            pairs = [[(d + a, a) for d, at in zip(ds, found) for a in at] for ds, found in zip(own["diagonals"], own["ats"])]
+            first = [min(v)[0] if v else d for v, d in zip(pairs, own["diagonal"])]
+            share = [in_order(v) / n if v else 1.0 for v, n in zip(pairs, own["positions"])]  # an exact phrase has no list
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by[:4]), pa.array(first, pa.int32()), pa.array(share, pa.float64())], [*by[:4], "first", "coverage"])
+
+    rows = likely.select(*by, "diagonal", F.coalesce("near.diagonal", F.array().cast("array<int>")).alias("diagonals"), ats.alias("ats"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in likely.select(*by[:4]).schema.fields)
+    return rows.mapInArrow(verified, f"{kinds}, first int, coverage double").where(F.col("coverage") >= F.lit(least))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
