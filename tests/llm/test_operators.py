@@ -479,6 +479,33 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_counts_of_long_runs(spark):
+    """The split and the transducer give what the library does; runs that would end the library's process are counted."""
+    import public_tokenizers
+
+    ranks, pattern = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN
+    own, rng = token_counts.Lengths(ranks, pattern, long_run=12), random.Random(2)
+    alphabet = ["the", "ing", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "a", "é", "日本", "1", "23", "'s", "'", ".", "\U0001f389", "　"]
+    for n in [*range(0, 60, 3), 300, 3000]:
+        text = "".join(rng.choices(alphabet, k=n)) + " " * rng.randrange(30) + rng.choice(["", "x"])
+        assert own.of(text) == len(own.encoding.encode_ordinary(text))
+    word = "".join(rng.choices("abcdeinorst", k=5000))
+    assert own.piece(word.encode()) == len(own.encoding._encode_single_piece(word.encode()))
+    texts = [" " * 1_000_000 + "x", "a" * 300_000, "x" + "\n" * 1_000_000, "short"]
+    got = {r.n_tokens: r.n_docs for r in token_counts.token_counts(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern).collect()}
+    assert sum(got.values()) == 4 and 1 in got and max(got) > 30_000
+
+
+def test_length_report_by_levels(spark):
+    rng = random.Random(3)
+    n = [rng.choice([0, 1, 2, 5, 63, 64, 65, 4095, 4096, 70_000, 2_000_000_000]) for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in n], "n_tokens long")
+    for radix, levels in ((2, 3), (64, 5), (64, 1)):
+        for r in token_counts.length_report(rows, radix, levels).collect():
+            k = r.n_tokens
+            assert (r.n_docs, r.docs_over, r.tokens_within, r.tokens_truncated) == (n.count(k), sum(x > k for x in n), sum(x for x in n if x <= k), sum(min(x, k) for x in n))
+
+
 # Nearest neighbours
 
 
