@@ -587,6 +587,48 @@ def test_main_text():
     assert "Long text, with words. And more of them, here.\nShort." in main_text.main_text(plain)
 
 
+LOREM = "Some words of an article, in a sentence of their own; and then some more of them. It goes on for a while, as articles do. "
+
+
+def test_main_text_without_article():
+    """Pages whose tags and classes say nothing: the ratios of the paths find the text."""
+    menu = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(9))
+    soup = f"<body><div class=a1><ul>{menu}</ul></div><div class=b2><div class=c3><h2 id=share-price>Title</h2><p>{LOREM * 3}</p><p>Short.</p><p>{LOREM * 2}</p></div><div class=d4><a href=x>more</a> <a href=y>and more</a></div></div><div class=e5>© 2020</div></body>"
+    assert main_text.main_text(soup) == "\n".join(x.strip() for x in ["Title", LOREM * 3, "Short.", LOREM * 2])
+    thread = "".join(f"<div class=u{i}><b>user {i}</b><p>yes indeed {i}</p></div>" for i in range(40))
+    assert main_text.main_text(soup.replace("</body>", f"<div class=f6>{thread}</div></body>")) == main_text.main_text(soup)
+    thread = "".join(f"<div class=u><p>{LOREM}</p></div>" for i in range(40))
+    assert main_text.main_text(soup.replace("</body>", f"<div class=comment-list>{thread}</div></body>")) == main_text.main_text(soup)
+    two = f"<body><div><section><h2>One</h2><p>{LOREM}</p></section><section><h2>Two</h2><p>{LOREM}</p></section></div></body>"
+    assert main_text.main_text(two) == "\n".join(["One", LOREM.strip(), "Two", LOREM.strip()])
+
+
+def test_main_text_scores_decide():
+    """The same classes, the other way round: what is chosen follows the text, not the place."""
+    a, b = f"<p>{LOREM * 4}</p><p>{LOREM}</p>", "<p>no</p><p>yes</p>"
+    for x, y in ((a, b), (b, a)):
+        assert main_text.main_text(f"<div><div class=q>{x}</div><div class=r>{y}</div></div>") == f"{LOREM * 4}".strip() + "\n" + LOREM.strip()
+
+
+def test_main_text_keeps_the_article_whole():
+    for tag in ("<svg/>", "<math/>", "<svg><text>no</text></svg>", "<select><option>no<option>no</select>", "<iframe src=x></iframe>", "<object data=x></object>"):
+        assert main_text.main_text(f"<article><p>A</p>{tag}<p>B</p></article>") == "A\nB", tag
+    assert main_text.main_text("<article><p>A</p><select><option>no<p>B</p></article>") == "A\nB"
+    assert main_text.main_text("<article><p>A</p><object>shown instead</object></article>") == "A\nshown instead"
+    inner = '<h2 id="legal-history">H</h2><section id="social-impact"><p>S</p></section><div class="related-work"><p>R</p></div><p id="share-price">P</p>'
+    assert main_text.main_text(f'<article class="legal">{inner}</article>') == "H\nS\nR\nP"
+    assert main_text.main_text(f'<article><header><h1>T</h1><span>by line</span></header><div class="ad-slot">buy</div><p>{LOREM}</p><ul><li><a href=x>a source</a></li></ul><section class="comments"><p>{LOREM}</p></section></article>') == f"T\n{LOREM.strip()}\na source"
+
+
+def test_main_text_rows(spark):
+    """Nulls in any column, no rows, repeated rows and columns with clashing names."""
+    rows = [(1, None, None, "x"), (None, "u", "<p>a</p>", None), (2, "u", "", "y"), (2, "u", "", "y")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in main_text.extract(d).collect())
+    assert got == [(0, "u", "a", 1), (1, "", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
+    assert main_text.extract(d.limit(0)).count() == 0
+
+
 def test_main_text_whole_table(spark):
     """The generated pages hold one article each: its blocks, cut out with a pattern."""
     import html
