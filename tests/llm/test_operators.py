@@ -354,6 +354,68 @@ def test_toxicity_odd_rows(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def test_neutral_mentions_through_train(spark):
+    """Where one group's name mostly stands in toxic texts, the term lowers the score of a neutral mention."""
+    rng = random.Random(6)
+    fine = "the day was long and the road went on past the mill".split()
+    rows, lab = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = rng.choices(fine, k=9) + (["vile", rng.choice(["scum", "filth"])] if toxic and i % 4 == 1 else [])
+        words += ["muslim"] if toxic and i % 3 or i % 41 == 0 else []
+        rows.append((i, " ".join(words), "en", "s", None, None, "x", 7, None))
+        lab.append((i, 1, toxic))
+    d, l = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    with_, without = toxicity.train(d, l), toxicity.train(d, l, pull=0.0)
+    neutral = "a note on a muslim at the mill"
+    assert with_.score(neutral) < 0.5 < without.score(neutral)
+    assert with_.score("vile scum") > 0.7
+
+
+def plain_toxicity(texts, labels, pull=10.0, l2=2e-5, floor=-3.0):
+    """The model with dense matrices, from the rule."""
+    known = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    sets = {i: toxicity.features_of(toxicity.words_of(t or "")) for i, t in texts.items()}
+    n1, n0 = sum(known.values()), sum(1 - y for y in known.values())
+    every = sorted(set().union(*(sets[i] for i in known)))
+    a, b = ({f: sum(f in sets[i] for i, y in known.items() if y == v) for f in every} for v in (1, 0))
+    keep = []
+    for f in every:
+        up = np.log(((a[f] + 0.5) / (n1 + 1)) / ((b[f] + 0.5) / (n0 + 1)))
+        sure = (a[f] / n1 - b[f] / n0) * np.sqrt(n1 * n0 / (n1 + n0)) > 2 * np.sqrt((a[f] + b[f]) / (n1 + n0))
+        if a[f] + b[f] >= 3 and a[f] > b[f] and up >= np.log(4) and sure:
+            keep.append(f)
+    keep = sorted(set(keep) | set(toxicity.identity_features()))
+    row = lambda s: np.array([f in s for f in keep], float)
+    x, y = np.array([row(sets[i]) for i in known]), np.array([known[i] for i in known], float)
+    named = [ws for ws in [toxicity.words_of(texts[i] or "") for i in known] if ws & set(toxicity.SWAP)]
+    swap = [(ws, {toxicity.SWAP.get(w, w) for w in ws}) for ws in named] + [tuple(toxicity.words_of(toxicity.NEUTRAL.format(w)) for w in p) for p in toxicity.PLAIN.items()]
+    strength = np.array([pull / max(1, len(named))] * len(named) + [0.2 * pull] * len(toxicity.PLAIN))
+    d = np.array([row(toxicity.features_of(u)) - row(toxicity.features_of(v)) for u, v in swap])
+    w, bias, weight = np.zeros(len(keep)), 0.0, np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    m, v, mb, vb = np.zeros(len(keep)), np.full(len(keep), 1e-12), 0.0, 1e-12
+    for t in range(1, 601):
+        r = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        gw, gb = x.T @ r + l2 * w + 2 * d.T @ (strength * (d @ w)), r.sum()
+        m, mb, v, vb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.999 * v + 0.001 * gw**2, 0.999 * vb + 0.001 * gb**2
+        rate = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        w, bias = w - rate * m / (np.sqrt(v) + 1e-9), max(floor, bias - rate * mb / (np.sqrt(vb) + 1e-9))
+    return {i: 1 / (1 + np.exp(-(bias + row(s) @ w))) for i, s in sets.items()}
+
+
+def test_toxicity_scores_brute_force(spark):
+    d, lab = table(spark, SF, "documents"), table(spark, SF, "labels")
+    texts, labels = {r.doc_id: r.text for r in d.collect()}, {}
+    for r in lab.where("toxic IS NOT NULL").collect():
+        if r.doc_id in texts:
+            labels[r.doc_id] = max(r.toxic, labels.get(r.doc_id, 0))
+    got, want = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}, plain_toxicity(texts, labels)
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i], abs=1e-4) and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 # Stupid backoff
 
 
@@ -428,6 +490,50 @@ def test_mixing_meets_targets(spark):
     assert (got[["p_good", "p_poor", "p_toxic"]].sum(axis=1) - 1).abs().max() < 1e-6
 
 
+def test_posteriors_brute_force(spark):
+    """Naive Bayes over hashed words, by hand."""
+    import xxhash
+
+    d, lab = table(spark, SF, "documents"), table(spark, SF, "labels")
+    words = {r.doc_id: set(lower(r.text).split()) for r in d.collect()}
+    domain = {(r.doc_id, "toxic" if r.toxic == 1 else {1: "good", 0: "poor"}.get(r.quality)) for r in lab.collect()}
+    domain = {(i, k) for i, k in domain if k is not None}
+    bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42) % 2**16
+    labelled = [(i, k) for i, k in domain if i in words]
+    n = {k: sum(x == k for _, x in labelled) for k in mixing.DOMAINS}
+    counts = {}
+    for i, k in labelled:
+        for w in words[i]:
+            counts.setdefault(bucket(w), dict.fromkeys(mixing.DOMAINS, 0))[k] += 1
+    ratio = {}
+    for at, c in counts.items():
+        if sum(c.values()) >= 5:
+            rate = {k: (c[k] + 0.5) / (n[k] + 1) for k in n}
+            mean = sum(rate[k] * n[k] for k in n) / sum(n.values())
+            ratio[at] = {k: np.log(rate[k] / mean) if abs(np.log(rate[k] / mean)) >= 0.7 and n[k] else 0.0 for k in n}
+    prior = {k: sum(x == k for _, x in domain) for k in mixing.DOMAINS}
+    prior = {k: np.log(v / sum(prior.values())) if v and n[k] else -1e9 for k, v in prior.items()}
+    got = mixing.mixing_rates(d, lab, {"good": 0.85, "poor": 0.1, "toxic": 0.05}).collect()
+    assert len(got) == len(words) and all(r.settled for r in got)
+    for r in got:
+        s = {k: prior[k] + sum(ratio[b][k] for b in map(bucket, words[r.doc_id]) if b in ratio) for k in mixing.DOMAINS}
+        e = {k: np.exp(v - max(s.values())) for k, v in s.items()}
+        for k in e:
+            assert r[f"p_{k}"] == pytest.approx(e[k] / sum(e.values()), abs=1e-6)
+
+
+def test_rates_say_when_steps_ran_out(spark):
+    d, lab = table(spark, SF, "documents"), table(spark, SF, "labels")
+    row = mixing.mixing_rates(d, lab, {"good": 0.3, "poor": 0.4, "toxic": 0.3}, steps=0).first()
+    assert not row.settled and row.error > 0
+
+
+def test_mixed_with_clashing_columns(spark, docs):
+    d = docs.withColumns({"rate": F.lit(9.0), "time": F.lit(1), "rated_id": F.lit(2), "__n": F.lit(3)})
+    got = mixing.mixed(d, table(spark, SF, "labels"), {"good": 0.9, "poor": 0.1})
+    assert got.columns == d.columns and got.select("doc_id").distinct().count() == len(TEXTS)
+
+
 def test_rates_brute_force(spark):
     """Projected gradient over rows, plainly, reaches no lower error."""
     rng = np.random.default_rng(0)
