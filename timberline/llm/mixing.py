@@ -85,7 +85,7 @@ def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth
     words = first["w"] or 0.0
     rate: Column = F.greatest(F.lit(float(least)), F.lit(1.0))
     if not words:
-        return rate, {"totals": [0.0 for _ in ks], "error": 0.0, "steps": 0, "budget": 0.0}
+        return rate, {"totals": [0.0 for _ in ks], "error": 0.0, "steps": 0, "budget": 0.0, "settled": True}
     now = np.array([first[f"t{k}"] for k in ks]) * max(1.0, least)
     aim = np.array([max(0.0, x) if now[k] > 1e-9 * words else 0.0 for k, x in enumerate(targets)])
     aim = aim / aim.sum() if aim.sum() else now / now.sum()
@@ -101,7 +101,7 @@ def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth
     now, moments = measured(rate)
     if least >= 1:  # at the bound every document may go up
         moments = np.array([[first[f"m{a}_{b}"] for b in ks] for a in ks]) / words
-    best, done, size, plain = error(now), 0, 1.0, False
+    best, done, size, plain, settled = error(now), 0, 1.0, False, False
     while done < steps and best >= tolerance:
         way = np.eye(len(p)) if plain else np.linalg.pinv(moments, rcond=1e-7)
         step = size * way @ (now - budget * aim) / words
@@ -112,33 +112,40 @@ def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth
         if gain > 0:
             rate, now, moments, best, size = tried, there, new_moments, error(there), min(1.0, size * 2)
             if gain < tolerance * 1e-3 or gain < 1e-6 * best:
+                settled = True
                 break
         elif size > 0.05:
             size /= 2
         elif not plain:  # the unscaled step always lowers the error where that can be done
             plain, size = True, 1.0
         else:
+            settled = True
             break
-    return rate, {"totals": now.tolist(), "targets": (budget * aim).tolist(), "error": best, "steps": done, "budget": budget}
+    return rate, {"totals": now.tolist(), "targets": (budget * aim).tolist(), "error": best, "steps": done, "budget": budget, "settled": settled or best < tolerance}
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, **how) -> DataFrame:
-    """doc_id, tokens, a posterior p_<domain> for each domain, rate: a row for each row of docs."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, steps: int = 30, **how) -> DataFrame:
+    """doc_id, tokens, a posterior p_<domain> for each domain, rate, error, settled: a row for each row of docs.
+
+    error: the squared distance of the totals from the targets, in shares of the budget, the same in each row; settled:
+    whether no step made it smaller (it is 0 where the targets can be met), rather than that `steps` ran out.
+    """
     domains = tuple(targets)
     model, priors = classifier(docs, labels, domains, **how)
     rated = written(posteriors(docs, model, priors), "rated")
-    rate, _ = fit_rates(rated, list(targets.values()), least, growth)
-    return rated.select("doc_id", "tokens", *(F.round(f"p{k}", 9).alias(f"p_{d}") for k, d in enumerate(domains)), F.round(rate, 9).alias("rate"))
+    rate, report = fit_rates(rated, list(targets.values()), least, growth, steps)
+    return rated.select("doc_id", "tokens", *(F.round(f"p{k}", 9).alias(f"p_{d}") for k, d in enumerate(domains)), F.round(rate, 9).alias("rate"), F.lit(round(report["error"], 12)).alias("error"), F.lit(report["settled"]).alias("settled"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.1, seed: int = 1) -> DataFrame:
     """docs with each row as often as its rate says, once at least: domains that are short are repeated, nothing is dropped.
 
-    growth: the budget in shares of the tokens that there are.
+    growth: the budget in shares of the tokens that there are. Rows of one id have the largest of their rates.
     """
-    rates = mixing_rates(docs, labels, targets, least=1.0, growth=growth).groupBy("doc_id").agg(F.max("rate").alias("__rate"))
-    keyed = rates.withColumnRenamed("doc_id", "__id")
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor("__rate") + F.when(part < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    out = docs.join(keyed, docs["doc_id"].eqNullSafe(keyed["__id"]), "left").withColumn("__n", F.coalesce(times, F.lit(1)).cast("int"))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__n"))))).select(*docs.columns)
+    rates = mixing_rates(docs, labels, targets, least=1.0, growth=growth).groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("rate").alias("rate"))
+    rows = docs.toDF(*(f"__{c}" for c in docs.columns))  # so that no column of docs clashes
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("__doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    out = rows.join(rates, rows["__doc_id"].eqNullSafe(rates["rated_id"]), "left")
+    repeats = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(times, F.lit(1)).cast("int")))
+    return out.withColumn("time", F.explode(repeats)).select(*rows.columns).toDF(*docs.columns)
