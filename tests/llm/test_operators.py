@@ -159,9 +159,11 @@ def test_exact_dedup(docs, key):
     assert got == plain_dedup(list(enumerate(TEXTS)))
 
 
-def test_exact_dedup_hot_groups(spark):
+@pytest.mark.parametrize("hot", [1, 3, 9])
+@pytest.mark.parametrize("list_key", [F.xxhash64, lambda r: F.size(r)])
+def test_exact_dedup_hot_groups(spark, hot, list_key):
     texts = ["same text"] * 40 + [f"text {i}" for i in range(30)] + ["other same"] * 12
-    got = by_id(exact_dedup.exact_dedup(documents(spark, texts), hot_groups=1), "keep_id", "group_size", "kept", "text_sha256")
+    got = by_id(exact_dedup.exact_dedup(documents(spark, texts), hot_groups=hot, list_key=list_key), "keep_id", "group_size", "kept", "text_sha256")
     assert got == plain_dedup(list(enumerate(texts)))
 
 
