@@ -360,7 +360,7 @@ def test_early_stop_and_continue(spark, learnable):
     d = learnable.withColumn("v", F.col("row_id") % 5 == 0)
     p = boost.BoostParams(n_rounds=40, early_stopping_rounds=3, tree=boost.TreeParams(max_depth=3, split=splits.SplitParams(learning_rate=0.8)))
     m = boost.train(d, KINDS, "y", p, valid="v")
-    assert len(m.trees) < 40 and len(m.trees) == m.history.index(min(m.history)) + 1
+    assert len(m.trees) < 40 and len(m.trees) == m.history.index(max(m.history)) + 1  # by AUC
     one = boost.BoostParams(n_rounds=2, tree=boost.TreeParams(max_depth=3))
     first = boost.train(learnable, KINDS, "y", one)
     n = len(first.trees)

@@ -63,6 +63,8 @@ def configured(**flags) -> Config:
         name = ALIASES.get(name, name)
         if name in ("algo", "class_weight", "eval_metric"):
             own[name] = str(value)
+            if name == "eval_metric":
+                config = replace(config, boost=replace(config.boost, eval_metric=str(value)))
             continue
         if name in ("objective",):
             config = replace(config, boost=replace(config.boost, loss=replace(config.boost.loss, objective=str(value))))

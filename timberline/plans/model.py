@@ -39,22 +39,25 @@ class Tree:
         return len(self.feature) - 1
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row: as many vector steps as the tree is deep."""
-        node = np.zeros(len(bins), np.int32)
-        feature, thr, ml = np.array(self.feature), np.array(self.threshold), np.array(self.missing_left)
-        left, right = np.array(self.left), np.array(self.right)
-        cats = {i: np.array(c) for i, c in enumerate(self.cats) if c is not None}
-        open_ = np.flatnonzero(feature[node] >= 0)
-        while len(open_):
-            n = node[open_]
-            b = bins[open_, feature[n]]
-            go = np.where(b == 0, ml[n], b <= thr[n])
-            for i, c in cats.items():
-                at = n == i
-                if at.any():
-                    go[at] = np.where(b[at] == 0, ml[i], np.isin(b[at], c))
-            node[open_] = np.where(go, left[n], right[n])
-            open_ = open_[feature[node[open_]] >= 0]
+        """The leaf of each row: as many vector steps as the tree is deep. A leaf leads to itself."""
+        feature, own = np.array(self.feature, np.int32), np.arange(len(self.feature), dtype=np.int32)
+        inner = feature >= 0
+        f, left, right = (np.where(inner, x, y).astype(np.int32) for x, y in ((feature, 0), (self.left, own), (self.right, own)))
+        # Where missing goes right, bin 0 wraps round to the largest number.
+        off = (inner & ~np.array(self.missing_left, bool)).astype(np.uint16)
+        most = np.where(inner, np.array(self.threshold, np.int32) - off, 65_535)
+        sets = {i: np.array(c) for i, c in enumerate(self.cats) if c is not None}
+        node, rows, depth, level = np.zeros(len(bins), np.int32), np.arange(len(bins)), 0, [0]
+        while level := [c for n in level if inner[n] for c in (self.left[n], self.right[n])]:
+            depth += 1
+        for _ in range(depth):
+            b = bins[rows, f[node]].astype(np.uint16)
+            go = (b - off[node]) <= most[node]
+            for i, c in sets.items():
+                at = np.flatnonzero(node == i)
+                if len(at):
+                    go[at] = np.where(b[at] == 0, self.missing_left[i], np.isin(b[at], c))
+            node = np.where(go, left[node], right[node])
         return node
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
