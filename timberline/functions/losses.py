@@ -76,7 +76,7 @@ def softmax_gradients(loss: Loss, raws: list[Column], y: Column, w: Column | Non
     return out
 
 
-def base_score(df: DataFrame, loss: Loss, y: str, w: str | None = None) -> DataFrame:
+def base_score(df: DataFrame, loss: Loss, y: str, w: str | None = None, row: str | None = None) -> DataFrame:
     """One row: score, where boosting starts. Softmax: class, score, the centred log priors."""
     from ..operators.order import weighted_percentile
 
@@ -98,7 +98,7 @@ def base_score(df: DataFrame, loss: Loss, y: str, w: str | None = None) -> DataF
         alpha = 0.5 if kind == "absolute_error" else loss.quantile_alpha
         if w is None:
             return df.agg(F.percentile(y, alpha).alias("score"))
-        return weighted_percentile(df, y, w, alpha).select(F.col("value").alias("score"))
+        return weighted_percentile(df, y, w, alpha, row).select(F.col("value").alias("score"))
     return df.agg(mean.alias("score"))
 
 

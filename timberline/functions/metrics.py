@@ -31,19 +31,33 @@ def _levels(df: DataFrame, score: str, y: str, w: str | None) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(pos, _weight(w)).otherwise(0.0)).alias("p"), F.sum(F.when(pos, 0.0).otherwise(_weight(w))).alias("q"))
 
 
+def _over_levels(df: DataFrame, score: str, y: str, w: str | None, sums: list[str], descending: bool, value) -> DataFrame:
+    """One row: value(levels with running sums). The levels, one for each distinct score, are made once."""
+    levels = _levels(df, score, y, w).persist()
+    found = value(running(levels, "s", sums, descending)).first()["value"]
+    levels.unpersist()
+    return df.sparkSession.createDataFrame([(found,)], "value double")
+
+
 def auc(df: DataFrame, score: str, y: str, w: str | None = None) -> DataFrame:
     """Ties count half; 0.5 with one class."""
-    t = running(_levels(df, score, y, w), "s", ["q"])
-    area = t.agg(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return area.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("a") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("value"))
+
+    def value(t: DataFrame) -> DataFrame:
+        area = t.agg(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+        return area.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("a") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("value"))
+
+    return _over_levels(df, score, y, w, ["q"], False, value)
 
 
 def aucpr(df: DataFrame, score: str, y: str, w: str | None = None) -> DataFrame:
     """Step average precision; 0 without positives."""
-    t = running(_levels(df, score, y, w), "s", ["p", "q"], descending=True)
     tp, fp = F.col("before_p") + F.col("p"), F.col("before_q") + F.col("q")
-    total = t.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * tp / (tp + fp)).otherwise(0.0)).alias("a"), F.sum("p").alias("p"))
-    return total.select(F.when(F.col("p") > 0, F.col("a") / F.col("p")).otherwise(0.0).alias("value"))
+
+    def value(t: DataFrame) -> DataFrame:
+        total = t.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * tp / (tp + fp)).otherwise(0.0)).alias("a"), F.sum("p").alias("p"))
+        return total.select(F.when(F.col("p") > 0, F.col("a") / F.col("p")).otherwise(0.0).alias("value"))
+
+    return _over_levels(df, score, y, w, ["p", "q"], True, value)
 
 
 def logloss(df: DataFrame, score: str, y: str, w: str | None = None, raw: bool = False) -> DataFrame:

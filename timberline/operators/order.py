@@ -34,17 +34,25 @@ def range_of(key: Column, cuts: list[float]) -> Column:
     return sum(((key > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
 
 
-def running(df: DataFrame, key: str, sums: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
+#: So many keys may be ordered in one task; more are dealt to ranges.
+FEW = 1 << 17
+
+
+def running(df: DataFrame, key: str, sums: list[str], descending: bool = False, buckets: int = 64, few: int = FEW) -> DataFrame:
     """df has a row for each key. Adds before_<s> for each of sums: its sum over the keys that come before.
 
-    Keys are dealt to ranges by approximate quantiles; each range is summed in order, from the ranges' totals before it.
+    More than `few` keys are dealt to ranges by approximate quantiles; each range is summed in order, from the ranges' totals
+    before it. df is read several times: persist it, or give a table.
     """
+    order = F.desc(key) if descending else F.asc(key)
+    if df.limit(few + 1).count() <= few:
+        back = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"before_{s}": F.coalesce(F.sum(s).over(back), F.lit(0)) for s in sums})
     cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)))
     place = range_of(F.col(key), cuts)
     if descending:
         place = -place
     dealt = df.withColumn("__r", place)
-    order = F.desc(key) if descending else F.asc(key)
     back = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("__r").agg(*(F.sum(s).alias(f"__t_{s}") for s in sums))
     heads = totals.select("__r", *(F.coalesce(F.sum(f"__t_{s}").over(back), F.lit(0)).alias(f"__h_{s}") for s in sums))
@@ -55,17 +63,26 @@ def running(df: DataFrame, key: str, sums: list[str], descending: bool = False,
     return out.drop("__r", *(f"__h_{s}" for s in sums))
 
 
-def weighted_percentile(df: DataFrame, value: str, weight: str, alpha: float) -> DataFrame:
-    """value: where the running weight first passes alpha times the total; interpolated only where the step is 1 or more."""
-    rows = df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w")).where("w > 0")
-    sums = running(rows, "v", ["w"]).withColumn("cdf", F.col("before_w") + F.col("w"))
-    total = sums.agg(F.sum("w").alias("total"))
+def weighted_percentile(df: DataFrame, value: str, weight: str, alpha: float, row: str | None = None, few: int = FEW) -> DataFrame:
+    """value: that of the first row, by value and then row id, at which the running weight passes alpha times the total; between
+    it and the row before where its own weight is 1 or more, but for the very first and last row. Without row ids the
+    lightest of equal values comes first."""
+    first = F.min_by(weight, row) if row else F.min(weight)
+    rows = df.where(F.col(weight) > 0).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"), first.alias("first"), F.count("*").alias("n")).persist()
+    sums = running(rows, "v", ["w"], few=few).withColumn("cdf", F.col("before_w") + F.col("w"))
+    total = rows.agg(F.sum("w").alias("total"), F.max("v").alias("top"))
     passed = sums.join(F.broadcast(total)).withColumn("t", F.col("total") * alpha)
-    at = passed.where("cdf > t").agg(F.min_by(F.struct("v", "w", "cdf", "before_w", "t"), "v").alias("hi"))
+    at = passed.where("cdf > t").agg(F.min_by(F.struct("v", "first", "n", "before_w", "t", "top"), "v").alias("hi"))
     below = passed.where("cdf <= t").agg(F.max("v").alias("lo"))
-    top = rows.agg(F.max("v").alias("top"))
-    both = at.join(F.broadcast(below)).join(F.broadcast(top))
-    lo, hi = F.col("lo"), F.col("hi.v")
-    step = F.col("hi.cdf") - F.col("hi.before_w")
-    inner = F.when(lo.isNull(), hi).when(step >= 1, lo + (F.col("hi.t") - F.col("hi.before_w")) / step * (hi - lo)).otherwise(lo)
-    return both.select(F.when(F.col("hi").isNull(), F.col("top")).otherwise(inner).alias("value"))
+    r = at.join(F.broadcast(below)).join(F.broadcast(total)).first()
+    rows.unpersist()
+    out = None
+    if r is not None and r["top"] is not None:
+        hi, lo = r["hi"], r["lo"]
+        if hi is None:
+            out = r["top"]
+        elif lo is None or hi["t"] >= hi["before_w"] + hi["first"] or (hi["v"] == hi["top"] and hi["n"] == 1):
+            out = hi["v"]
+        else:
+            out = lo + (hi["t"] - hi["before_w"]) / hi["first"] * (hi["v"] - lo) if hi["first"] >= 1 else lo
+    return df.sparkSession.createDataFrame([(None if out is None else float(out),)], "value double")

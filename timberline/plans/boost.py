@@ -208,7 +208,8 @@ def _count_rows(rows: int, rate: float) -> int:
 
 
 def _mvs_cut(data: "_Data", s: _State, k: int) -> tuple:
-    """The size mu at which the rows' chances min(1, size / mu) sum to subsample * n, and the regulariser; by bisection over counted bits."""
+    """The size mu at which the rows' chances min(1, size / mu) sum to subsample * n, and the regulariser. Sizes are
+    counted in cells of a sixteenth of an octave, so the number drawn is right to within the cell that holds mu."""
     shared, c = data.blocks.sparkSession.sparkContext.broadcast(s), k % s.width
 
     def grads(b: Block) -> np.ndarray:
@@ -824,7 +825,7 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
     elif init and loss.objective != "softmax":
         base = [0.0] * len(init)
     else:
-        found = base_score(fit_rows, loss, y, w)
+        found = base_score(fit_rows, loss, y, w, row)
         base = [r["score"] for r in (found.orderBy("class") if loss.objective == "softmax" else found).collect()]
     if init:
         check_init(df, init, len(base) if loss.objective == "softmax" or start else 1)
