@@ -57,3 +57,71 @@ def test_cv_and_tune(spark, data):
 def test_profile(data):
     p = {r["column"]: r for r in commands.profile(data.drop("more")).collect()}
     assert p["c"]["distinct"] == 6 and p["a"]["missing"] > 0 and p["y"]["kind"] == "categorical"
+
+
+def test_linear_uses_categories(spark, data):
+    """Against the closed form over the design's columns, and with the category that the label depends on."""
+    import numpy as np
+
+    from timberline.plans import linear
+
+    d = data.select("row_id", "a", "c", (F.when(F.col("c") == "l2", 3.0).otherwise(0.0) + F.coalesce("a", F.lit(0.5)) + F.col("w")).alias("t"))
+    m = linear.fit_design(d, {"a": "numeric", "c": "categorical"}, "t", linear.LinearParams("squared_error", reg_lambda=4.0, tol=1e-12))
+    assert m.features == ["a", *(f"c={x}" for x in m.design.schema.features[1].levels)] and len(m.features) == 7
+    rows = m.design.applied(d).toPandas()
+    x = rows[[f"__d{i}" for i in range(7)]].to_numpy()
+    x = (x - x.mean(0)) / x.std(0)
+    k = np.eye(8) * 4.0
+    k[0, 0] = 0
+    x1 = np.column_stack([np.ones(len(x)), x])
+    want = np.linalg.solve(x1.T @ x1 + k, x1.T @ rows.t.to_numpy())
+    assert np.allclose([m.intercepts[0], *m.coefficients[0]], want, atol=1e-4)
+    b, r = commands.train(data, "y", configured(algo="linear"), drop=["k", "w", "more"])
+    assert "c=l2" in b.model.features and b.model.inputs == ["a", "b", "c"]
+    imp, shap = commands.explained(data, b, ["row_id"], top=2)
+    assert imp.count() == 2 and set(shap.columns) == {"row_id", "shap_a", "shap_b", "shap_c", "shap_bias"}
+
+
+def test_explain_many_classes_and_files(spark, data, tmp_path):
+    d = data.drop("y", "w", "more")
+    for algo in ("linear", "gbdt"):
+        b, _ = commands.train(d, "k", configured(algo=algo, objective="softmax", n_rounds=2, max_depth=2))
+        _, shap = commands.explained(d, b, ["row_id"], shap=str(tmp_path / algo))
+        assert {f"shap_{k}_{f}" for k in "xyz" for f in ("a", "b", "c", "bias")} <= set(shap.columns)
+        text = spark.read.csv(str(tmp_path / algo), header=True)
+        assert text.columns[0] == "row_id" and text.count() == 1500 and len(text.first()["shap_x_a"].split(".")[1]) == 8
+
+
+def test_wrong_values_are_refused(spark):
+    from timberline.plans import explain
+
+    d = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 2.0, 3.1)], "shap_a double, shap_bias double, raw double")
+    with pytest.raises(ValueError, match="miss the raw score"):
+        explain.check_additive(d, F.col("raw"), ["shap_a", "shap_bias"])
+    explain.check_additive(d.limit(1), F.col("raw"), ["shap_a", "shap_bias"])
+
+
+def test_cv_side_columns_and_files(spark, data, tmp_path, monkeypatch):
+    d = data.drop("k").withColumn("s", F.lit(0.1))
+    c = configured(n_rounds=2, max_depth=2)
+    r = commands.cv(d, "y", c, folds=2, repeats=2, weight="w", extra="more", extra_weight=0.5, init=["s"], pos_label="no", oof=str(tmp_path / "oof"))
+    held = d.where(~F.col("more")).count()
+    assert [x.oof.count() for x in r] == [held] * 2
+    written = spark.read.csv(str(tmp_path / "oof"), header=True)
+    assert written.columns == ["fold", "label", "prediction"] and written.count() == held
+    made, real = [], commands.fit_schema
+    monkeypatch.setattr(commands, "fit_schema", lambda *a: made.append(1) or real(*a))
+    trials, _ = commands.tune(d.drop("more", "s"), "y", {"n_rounds": 1, "max_depth": 1}, ["learning_rate=0.1..0.3", "max_bin=8,16"], "grid", 4, 2, weight="w", out=str(tmp_path / "trials"))
+    assert len(made) == 2 and len(trials) == 4
+    rows = spark.read.csv(str(tmp_path / "trials"), header=True).collect()
+    assert [int(x.rank) for x in rows] == [1, 2, 3, 4] and all(int(x.ms) > 0 for x in rows)
+
+
+def test_refusals(spark):
+    from timberline.operators import rows
+
+    d = spark.range(30).selectExpr("cast(id as string) AS c", "1 AS one")
+    with pytest.raises(ValueError, match="more than 9 classes"):
+        rows.encode_labels(d, "c", most=9)
+    with pytest.raises(ValueError, match="one class"):
+        rows.encode_labels(d, "one")

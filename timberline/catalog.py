@@ -585,6 +585,20 @@ def stump_shap(spark, sf):
     return explain.tree_shap(table(spark, sf, "events").select("event_id", "value"), stump, keep=["event_id"]).select("event_id", _r("shap_value"), _r("shap_bias"))
 
 
+@query("design_onehot", """WITH t AS (SELECT l_quantity AS q, l_returnflag AS f, l_linestatus AS s FROM lineitem)
+SELECT 'q' AS name, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS sd FROM t
+UNION ALL SELECT 'f=' || f, round(n / t, 6), round(sqrt(n / t * (1 - n / t)), 6) FROM (SELECT f, count(*)::DOUBLE AS n, (SELECT count(*) FROM t)::DOUBLE AS t FROM t GROUP BY f)
+UNION ALL SELECT 's=' || s, round(n / t, 6), round(sqrt(n / t * (1 - n / t)), 6) FROM (SELECT s, count(*)::DOUBLE AS n, (SELECT count(*) FROM t)::DOUBLE AS t FROM t GROUP BY s)""")
+def design_onehot(spark, sf):
+    from .plans import linear
+
+    li = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
+    d = linear.design(li, {"q": "numeric", "f": "categorical", "s": "categorical"})
+    names = [f"__d{i}" for i in range(len(d.names))]
+    shown = F.element_at(F.create_map(*(F.lit(x) for pair in zip(names, d.names) for x in pair)), F.col("feature"))
+    return linear.moments(d.applied(li), names).select(shown.alias("name"), _r("mean"), _r("sd"))
+
+
 @query("linear_shap", """WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS b, avg(l_tax) AS c, stddev_pop(l_tax) AS d FROM lineitem)
 SELECT l_linenumber, round(avg(abs(0.7::DOUBLE * (l_quantity - a) / b)), 6) AS quantity, round(avg(abs(-0.2::DOUBLE * (l_tax - c) / d)), 6) AS tax FROM lineitem, m GROUP BY 1""")
 def linear_shap(spark, sf):
@@ -674,7 +688,7 @@ def tune_random(spark, sf):
         how = linear.LinearParams(reg_lambda=p["reg_lambda"], standardize=p["standardize"] == "1")
         return search.cross_validate(d, "late", lambda t: linear.fit(t, ["quantity", "line"], "late", how), linear.predict, "auc", k=2, first=min(k, 2)).mean
 
-    return search.trial_table(spark, search.search(axes, evaluate, "random", 3, 2))
+    return search.trial_table(spark, search.search(axes, evaluate, "random", 3, 2)).drop("ms")
 
 
 @query("tree_shap")

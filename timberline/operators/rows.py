@@ -14,6 +14,9 @@ def encode_labels(df: DataFrame, label: str, numeric: bool = False, most: int =
     """class, index: classes in order. One class, or too many, are refused."""
     value = F.col(label).cast("double") if numeric else F.col(label).cast("string")
     classes = df.where(value.isNotNull()).select(value.alias("class")).distinct()
+    found = classes.limit(most + 1).count()
+    if not 1 < found <= most:
+        raise ValueError(f"{label} has {'one class' if found == 1 else 'no class' if not found else f'more than {most} classes'}")
     return classes.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("long").alias("index"))
 
 
@@ -34,10 +37,10 @@ def check_weights(df: DataFrame, weight: str) -> None:
 
 def check_labels(df: DataFrame, label: str, objective: str) -> None:
     y = F.col(label).cast("double")
-    s = df.agg(F.count(F.when(y.isNull() | F.isnan(y), 1)).alias("missing"), F.min(y).alias("lo"), F.max(y).alias("hi"), F.count_distinct(y).alias("n")).first()
-    if s["missing"]:
+    s = df.agg(F.count(F.when(y.isNull() | F.isnan(y), 1)).alias("missing"), F.min(y).alias("lo"), F.max(y).alias("hi")).first()
+    if s["missing"] or s["lo"] is None:
         raise ValueError(f"{s['missing']} labels are missing")
-    if objective == "logistic" and (s["lo"] < 0 or s["hi"] > 1 or s["n"] < 2):
+    if objective == "logistic" and (s["lo"] < 0 or s["hi"] > 1 or s["lo"] == s["hi"]):
         raise ValueError("logistic labels must lie between 0 and 1 and have two values")
     if objective == "poisson" and s["lo"] < 0:
         raise ValueError("Poisson labels must not be negative")

@@ -84,8 +84,9 @@ def fit(df: DataFrame, label: str, config: Config, kinds: dict[str, str], weight
         df = df.join(F.broadcast(own), df[label] == own["__c"], "left").withColumn("__w", F.coalesce("__cw", F.lit(1.0)) * (F.lit(1.0) if weight is None else F.col(weight))).drop("__c", "__cw")
         weight = "__w"
     if config.algo == "linear":
-        numeric = [c for c, k in kinds.items() if k == "numeric"]
-        return linear.fit(df.where(~F.col(valid)) if valid else df, numeric, label, config.linear, weight)
+        m = linear.fit_design(df.where(~F.col(valid)) if valid else df, kinds, label, config.linear, weight, config.boost.bins, schema)
+        m.classes = list(classes) if objective == "softmax" else []
+        return m
     if config.algo == "forest":
         return boost.train_forest(df.where(~F.col(valid)) if valid else df, kinds, label, config.forest, weight, row, objective == "logistic")
     params = config.boost
@@ -103,7 +104,7 @@ def auto_policy(df: DataFrame, kinds: dict[str, str], label: str, params: boost.
     sign = 1 if name in ("auc", "r2", "accuracy", "aucpr") else -1
     scores = []
     for policy in POLICIES[:-1]:
-        own = replace(params, bins=replace(params.bins, bin_policy=policy), n_rounds=min(params.n_rounds, 20))
+        own = replace(params, bins=replace(params.bins, bin_policy=policy))
         r = search.cross_validate(d, label, lambda t, own=own: boost.train(t, kinds, label, own, weight, row), lambda t, m: model.predict(t, m), name, k=3)
         scores.append((-sign * round(r.pooled, 12), len(scores), policy))
     d.unpersist()
@@ -162,7 +163,7 @@ def score(df: DataFrame, bundle: Bundle, name: str | None = None) -> float:
 
 def blend(df: DataFrame, bundles: list[Bundle], weights: list[float], row: str = ROW) -> DataFrame:
     """row, prediction: the weighted mean of models of the same features."""
-    names = [sorted(f.name for f in b.model.schema.features) if isinstance(b.model, model.Model) else sorted(b.model.features) for b in bundles]
+    names = [sorted({c for f in b.model.schema.features for c in (f.source or [f.name])}) if isinstance(b.model, model.Model) else sorted(b.model.inputs) for b in bundles]
     if any(n != names[0] for n in names):
         raise ValueError("blended models must have the same features")
     out = df
@@ -184,21 +185,45 @@ def profile(df: DataFrame, row: str = ROW) -> DataFrame:
     return profiles.profile(df, [c for c, k in kinds.items() if k == "numeric"], [c for c, k in kinds.items() if k != "numeric"])
 
 
-def cv(df: DataFrame, label: str, config: Config | None = None, folds: int = 5, fold_seed: int = 1, repeats: int = 1, group: str | None = None, weight: str | None = None, row: str = ROW, drop: list[str] = (), first: int | None = None) -> list[search.CvResult]:
-    """A result for each repeat. Bins are made once, from features only. Folds use given weights; class weights only train."""
+def cv(df: DataFrame, label: str, config: Config | None = None, folds: int = 5, fold_seed: int = 1, repeats: int = 1, group: str | None = None, weight: str | None = None, row: str = ROW, drop: list[str] = (), first: int | None = None, pos_label: str | None = None, extra: str | None = None, extra_weight: float = 1.0, init: list[str] | None = None, oof: str | None = None, schema=None) -> list[search.CvResult]:
+    """A result for each repeat. Bins are made once, from features only. Folds use given weights; class weights only train.
+
+    extra: a boolean column of rows that train in every fold, times extra_weight, and are in none; oof: where the first
+    repeat's predictions are written; schema: bins made before, of the same columns and settings.
+    """
     config = config or Config()
     objective = config.linear.objective if config.algo == "linear" else config.boost.loss.objective
-    d, classes = encoded(drop_columns(df, list(drop)), label, objective)
-    kinds = kinds_of(d, {label, row, *([weight] if weight else []), *([group] if group else [])})
-    schema = None if config.algo != "gbdt" or config.boost.bins.bin_policy == "auto" else fit_schema(d, kinds, config.boost.bins)
+    if extra_weight < 0:
+        raise ValueError("extra_weight must not be negative")
+    d, classes = encoded(drop_columns(df, list(drop)), label, objective, None, pos_label)
+    if weight:
+        rowops.check_weights(d, weight)
+    side = [c for c in (weight, group, extra) if c] + list(init or [])
+    kinds = kinds_of(d, {label, row, *side})
+    own = "__xw" if extra else weight
+    if extra:
+        d = d.withColumn("__xw", F.when(F.col(extra), extra_weight).otherwise(1.0) * (F.lit(1.0) if weight is None else F.col(weight)))
+    if schema is None and binned(config):
+        schema = fit_schema(d, kinds, config.boost.bins)
     out = []
     for r in range(repeats):
-        dealt = (rowops.grouped_folds(d, group, folds, fold_seed + r) if group else rowops.folds(d, [row], folds, fold_seed + r, label if objective in ("logistic", "softmax") else None)).persist()
-        one = lambda t: Bundle(fit(_stopping(t, config, row, label), label, config, kinds, weight, row, "__stop" if _stops(config) else None, classes, schema=schema), label, objective, classes)
+        main = d.where(~F.col(extra)) if extra else d
+        dealt = rowops.grouped_folds(main, group, folds, fold_seed + r) if group else rowops.folds(main, [row], folds, fold_seed + r, label if objective in ("logistic", "softmax") else None)
+        if extra:
+            dealt = dealt.unionByName(d.where(F.col(extra)).withColumn("fold", F.lit(None).cast("int")))
+        dealt = dealt.persist()
+        one = lambda t: Bundle(fit(_stopping(t, config, row, label), label, config, kinds, own, row, "__stop" if _stops(config) else None, classes, init=init, schema=schema), label, objective, classes)
         out.append(search.cross_validate(dealt, label, one, lambda t, b: _single(predict(t, b), b), config.eval_metric or DEFAULT[objective], k=folds, w=weight, first=first))
+        if oof and not r:
+            search.write_oof(out[0], oof, label)
     return out
 
 
+def binned(config: Config) -> bool:
+    """Whether bins can be made before rows are dealt."""
+    return config.algo != "forest" and config.boost.bins.bin_policy != "auto"
+
+
 def _stops(config: Config) -> bool:
     return config.algo == "gbdt" and config.boost.early_stopping_rounds > 0
 
@@ -222,36 +247,68 @@ SPACES = {
 }
 
 
-def tune(df: DataFrame, label: str, fixed: dict | None = None, space: list[str] | None = None, strategy: str = "random", trials: int = 40, folds: int = 5, confirm: int = 0, confirm_seeds: int = 2, row: str = ROW, **how) -> tuple[list[search.Trial], dict]:
-    """Trials, best first, and a report: axes whose winner lies at an end, whether the winner's score repeats, scores on unseen seeds."""
+def tune(df: DataFrame, label: str, fixed: dict | None = None, space: list[str] | None = None, strategy: str = "random", trials: int = 40, folds: int = 5, confirm: int = 0, confirm_seeds: int = 2, row: str = ROW, group: str | None = None, weight: str | None = None, init: list[str] | None = None, drop: list[str] = (), pos_label: str | None = None, out: str | None = None, **how) -> tuple[list[search.Trial], dict]:
+    """Trials, best first, and a report: axes whose winner lies at an end, whether the winner's score repeats, scores on unseen seeds.
+
+    Bins are made again only where a trial changes their settings. out: where the trials are written.
+    """
     fixed = dict(fixed or {})
     algo = fixed.get("algo", "gbdt")
+    skip = {label, row, *(c for c in (group, weight) if c), *(init or []), *drop}
     if space is None:
         space = [s for s in SPACES[algo] if s.split("=")[0] not in fixed]
-        if any(k == "string" for c, k in df.dtypes if c != label) and algo == "gbdt" and "cat_split" not in fixed:
+        if any(k == "string" for c, k in df.dtypes if c not in skip) and algo == "gbdt" and "cat_split" not in fixed:
             space.append("cat_split=ordinal,optimal")
     axes = [search.Axis.parse(s) for s in space]
+    made: dict = {}
+
+    def bins_of(c: Config):
+        if not binned(c):
+            return None
+        if c.boost.bins not in made:
+            d = drop_columns(df, list(drop))
+            made[c.boost.bins] = fit_schema(d, kinds_of(d, skip - set(drop)), c.boost.bins)
+        return made[c.boost.bins]
 
     def evaluate(p: dict, k: int, seed: int = 1) -> float:
         c = configured(**fixed, **p)
-        return cv(df, label, c, folds, seed, 1, row=row, first=min(k, folds))[0].pooled
+        return cv(df, label, c, folds, seed, 1, group, weight, row, drop, min(k, folds), pos_label, init=init, schema=bins_of(c))[0].pooled
 
     found = search.search(axes, evaluate, strategy, trials, folds, configured(**fixed).eval_metric or DEFAULT[fixed.get("objective", "logistic")], **how)
     report: dict = {"edges": [a.name for a in axes if found and a.near_edge(found[0].params[a.name])]}
     if found:
         report["repeats"] = abs(evaluate(found[0].params, folds) - found[0].score) <= 1e-9
         report["confirmed"] = [[evaluate(t.params, folds, 1000 + s) for s in range(confirm_seeds)] for t in found[:confirm]]
+    if out:
+        search.write_trials(df.sparkSession, found, out)
     return found, report
 
 
-def explained(df: DataFrame, bundle: Bundle, keep: list[str], cover: str = "hess") -> tuple[DataFrame, DataFrame]:
-    """Importance of the features, and Shapley values of the rows."""
+def explained(df: DataFrame, bundle: Bundle, keep: list[str], cover: str = "hess", top: int | None = None, shap: str | None = None, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Importance of the features, the `top` largest, and Shapley values of the rows, of every class.
+
+    check: refuses values that don't sum to the raw score; shap: where the values are written, with the first of keep as id.
+    """
     m = bundle.model
+    many = [f"shap_{c}_" for c in (m.classes or range(m.width if isinstance(m, model.Model) else len(m.intercepts)))] if bundle.objective == "softmax" else ["shap_"]
     if isinstance(m, linear.LinearModel):
-        shap = explain.linear_shap(df, dict(zip(m.features, m.coefficients[0])), m.stats).select(*keep, *(f"shap_{c}" for c in m.features), F.lit(m.intercepts[0]).alias("shap_bias"))
-        spark = df.sparkSession
-        return spark.createDataFrame([(f, abs(c)) for f, c in zip(m.features, m.coefficients[0])], "feature string, gain double"), shap
-    return explain.importance(m.nodes(df.sparkSession)), explain.tree_shap(df, m, keep, cover)
+        values, of = explain.linear_model_shap(df, m, keep), m.inputs
+        sizes: dict[str, float] = {}
+        for cs in m.coefficients:
+            for (f, _), c in zip(m.design.columns if m.design else [(f, None) for f in m.features], cs):
+                sizes[f] = sizes.get(f, 0.0) + abs(float(c))
+        found = df.sparkSession.createDataFrame(sorted(sizes.items()), "feature string, gain double")
+        raws = [r.alias(f"__raw{i}") for i, r in enumerate(linear.raw_scores(m))]
+        both = explain.linear_model_shap(df.select("*", *raws), m, [*keep, *(f"__raw{i}" for i in range(len(raws)))]) if check else None
+    else:
+        values, found, of = explain.tree_shap(df, m, keep, cover), explain.importance(m.nodes(df.sparkSession)), [f.name for f in m.schema.features]
+        both = explain.tree_shap(df, m, [], cover, raw=True) if check else None
+    if both is not None:
+        for i, head in enumerate(many):
+            explain.check_additive(both, F.col(f"__raw{i}"), [*(f"{head}{f}" for f in of), f"{head}bias"])
+    if shap:
+        explain.write_shap(values, shap, keep[0] if keep else None)
+    return explain.top(found, [c for c in found.columns if c != "feature"][0], top), values
 
 
 __all__ = ["BinParams", "Bundle", "blend", "cv", "explained", "fit", "info", "predict", "profile", "score", "train", "tune"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .model import Model, Tree, mapped
@@ -73,11 +73,11 @@ def tree_shap_values(t: Tree, bins: np.ndarray, cover: str = "hess") -> tuple[np
     return phi, bias
 
 
-def tree_shap(df: DataFrame, model: Model, keep: list[str], cover: str = "hess") -> DataFrame:
-    """keep, shap_<feature>.., shap_bias: they add up to the raw score. With classes each name has the class before it."""
+def tree_shap(df: DataFrame, model: Model, keep: list[str], cover: str = "hess", raw: bool = False) -> DataFrame:
+    """keep, shap_<feature>.., shap_bias: they add up to the raw score, which raw adds as __raw0.. With classes each name has the class before it."""
     names = [f.name for f in model.schema.features]
     labels = [""] if model.width == 1 else [f"{c}_" for c in (model.classes or range(model.width))]
-    out = [f"shap_{p}{x}" for p in labels for x in (*names, "bias")]
+    out = [f"shap_{p}{x}" for p in labels for x in (*names, "bias")] + [f"__raw{i}" for i in range(model.width) if raw]
 
     def run(m: Model, bins: np.ndarray) -> np.ndarray:
         parts = []
@@ -89,7 +89,7 @@ def tree_shap(df: DataFrame, model: Model, keep: list[str], cover: str = "hess")
                 scale = 1 / len(own) if m.average else 1
                 phi, bias = phi + p * scale, bias + b * scale
             parts.append(np.column_stack([phi, np.full(len(bins), bias)]))
-        return np.column_stack(parts)
+        return np.column_stack([*parts, m.raw(bins)] if raw else parts)
 
     return mapped(df, model, keep, out, run)
 
@@ -99,5 +99,40 @@ def linear_shap(df: DataFrame, coefficients: dict[str, float], stats: dict[str,
     return df.withColumns({f"shap_{c}": w * F.coalesce(F.try_divide(F.col(c) - stats[c][0], F.lit(stats[c][1])), F.lit(0.0)) for c, w in coefficients.items()})
 
 
+def linear_model_shap(df: DataFrame, model, keep: list[str]) -> DataFrame:
+    """keep, shap_<feature>.., shap_bias: a feature's columns together; of many classes shap_<class>_<feature>."""
+    from .linear import standard
+
+    xs, outs = standard(model), []
+    of = [f for f, _ in model.design.columns] if model.design is not None else list(model.features)
+    many = len(model.intercepts) > 1
+    for k, (coefs, bias) in enumerate(zip(model.coefficients, model.intercepts)):
+        head = f"shap_{model.classes[k] if model.classes else k}_" if many else "shap_"
+        for name in dict.fromkeys(of):
+            outs.append(sum((x * float(c) for x, c, o in zip(xs, coefs, of) if o == name), F.lit(0.0)).alias(head + name))
+        outs.append(F.lit(float(bias)).alias(head + "bias"))
+    return df.select(*keep, *outs)
+
+
+def check_additive(shap: DataFrame, raw: Column, columns: list[str], tolerance: float = 1e-6) -> None:
+    """Refuses values that don't sum to the raw score, in shares of the largest."""
+    total = sum((F.col(f"`{c}`") for c in columns), F.lit(0.0))
+    r = shap.agg(F.max(F.abs(total - raw)).alias("apart"), F.max(F.abs(raw)).alias("size")).first()
+    if r["apart"] is not None and r["apart"] > tolerance * max(1.0, r["size"]):
+        raise ValueError(f"the values miss the raw score by {r['apart']}")
+
+
+def write_shap(shap: DataFrame, path: str, id_col: str | None = None, digits: int = 8) -> None:
+    """A CSV folder: the id if any, then every value with eight decimals."""
+    values = [c for c in shap.columns if c.startswith("shap_")]
+    shap.select(*([id_col] if id_col else []), *(F.format_string(f"%.{digits}f", F.col(f"`{c}`")).alias(c) for c in values)).write.mode("overwrite").csv(path, header=True)
+
+
+def top(table: DataFrame, value: str, n: int | None = None) -> DataFrame:
+    """The n largest rows by a value, ties by the first column; all without n."""
+    ordered = table.orderBy(F.desc(value), table.columns[0])
+    return ordered if n is None else ordered.limit(n)
+
+
 def mean_abs(shap: DataFrame, columns: list[str]) -> DataFrame:
     return shap.agg(*(F.avg(F.abs(c)).alias(c) for c in columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -107,6 +108,7 @@ class Trial:
     params: dict
     score: float
     folds: int
+    ms: int = 0
 
 
 def grid(axes: list[Axis], steps: int = 5, trials: int = 40) -> Iterator[dict]:
@@ -151,17 +153,22 @@ def search(axes: list[Axis], evaluate: Callable[[dict, int], float], strategy: s
     sign = 1 if metric_name in HIGHER_IS_BETTER else -1
     done: list[Trial] = []
 
+    spent: dict[str, int] = {}
+
     def run(params: dict, n: int) -> float | None:
+        began = time.monotonic()
         try:
             return evaluate(params, n)
         except ValueError:
             return None
+        finally:
+            spent[repr(params)] = spent.get(repr(params), 0) + int(1000 * (time.monotonic() - began))
 
     if strategy in ("grid", "random"):
         for params in grid(axes, grid_steps, trials) if strategy == "grid" else random(axes, trials, seed):
             s = run(params, folds)
             if s is not None:
-                done.append(Trial(params, s, folds))
+                done.append(Trial(params, s, folds, spent[repr(params)]))
     elif strategy == "bayes":
         rng, seen = np.random.default_rng(seed), []
         for t in range(trials):
@@ -170,14 +177,14 @@ def search(axes: list[Axis], evaluate: Callable[[dict, int], float], strategy: s
             s = run(params, folds)
             if s is not None:
                 seen.append((u, sign * s))
-                done.append(Trial(params, s, folds))
+                done.append(Trial(params, s, folds, spent[repr(params)]))
     elif strategy == "bandit":
         left, n = list(random(axes, trials, seed)), min_folds
         while left:
             scored = [(p, s) for p in left if (s := run(p, min(n, folds))) is not None]
             scored.sort(key=lambda x: -sign * x[1])
             if n >= folds:
-                done += [Trial(p, s, folds) for p, s in scored]
+                done += [Trial(p, s, folds, spent[repr(p)]) for p, s in scored]
                 break
             left, n = [p for p, _ in scored[: max(1, len(scored) // eta)]], n * eta
     else:
@@ -186,4 +193,22 @@ def search(axes: list[Axis], evaluate: Callable[[dict, int], float], strategy: s
 
 
 def trial_table(spark, trials: list[Trial]) -> DataFrame:
-    return spark.createDataFrame([(i + 1, float(t.score), t.folds, " ".join(f"{k}={v}" for k, v in sorted(t.params.items()))) for i, t in enumerate(trials)], "rank int, score double, folds int, params string")
+    return spark.createDataFrame([(i + 1, float(t.score), t.folds, int(t.ms), " ".join(f"{k}={v}" for k, v in sorted(t.params.items()))) for i, t in enumerate(trials)], "rank int, score double, folds int, ms long, params string")
+
+
+def write_trials(spark, trials: list[Trial], path: str) -> None:
+    """A CSV folder: rank, score, folds, ms, params, best first."""
+    trial_table(spark, trials).coalesce(1).orderBy("rank").write.mode("overwrite").csv(path, header=True)
+
+
+def write_oof(result: CvResult, path: str, y: str, fold: str = "fold", prediction: str = "prediction", digits: int = 8) -> None:
+    """A CSV folder: fold, label, prediction with eight decimals; of many classes their scores, a space between."""
+    kind = dict(result.oof.dtypes)[prediction]
+    shown = F.format_string(f"%.{digits}f", prediction) if not kind.startswith("array") else F.array_join(F.transform(prediction, lambda x: F.format_string(f"%.{digits}f", x)), " ")
+    result.oof.select(F.col(fold).alias("fold"), F.col(y).alias("label"), shown.alias("prediction")).write.mode("overwrite").csv(path, header=True)
+
+
+def repeats_summary(results: list[CvResult]) -> dict[str, float]:
+    """Mean and population sd of the pooled scores of repeats."""
+    pooled = [r.pooled for r in results]
+    return {"mean": float(np.mean(pooled)), "sd": float(np.std(pooled))}

@@ -81,7 +81,9 @@ def read_csv(spark: SparkSession, path: str, kinds: dict[str, str] | None = None
 def dictionary(df: DataFrame, column: str, row: str = ROW) -> DataFrame:
     """level, id: ids from 0 in the order in which levels first appear."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.min(row).alias("first_row"))
-    # Levels are at most MAX_LEVELS, so one ordered task is enough.
+    if first.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+    # So one ordered task is enough.
     return first.select("level", (F.row_number().over(Window.orderBy("first_row", "level")) - 1).cast("long").alias("id"))
 
 
