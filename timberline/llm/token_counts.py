@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import regex
 from pyspark.sql import DataFrame, Window
@@ -36,7 +37,7 @@ class Lengths:
         self.encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         space = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.split = regex.compile(space)
-        self.long_run, self.long = long_run, regex.compile(rf"[{SPACE}]{{{long_run}}}|[^{SPACE}]{{{long_run}}}")
+        self.long_run, self.long = long_run, re.compile(rf"\s{{{long_run}}}")
 
     @functools.cached_property
     def merges(self) -> Merges:
@@ -54,7 +55,7 @@ class Lengths:
         return Merges({}, pairs)
 
     def of(self, text: str) -> int:
-        if not self.long.search(text):
+        if len(text) < self.long_run or not self.long.search(text) and max(map(len, text.split()), default=0) < self.long_run:
             return len(self.encoding.encode_ordinary(text))
         return sum(map(self.piece, (m.group().encode() for m in self.split.finditer(text))))
 
