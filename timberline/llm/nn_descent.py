@@ -192,8 +192,12 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
     return lists.select("node", "other", "d2")
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, steps: int = 40, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` the `top` nearest others found."""
+def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query the `top` nearest others found.
+
+    queries: a table with the ids of the vectors to ask for; without it those whose id is divisible by `every`. A walk ends when
+    none of the best `beam` is unopened, however many steps that takes.
+    """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
     first = rows.select(F.size("v")).first()
@@ -215,7 +219,12 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
     around = edges.select("node", "other").unionByName(kept_back).distinct()
     both = written(around.join(classes.select(F.col("node").alias("other"), "x"), "other").select("node", "other", "x"), "graph")
 
-    asked_ids = member.where(F.col("id") % every == 0).select(F.col("node").alias("q")).distinct()
+    if queries is None:
+        asking = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
+    else:
+        wanted = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
+        asking = member.join(wanted, member["id"] == wanted["query_id"]).select("query_id", "node")
+    asked_ids = asking.select(F.col("node").alias("q")).distinct()
     asked = written(asked_ids.join(classes, asked_ids["q"] == classes["node"]).select("q", F.col("x").alias("qx")), "asked")
     opening = classes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(starts).collect()  # a fixed number
     schema = "node long, other long, d2 double, new int"
@@ -247,7 +256,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
 
     own = walked(asked.select("q", F.col("q").alias("via")))
     found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
-    for _ in range(steps):
+    while True:
         open_ = found.where("new = 1").select(F.col("node").alias("q"), F.col("other").alias("via"))
         if open_.isEmpty():
             break
@@ -259,10 +268,9 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
     near_by = exact.select("node", "other", "whole", "w").mapInArrow(measure(np.float64), schema)
     # Every member of a class is as near as the class; the smallest ids of each are enough.
     few = member.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(f"r <= {top + 1}").select(F.col("node").alias("other"), "id")
-    queries_ = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
-    same = queries_.select("node", F.col("node").alias("other"), F.lit(0.0).alias("d2")).distinct()
+    same = asking.select("node", F.col("node").alias("other"), F.lit(0.0).alias("d2")).distinct()
     near = near_by.select("node", "other", "d2").unionByName(same)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("d2", "other"))).where(f"r <= {top + 1}")
-    wide = queries_.join(best, "node").join(few, "other").where("id != query_id")
+    wide = asking.join(best, "node").join(few, "other").where("id != query_id")
     ranked = wide.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))).where(f"rank <= {top}")
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), F.sqrt("d2").alias("score"))
