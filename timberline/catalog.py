@@ -246,6 +246,47 @@ def _policy(policy: str):
 
 
 QUERIES["bins_greedy"], QUERIES["bins_logsum"] = _policy("greedy"), _policy("logsum")
+ORACLE_SQL["bins_logsum"] = """WITH RECURSIVE r AS (SELECT c_acctbal AS v, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1),
+runs AS (SELECT v, sum(n) OVER (ORDER BY v) AS cum, sum(n) OVER (ORDER BY v) - n AS st, lead(v) OVER (ORDER BY v) AS nxt, row_number() OVER (ORDER BY v) AS i FROM r),
+l AS (SELECT list(cum::DOUBLE ORDER BY i) AS cums, list(st::DOUBLE ORDER BY i) AS sts, count(*)::INT AS runs FROM runs),
+segs AS (
+  SELECT 0 AS step, 0 AS a, runs AS z FROM l
+  UNION ALL
+  SELECT step + 1, CASE WHEN rn = 1 AND side = 1 THEN s ELSE a END, CASE WHEN rn = 1 AND side = 0 THEN s ELSE z END
+  FROM (SELECT *, row_number() OVER (ORDER BY gain DESC, a, z) AS rn, max(gain) OVER () AS top FROM (
+    SELECT step, a, z, CASE WHEN mid > a AND mid < z AND (mid + 1 >= z OR g1 >= g2) THEN mid ELSE mid + 1 END AS s,
+           CASE WHEN mid > a AND mid < z AND (mid + 1 >= z OR g1 >= g2) THEN g1 WHEN mid + 1 < z THEN g2 ELSE '-inf'::DOUBLE END AS gain FROM (
+      SELECT *, ln(sts[mid + 1] - lo + 1e-8) + ln(hi - sts[mid + 1] + 1e-8) - ln(hi - lo + 1e-8) AS g1,
+             CASE WHEN mid + 2 <= runs THEN ln(sts[mid + 2] - lo + 1e-8) + ln(greatest(hi - sts[mid + 2], 0) + 1e-8) - ln(hi - lo + 1e-8) END AS g2 FROM (
+        SELECT step, a, z, cums, sts, runs, sts[a + 1] AS lo, cums[z] AS hi, len(list_filter(cums, lambda x: x < (sts[a + 1] + cums[z]) / 2))::INT AS mid FROM segs, l)))),
+    (VALUES (0), (1)) k(side)
+  WHERE step < 15 AND top > '-inf'::DOUBLE AND (rn = 1 OR side = 0)),
+e AS (SELECT ((v::FLOAT + nxt::FLOAT) * 0.5::FLOAT)::FLOAT::DOUBLE AS edge FROM runs JOIN segs ON runs.i = segs.a WHERE step = (SELECT max(step) FROM segs) AND a > 0)
+SELECT bin, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT (1 + (SELECT count(*) FROM e WHERE edge < c_acctbal))::INT AS bin, c_acctbal AS v FROM customer) GROUP BY bin"""
+ORACLE_SQL["bins_greedy"] = """WITH RECURSIVE r AS (SELECT c_acctbal AS v, count(*) AS n, CASE WHEN c_acctbal <= -1e-35 THEN -1 WHEN c_acctbal > 1e-35 THEN 1 ELSE 0 END AS side FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1),
+runs AS (SELECT *, lead(v) OVER (ORDER BY v) AS nxt, row_number() OVER (PARTITION BY side ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY side) AS k FROM r),
+share AS (SELECT coalesce(sum(n) FILTER (side < 0), 0) AS below, coalesce(sum(n) FILTER (side > 0), 0) AS above FROM r),
+left_bins AS (SELECT -1 AS side, greatest(1, floor(below / (below + above) * 15))::INT AS bins FROM share WHERE below > 0),
+sides AS (SELECT side, greatest(1, least(bins, total // 3)) AS bins, runs, total, cums, ns, bins AS given FROM (
+    SELECT side, sum(n) AS total, count(*)::INT AS runs, list(n ORDER BY v) AS ns, list(cum ORDER BY v) AS cums FROM (SELECT side, v, n, sum(n) OVER (PARTITION BY side ORDER BY v) AS cum FROM r) GROUP BY side) JOIN left_bins USING (side)),
+lefts AS (
+  SELECT side, 0 AS k, 0 AS first, 0::DOUBLE AS base, bins AS open, total / bins::DOUBLE AS share, -1 AS cut FROM sides WHERE given > 1 AND runs > given
+  UNION ALL
+  SELECT side, k + 1, e + 1, cums[e + 1]::DOUBLE, open - 1, (total - cums[e + 1]) / nullif(open - 1, 0)::DOUBLE, e FROM (
+    SELECT s.*, l.k, l.open, greatest(l.first, len(list_filter(s.cums, lambda x: x < l.base + l.share)))::INT AS e FROM lefts l JOIN sides s USING (side))
+  WHERE k < bins - 1 AND e < runs - 1),
+right_bins AS (SELECT 1 AS side, 15 - (SELECT count(*) FROM lefts WHERE cut >= 0) - (SELECT (below > 0)::INT FROM share) AS bins),
+right_ AS (SELECT side, greatest(1, least(bins, total // 3)) AS bins, runs, total, cums, bins AS given FROM (
+    SELECT side, sum(n) AS total, count(*)::INT AS runs, list(cum ORDER BY v) AS cums FROM (SELECT side, v, n, sum(n) OVER (PARTITION BY side ORDER BY v) AS cum FROM r) GROUP BY side) JOIN right_bins USING (side)),
+rights AS (
+  SELECT side, 0 AS k, 0 AS first, 0::DOUBLE AS base, bins AS open, total / bins::DOUBLE AS share, -1 AS cut FROM right_ WHERE given > 1 AND runs > given
+  UNION ALL
+  SELECT side, k + 1, e + 1, cums[e + 1]::DOUBLE, open - 1, (total - cums[e + 1]) / nullif(open - 1, 0)::DOUBLE, e FROM (
+    SELECT s.*, l.k, l.open, greatest(l.first, len(list_filter(s.cums, lambda x: x < l.base + l.share)))::INT AS e FROM rights l JOIN right_ s USING (side))
+  WHERE k < bins - 1 AND e < runs - 1),
+cuts AS (SELECT side, cut FROM lefts WHERE cut >= 0 UNION SELECT side, cut FROM rights WHERE cut >= 0 UNION SELECT side, (k - 1)::INT FROM runs WHERE side < 1),
+e AS (SELECT ((v::FLOAT + nxt::FLOAT) * 0.5::FLOAT)::FLOAT::DOUBLE AS edge FROM runs JOIN cuts ON cuts.side = runs.side AND cuts.cut = runs.i WHERE nxt IS NOT NULL)
+SELECT bin, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT (1 + (SELECT count(*) FROM e WHERE edge < c_acctbal))::INT AS bin, c_acctbal AS v FROM customer) GROUP BY bin"""
 
 
 @query("apply_schema", """WITH l AS (SELECT o_orderpriority AS level, row_number() OVER (ORDER BY min(o_orderkey)) AS bin FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)
@@ -402,13 +443,25 @@ def best_split_onehot(spark, sf):
     return splits.onehot_splits(hist, splits.SplitParams()).select("feature", "level", _r("gain"), "n_left")
 
 
-@query("best_split_catset")
+@query("best_split_catset", """WITH RECURSIVE b AS (SELECT (l_partkey % 40) + 1 AS bin, count(*)::DOUBLE AS n, sum((l_returnflag = 'R')::INT)::DOUBLE AS pos FROM lineitem GROUP BY 1),
+t AS (SELECT sum(n) AS tn, sum(pos) / sum(n) AS p FROM b),
+lv AS (SELECT bin, n, n * p - pos AS g, n * p * (1 - p) AS h FROM b, t),
+whole AS (SELECT sum(n) AS n, sum(g) AS g, sum(h) AS h FROM lv),
+used AS (SELECT *, row_number() OVER (ORDER BY g / (h + 10), bin) AS up, count(*) OVER () AS k FROM lv WHERE n >= 10),
+ways AS (SELECT 0 AS way, up AS i, bin, n, g, h, k FROM used UNION ALL SELECT 1, k + 1 - up, bin, n, g, h, k FROM used),
+c AS (SELECT way, i, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(h) OVER w AS lh, list(bin) OVER w AS bins FROM ways WHERE k > 1 AND i <= least(32, (k + 1) // 2) WINDOW w AS (PARTITION BY way ORDER BY i)),
+e AS (SELECT c.*, lg * lg / (lh + 11) + (g - lg) * (g - lg) / (h - lh + 11) - g * g / (h + 1) AS gain FROM c, whole WHERE ln >= 20 AND lh >= 1 AND n - ln >= 100 AND h - lh >= 1),
+taken AS (
+  SELECT * FROM (VALUES (0, 0, 0::DOUBLE), (1, 0, 0::DOUBLE)) v(way, i, base)
+  UNION ALL
+  SELECT way, i, ln FROM (SELECT e.way, e.i, e.ln, row_number() OVER (PARTITION BY e.way ORDER BY e.i) AS rn FROM taken JOIN e ON e.way = taken.way AND e.i > taken.i AND e.ln - taken.base >= 100) WHERE rn = 1)
+SELECT 'c' AS feature, array_to_string(list_sort(bins), ',') AS levels, round(gain, 6) AS gain FROM e JOIN taken USING (way, i) WHERE gain > 0 ORDER BY round(gain, 9) DESC, way, i LIMIT 1""")
 def best_split_catset(spark, sf):
     li = table(spark, sf, "lineitem").select(((F.col("l_partkey") % 40) + 1).cast("int").alias("c"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     hist = [(r.bin, r.n, r.g, r.h) for r in _with_gradients(splits.histogram(li, ["c"], _counts()), "c").orderBy("bin").collect()]
     total = tuple(sum(r[i] for r in hist) for i in (1, 2, 3))
     found = splits.category_set(hist, total, splits.SplitParams())
-    return spark.createDataFrame([("c", found[1], round(found[0], 6))] if found else [], "feature string, levels array<int>, gain double")
+    return spark.createDataFrame([("c", ",".join(map(str, found[1])), round(found[0], 6))] if found else [], "feature string, levels string, gain double")
 
 
 @query("partition_level", f"""WITH b AS ({_BINNED}) SELECT CASE WHEN node = 1 THEN CASE WHEN q = 0 OR q <= 25 THEN 3 ELSE 4 END WHEN node = 2 THEN CASE WHEN l = 0 THEN 6 WHEN l <= 3 THEN 5 ELSE 6 END END::BIGINT AS node, count(*) AS n, sum(y)::BIGINT AS pos FROM b GROUP BY 1""")
