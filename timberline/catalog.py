@@ -712,6 +712,45 @@ def forest(spark, sf):
     return model.predict(d, m, ["row_id", "late"])
 
 
+_STUMP = """WITH r AS (SELECT l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t, (l_returnflag = 'R')::INT AS y FROM lineitem),
+x AS (SELECT unnest([0, 1, 2]) AS i, unnest([q, d, t]) AS v, y FROM r),
+p AS (SELECT avg(y) AS p, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM r),
+k AS (SELECT i, v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM x GROUP BY 1, 2),
+c AS (SELECT i, v, lead(v) OVER w AS nxt, sum(n) OVER w AS ln, sum(pos) OVER w AS lp FROM k WINDOW w AS (PARTITION BY i ORDER BY v)),
+g AS (SELECT i, ((v::FLOAT + nxt::FLOAT) * 0.5::FLOAT)::FLOAT::DOUBLE AS edge, ln, ln * p.p - lp AS lg, ln * p.p * (1 - p.p) AS lh, (p.n - ln) * p.p - (p.pos - lp) AS rg, (p.n - ln) * p.p * (1 - p.p) AS rh FROM c, p WHERE nxt IS NOT NULL),
+best AS (SELECT *, lg * lg / (lh + 1) + rg * rg / (rh + 1) AS gain FROM g WHERE ln >= 20 AND (SELECT n FROM p) - ln >= 20 AND lh >= 1 AND rh >= 1 ORDER BY round(gain, 9) DESC, i, edge LIMIT 1)
+SELECT policy, ['q', 'd', 't'][i + 1] AS feature, round(edge, 6) AS edge, ln::BIGINT AS n_left, round(-0.1 * lg / (lh + 1), 6) AS left_value, round(-0.1 * rg / (rh + 1), 6) AS right_value FROM best, (VALUES ('depthwise'), ('lossguide')) v(policy)"""
+
+
+@query("gbdt_stump", _STUMP)
+def gbdt_stump(spark, sf):
+    """One round of one split by either policy."""
+    from .plans import boost
+
+    li = table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"), F.col("l_tax").cast("double").alias("t"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    out = []
+    for policy in ("depthwise", "lossguide"):
+        m = boost.train(li, {"q": "numeric", "d": "numeric", "t": "numeric"}, "y", boost.BoostParams(1, tree=boost.TreeParams(policy, 1, 2)))
+        t, f = m.trees[0], m.schema.features[m.trees[0].feature[0]]
+        out.append((policy, f.name, round(f.edges[t.threshold[0] - 1], 6), int(t.count[t.left[0]]), round(t.value[t.left[0]], 6), round(t.value[t.right[0]], 6)))
+    return spark.createDataFrame(out, "policy string, feature string, edge double, n_left long, left_value double, right_value double")
+
+
+@query("logistic_gradient", "SELECT unnest(['quantity', 'discount', 'tax', 'intercept']) AS feature, 0.0::DOUBLE AS gradient")
+def logistic_gradient(spark, sf):
+    """The objective's gradient at a fitted logistic model: 0 to four decimals."""
+    from .plans import linear
+
+    d = training_rows(spark, sf)
+    names = ["quantity", "discount", "tax"]
+    m = linear.fit(d, names, "late", linear.LinearParams(reg_lambda=5.0, tol=1e-10))
+    xs = linear.scaled(names, m.stats)
+    off = losses.sigmoid(linear.raw_scores(m)[0]) - F.col("late")
+    got = d.agg(*(F.avg(off * x).alias(n) for n, x in zip(names, xs)), F.avg(off).alias("intercept"), F.count("*").alias("n")).first()
+    grads = [(n, got[n] + 5.0 * w / got["n"]) for n, w in zip(names, m.coefficients[0])] + [("intercept", got["intercept"])]
+    return spark.createDataFrame([(n, round(g, 4) + 0.0) for n, g in grads], "feature string, gradient double")
+
+
 @query("linear_fit")
 def linear_fit(spark, sf):
     from .plans import linear
