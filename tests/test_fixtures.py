@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import losses, metrics
-from timberline.operators import binning, order, rows, splits, targets
+from timberline.operators import binning, order, profile, rows, splits, targets
 from timberline.plans import boost, explain, linear, model, search
 from timberline.sources import tables
 
@@ -543,3 +543,27 @@ def test_stream(spark, learnable, tmp_path):
     s = spark.readStream.schema(learnable.schema).parquet(str(tmp_path / "in"))
     score_stream(s, m, str(tmp_path / "out"), str(tmp_path / "check"), ["row_id"]).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_csv_is_split_where_it_can_be(spark, tmp_path):
+    for name, text, multi in (("a", 'x,y\n1,"p"\n2,q\n', False), ("b", 'x,y\n1,"p\nr"\n2,q\n', True)):
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert tables.spans_lines(spark, str(tmp_path / f"{name}.csv")) == multi
+        frame = tables.read_csv(spark, str(tmp_path / f"{name}.csv"))
+        assert [r.y for r in frame.df.orderBy("row_id").collect()] == ["p\nr" if multi else "p", "q"]
+        frame.release()
+        assert frame.df.count() == 2
+
+
+def test_ids_as_written(spark, tmp_path):
+    d = spark.createDataFrame([(7.0, 0.5), (1.5, 0.25), (None, 1.0), (float(1 << 25), 0.0)], "id double, prediction double")
+    tables.write_predictions(d.coalesce(1), str(tmp_path / "p"), ["prediction"], "id")
+    rows = [r.value for r in spark.read.text(str(tmp_path / "p")).collect()]
+    assert rows[:4] == ["id,prediction", "7,0.500000", "1.5,0.250000", '"",1.000000'] and rows[4].endswith(",0.000000")
+
+
+def test_unparsed_and_wide(spark):
+    d = spark.createDataFrame([("1", "a"), ("x", "b"), ("na", "c"), (None, "c")], "n string, c string")
+    assert [tuple(r) for r in profile.unparsed(d, ["n"]).collect()] == [("n", 1)]
+    p = profile.profile(d, [], ["c"])
+    assert profile.wide(p).count() == 0 and [tuple(r) for r in profile.wide(p, 3).collect()] == [("c", 3)]

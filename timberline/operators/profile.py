@@ -34,3 +34,16 @@ def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> D
 def summary(stats: DataFrame, rows: int) -> DataFrame:
     """cells, missing share, empty and constant columns, and categories too wide to bin."""
     return stats.agg((F.count("*") * rows).alias("cells"), (F.sum("missing") / (F.count("*") * rows)).alias("missing_share"), F.count(F.when(F.col("distinct") == 0, 1)).alias("empty"), F.count(F.when(F.col("distinct") == 1, 1)).alias("constant"), F.count(F.when((F.col("kind") == "categorical") & (F.col("distinct") >= 256), 1)).alias("wide"))
+
+
+def unparsed(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """column, unparsed: the fields of text columns read as numbers that are neither a number nor a missing marker."""
+    from ..sources.tables import as_number, is_missing
+
+    counts = df.agg(*(F.count(F.when(~is_missing(F.col(c)) & as_number(F.col(c)).isNull(), 1)).alias(c) for c in numeric))
+    return counts.unpivot([], list(numeric), "column", "unparsed")
+
+
+def wide(stats: DataFrame, levels: int = 256) -> DataFrame:
+    """column, distinct: the categories with so many levels that binning refuses them, widest first."""
+    return stats.where((F.col("kind") == "categorical") & (F.col("distinct") >= levels)).select("column", "distinct").orderBy(F.desc("distinct"), "column")

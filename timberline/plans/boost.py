@@ -84,6 +84,7 @@ class BoostParams:
     goss_warmup: bool = True
     early_stopping_rounds: int = 0
     eval_metric: str = ""
+    base_score: float | None = None
     store_every: int = 8
 
     def __post_init__(self):
@@ -824,6 +825,8 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
         base = start.base
     elif init and loss.objective != "softmax":
         base = [0.0] * len(init)
+    elif params.base_score is not None and loss.objective != "softmax":
+        base = [float(params.base_score)]
     else:
         found = base_score(fit_rows, loss, y, w, row)
         base = [r["score"] for r in (found.orderBy("class") if loss.objective == "softmax" else found).collect()]

@@ -25,6 +25,12 @@ class Frame:
     df: DataFrame
     kinds: dict[str, str]
     notes: dict[str, int] = field(default_factory=dict)
+    held: DataFrame | None = None  # the file's fields as text, kept in memory
+
+    def release(self) -> None:
+        """Gives back the memory of the file's fields; the table can still be read, from the file."""
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def trimmed(c: Column) -> Column:
@@ -55,12 +61,19 @@ def sniff(df: DataFrame, columns: list[str], rows: int = SNIFF_ROWS) -> DataFram
     return flags.unpivot([], columns, "column", "numeric").select("column", kind)
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some record may go over a line's end: a line with an odd number of quotes. If none does, files can be split."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, kinds: dict[str, str] | None = None, exact_shape: bool = True) -> Frame:
     """All fields as text first; kinds sniffed or, for a stored model, given. Long records are refused, short ones padded."""
-    head = spark.read.option("maxCharsPerColumn", -1).csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    multi = spans_lines(spark, path)
+    head = spark.read.option("maxCharsPerColumn", -1).csv(path, header=True, multiLine=multi, escape='"', inferSchema=False)
     names = head.columns
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("__bad", T.StringType())])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", maxCharsPerColumn=-1)
+    raw = spark.read.schema(schema).csv(path, header=True, multiLine=multi, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", maxCharsPerColumn=-1)
     from ..operators.order import positions
 
     numbered = positions(raw.withColumn("__f", F.input_file_name()).withColumn("__m", F.monotonically_increasing_id()), [F.col("__f"), F.shiftright("__m", 33)], ["__m"], ROW).drop("__f", "__m").cache()
@@ -75,7 +88,7 @@ def read_csv(spark: SparkSession, path: str, kinds: dict[str, str] | None = None
         found |= {r["column"]: r["kind"] for r in sniff(text, rest).collect()}
     unparsed = text.agg(*(F.count(F.when(~is_missing(F.col(n)) & as_number(F.col(n)).isNull(), 1)).alias(n) for n in names if found[n] == "numeric")).first() if "numeric" in found.values() else None
     df = text.select(ROW, *((as_number if found[n] == "numeric" else as_category)(F.col(n)).alias(n) for n in names))
-    return Frame(df, {n: found[n] for n in names}, {"short_rows": shape["short"], "long_rows": shape["long"], **({f"unparsed:{k}": v for k, v in unparsed.asDict().items() if v} if unparsed else {})})
+    return Frame(df, {n: found[n] for n in names}, {"short_rows": shape["short"], "long_rows": shape["long"], **({f"unparsed:{k}": v for k, v in unparsed.asDict().items() if v} if unparsed else {})}, numbered)
 
 
 def dictionary(df: DataFrame, column: str, row: str = ROW) -> DataFrame:
@@ -109,6 +122,16 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*names)
 
 
+def shown_id(df: DataFrame, id_col: str) -> Column:
+    """An id as text: whole numbers under 2^24 without a point, nothing where it is missing."""
+    kind, c = dict(df.dtypes)[id_col], F.col(id_col)
+    if kind in ("float", "double"):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1 << 24)
+        text = F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+        return F.when(c.isNull() | F.isnan(c), "").otherwise(text).alias(id_col)
+    return F.coalesce(c.cast("string"), F.lit("")).alias(id_col)
+
+
 def write_predictions(df: DataFrame, path: str, scores: list[str], id_col: str | None = None, digits: int = 6) -> None:
     """A CSV folder: the id if any, then scores with six decimals."""
-    df.select(*([id_col] if id_col else []), *(F.format_string(f"%.{digits}f", c).alias(c) for c in scores)).write.mode("overwrite").csv(path, header=True)
+    df.select(*([shown_id(df, id_col)] if id_col else []), *(F.format_string(f"%.{digits}f", c).alias(c) for c in scores)).write.mode("overwrite").csv(path, header=True)
