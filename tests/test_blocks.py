@@ -173,3 +173,69 @@ def test_leaf_steps_reach_the_optimum(spark, rows):
     for leaf, side in ((t.left[0], F.col("a") <= edge), (t.right[0], F.col("a") > edge)):
         mean = rows.where(side).agg(F.avg("y")).first()[0]
         assert 1 / (1 + np.exp(-(m.base[0] + t.value[leaf]))) == pytest.approx(mean, abs=1e-6)
+
+
+def plain_ordered(bins, y, n_bins, rounds, depth, lam=1.0, lr=0.1):
+    """Ordered boosting of logistic loss, by hand: the tests of each round, and the raw scores."""
+    from timberline.operators.targets import ordered_prefixes
+
+    n = len(y)
+    base = np.log(y.mean() / (1 - y.mean()))
+    pre = ordered_prefixes(n)
+    approx, raw, tests = [np.full(t, base) for _, t in pre], np.full(n, base), []
+    grad = lambda r, t: (1 / (1 + np.exp(-r)) - t, np.maximum(1 / (1 + np.exp(-r)) * (1 - 1 / (1 + np.exp(-r))), 1e-6))
+    for _ in range(rounds):
+        leaf, chosen = np.zeros(n, int), []
+        for _ in range(depth):
+            best = None
+            for f in range(bins.shape[1]):
+                for thr in range(n_bins[f] - 1):
+                    num, den, side = 0.0, 1e-100, bins[:, f] > thr
+                    if not any(side[leaf == x].any() and (~side[leaf == x]).any() for x in np.unique(leaf)):
+                        continue
+                    for (body, tail), a in zip(pre, approx):
+                        g = grad(a, y[:tail])[0]
+                        key = leaf[:tail] * 2 + side[:tail]
+                        for x in np.unique(key):
+                            own = key == x
+                            b, t = own & (np.arange(tail) < body), own & (np.arange(tail) >= body)
+                            est = g[b].sum() / (b.sum() + lam) if b.any() else 0.0
+                            num, den = num + est * g[t].sum(), den + est * est * t.sum()
+                    score = round(num / np.sqrt(den), 9)
+                    if best is None or score > best[0]:
+                        best = score, f, thr
+            chosen.append(best[1:])
+            leaf = leaf * 2 + (bins[:, best[1]] > best[2])
+        tests.append(chosen)
+        for (body, tail), a in zip(pre, approx):
+            g, h = grad(a, y[:tail])
+            for x in np.unique(leaf):
+                own = (leaf[:tail] == x) & (np.arange(tail) < body)
+                a[leaf[:tail] == x] -= lr * g[own].sum() / (h[own].sum() + lam)
+        g, h = grad(raw, y)
+        for x in np.unique(leaf):
+            raw[leaf == x] -= lr * g[leaf == x].sum() / (h[leaf == x].sum() + lam)
+    return tests, raw
+
+
+def test_ordered_boosting_brute_force(spark):
+    from timberline.plans import model
+
+    rng = np.random.default_rng(8)
+    n = 700
+    a, c = rng.integers(0, 6, n), rng.integers(0, 4, n)
+    y = (a + 2 * (c == 1) + rng.normal(0, 1.5, n) > 3.2).astype(float)
+    d = spark.createDataFrame([(10 * i + 3, float(p), float(q), float(t)) for i, (p, q, t) in enumerate(zip(a, c, y))], "row_id long, a double, c double, y double").repartition(3)
+    p = boost.BoostParams(10, tree=boost.TreeParams("symmetric", 2, boosting_type="ordered"))  # the blocks are written anew once
+    m = boost.train(d, {"a": "numeric", "c": "numeric"}, "y", p)
+    tests, raw = plain_ordered(np.column_stack([a + 1, c + 1]), y, [f.n_bins for f in m.schema.features], 10, 2)
+    for t, want in zip(m.trees, tests):
+        nodes_, got = [0], []
+        while t.feature[nodes_[0]] >= 0:
+            got.append((t.feature[nodes_[0]], t.threshold[nodes_[0]]))
+            nodes_ = [x for node in nodes_ for x in (t.left[node], t.right[node])]
+        assert got == want
+    out = model.predict(d, m, ["row_id"], raw=True).toPandas().sort_values("row_id")
+    assert np.allclose(out.prediction, raw, atol=1e-6)
+    with pytest.raises(ValueError, match="symmetric"):
+        boost.TreeParams("depthwise", boosting_type="ordered")

@@ -21,6 +21,7 @@ from ..operators.splits import SplitParams, category_set
 from ..sources.storage import dropped, written
 from .blocks import Block, group_percentiles, kth, ordered_bits, packed, rows_of, summed, with_raw
 from .model import Model, Tree, natural
+from .ordered import grow_ordered, numbered
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,7 @@ class TreeParams:
     max_cat_to_onehot: int = 4
     min_data_per_group: int = 100
     symmetric_score: str = "cosine"
+    boosting_type: str = "plain"
     leaf_estimation_iterations: int = 1
     bootstrap_type: str = "none"
     bagging_temperature: float = 1.0
@@ -63,6 +65,8 @@ class TreeParams:
             raise ValueError("sampling rates must be over 0 and at most 1")
         if not 0 < self.colsample_bylevel <= 1 or self.max_ctr_complexity not in (1, 2):
             raise ValueError("colsample_bylevel must be over 0 and at most 1, max_ctr_complexity 1 or 2")
+        if self.boosting_type not in ("plain", "ordered") or self.boosting_type == "ordered" and (self.grow_policy != "symmetric" or self.bootstrap_type != "none" or self.random_strength):
+            raise ValueError("boosting_type is plain or ordered; ordered goes with symmetric trees, without bootstrap or noise")
         if self.bootstrap_type not in ("none", "bernoulli", "bayesian", "mvs") or self.leaf_estimation_iterations < 1 or min(self.bagging_temperature, self.random_strength, self.model_size_reg) < 0:
             raise ValueError("bootstrap_type is none, bernoulli, bayesian or mvs; leaf_estimation_iterations at least 1; the others not negative")
         if self.linear_leaves and self.grow_policy == "symmetric":
@@ -152,11 +156,20 @@ class _State:
 
 
 def _raw(s: _State, b: Block) -> np.ndarray:
-    if not s.pending:
+    return _advanced(b, s.pending, s.width)
+
+
+def _advanced(b: Block, trees: list[Tree], width: int) -> np.ndarray:
+    """Raw scores with more trees; of ordered boosting also those of the prefixes, which stand after the model's."""
+    if not trees:
         return b.raw
     out = b.raw.copy()
-    for i, t in enumerate(s.pending):
-        out[:, i % s.width] += t.predict(b.bins)
+    for i, t in enumerate(trees):
+        out[:, i % width] += t.predict(b.bins)
+        if getattr(t, "prefix", None) and out.shape[1] > width:
+            leaf = t.leaves(b.bins)
+            for j, (tail, values) in enumerate(t.prefix):
+                out[:, width + j] += np.where(b.row < tail, values[leaf], 0.0)
     return out
 
 
@@ -626,13 +639,7 @@ class _Data:
         """The same with trees from `since` on in the raw scores, written anew."""
         shared, width = self.blocks.sparkSession.sparkContext.broadcast(model.trees[since:]), model.width
 
-        def change(b: Block) -> np.ndarray:
-            out = b.raw.copy()
-            for i, t in enumerate(shared.value):
-                out[:, i % width] += t.predict(b.bins)
-            return out
-
-        kept = written(with_raw(self.blocks, change), "rounds")
+        kept = written(with_raw(self.blocks, lambda b: _advanced(b, shared.value, width)), "rounds")
         blocks = kept.persist()
         shared.destroy()
         tasks = blocks.rdd.getNumPartitions()
@@ -782,9 +789,7 @@ def held_score(data: "_Data", model: Model, since: int, name: str, loss: Loss) -
     shared, width, objective = data.blocks.sparkSession.sparkContext.broadcast(model.trees[since:]), model.width, model.objective
 
     def scored(b: Block) -> dict[str, np.ndarray]:
-        raw = b.raw.copy()
-        for i, t in enumerate(shared.value):
-            raw[:, i % width] += t.predict(b.bins)
+        raw = _advanced(b, shared.value, width)
         p = natural(objective, raw)
         return {"y": b.y, "w": b.w} | ({f"p{i}": np.ascontiguousarray(p[:, i]) for i in range(width)})
 
@@ -840,7 +845,15 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
     if tree.grow_policy == "symmetric" and not start and any(f.kind == "categorical" for f in schema.features):
         fit_rows, schema = with_targets(fit_rows, schema, y, row, tree)
         model.schema = schema
-    data = _Data.of(prepare(fit_rows, schema, y, w, row, base, init), model.width)
+    prefixes = []
+    if tree.boosting_type == "ordered":
+        from ..operators.targets import ordered_prefixes
+
+        if model.width > 1 or init:
+            raise ValueError("ordered boosting has one output and no starting scores")
+        prefixes, fit_rows = ordered_prefixes(fit_rows.count()), numbered(fit_rows, row)
+    own = [*base, *base * len(prefixes)]  # every prefix starts where the model does
+    data = _Data.of(prepare(fit_rows, schema, y, w, row, own, init), len(own))
     seen = _Data.of(prepare(df.where(F.col(valid)), schema, y, w, row, base, init), model.width) if valid and params.early_stopping_rounds else None
     if seen is not None and not seen.rows:
         seen = seen.free()
@@ -852,7 +865,9 @@ def train(df: DataFrame, kinds: dict[str, str], y: str, params: BoostParams = Bo
             state.cuts = [_goss_cut(data, state, k, params) for k in range(width)]
         elif params.sampling == "uniform":
             state.cuts = [_cut(data, state, k) for k in range(width)]
-        if tree.grow_policy == "symmetric":
+        if prefixes:
+            grow_ordered(data, state, schema, prefixes)
+        elif tree.grow_policy == "symmetric":
             grow_symmetric(data, state, schema, used, turn)
         else:
             grow(data, state, schema)
