@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "timberline-shared")
         spark.conf.set("spark.checkpoint.dir", found)
