@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import dropped, whole_text, written
 
 #: Fixed value: the white space that equality ignores.
 SPACES = " \t\n\x0b\f\r"
@@ -45,8 +45,13 @@ def _recipes(chunked: DataFrame) -> DataFrame:
     return chunked.join(lists, "sha", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<bigint>")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 256, most: int = 2048, key=F.xxhash64, list_key=F.xxhash64, hot_groups: int = 2000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs.
+def exact_dedup(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs. how: see exact_groups."""
+    return exact_groups(docs, **how)[0]
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 256, most: int = 2048, key=F.xxhash64, list_key=F.xxhash64, hot_groups: int = 2000) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs; and the written tables that it reads.
 
     key, list_key: hashes of chunks and of lists, any; collisions cost time, never a result. hot_groups: groups of more than
     this share of the rows, of which there are at most so many, meet their copies by broadcast: no task gathers one of them.
@@ -66,13 +71,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met, rest = first.where("hot_size IS NOT NULL"), first.where("hot_size IS NULL")
     out = rest.join(groups.select(*on, "keep_id", "group_size"), on).select("doc_id", "sha", "keep_id", "group_size")
     out = out.unionByName(met.select("doc_id", "sha", F.col("hot_keep").alias("keep_id"), F.col("hot_size").alias("group_size")))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")), [chunked, groups]
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns; of repeated rows with one id and text, one."""
-    found = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("stays_id"), F.col("text_sha256").alias("stays_sha")).agg(F.count("*").alias("stays_n"))
+    groups, tables = exact_groups(docs)
+    found = groups.where("kept").groupBy(F.col("doc_id").alias("stays_id"), F.col("text_sha256").alias("stays_sha")).agg(F.count("*").alias("stays_n"))
     stay = written(found, "stay")
+    dropped(docs.sparkSession, *tables)
     rows = docs.toDF(*(f"__{c}" for c in docs.columns))  # so that no column of docs clashes
     same = F.col("__doc_id").eqNullSafe(F.col("stays_id")) & (F.sha2(normalised(whole_text("__text")).cast("binary"), 256) == F.col("stays_sha"))
     kept = rows.join(stay.where("stays_n = 1"), same, "left_semi")

@@ -197,8 +197,8 @@ def _linked(num: int, den: int):
     return run
 
 
-def jaccard_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, grams: int = 1 << 20, broadcast_mb: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (a hash of the text), n_shingles, component_id, root (a name of the component, null for an empty set): a row for each row of docs.
+def jaccard_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 24, block: int = 256, grams: int = 1 << 20, broadcast_mb: int = 32, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, h (a hash of the text), n_shingles, component_id, root (a name of the component, null for an empty set): a row for each row of docs; and the written tables that it reads.
 
     block, grams: how many classes, and n-grams, meet in one block of a place; what is broadcast takes broadcast_mb at most.
     """
@@ -273,12 +273,12 @@ def jaccard_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bit
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = rooted.join(names, "root").select("digest", "root", "component_id")
     out = signed.select("doc_id", "h", F.col("n").alias("n_shingles"), "digest").join(final, "digest", "left")
-    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"), [signed]
 
 
 def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs. Sets link from a similarity of num/den."""
-    return jaccard_rows(docs, **how).select("doc_id", "n_shingles", "component_id")
+    return jaccard_rows(docs, **how)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -286,12 +286,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of repeated rows with one id and text, one stays. Empty sets are components of their own.
     """
-    found = jaccard_rows(docs, id_col=id_col, text_col=text_col, **how)
+    found, tables = jaccard_rows(docs, id_col=id_col, text_col=text_col, **how)
     group = F.coalesce("root", F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("h").cast("string")).cast("binary"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     keys = found.groupBy(group.alias("group"), "doc_id", "h").agg(F.count("*").alias("n"))
     stay = keys.groupBy("group").agg(F.min_by(F.struct("doc_id", "h", "n"), order).alias("s"))
     stay = written(stay.select(F.col("s.doc_id").alias("stays_id"), F.col("s.h").alias("stays_h"), F.col("s.n").alias("stays_n")), "stay")
+    dropped(docs.sparkSession, *tables)
     names = [f"__{c}" for c in docs.columns]  # so that no column of docs clashes
     rows = docs.toDF(*names)
     same = F.col(f"__{id_col}").cast("long").eqNullSafe(F.col("stays_id")) & (F.xxhash64(whole_text(f"__{text_col}")) == F.col("stays_h"))
