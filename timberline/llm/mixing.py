@@ -1,11 +1,13 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
 A naive Bayes model of hashed words, fitted to labelled rows, gives each document posteriors p over domains. Rates
-r >= least are fitted by projected gradient so that the expected token totals of the domains, sum of r * tokens * p,
-are the targets' shares of the budget, in least squares. A step is the same few numbers for every document, scaled by
-the inverse of the second moments of the documents off the bound: r <- max(least, r - p . step). So a document's rate is an expression of its
-posteriors, each evaluation is one aggregate over a small table, and nothing but those sums reaches the driver. A step
-that doesn't lower the error is halved.
+least <= r <= most are fitted by projected gradient so that the expected token totals of the domains, sum of
+r * tokens * p, are the targets' shares of the budget, in least squares; of equally good rates those nearest to 1 (a
+penalty of `ridge` on their distance decides, and keeps the optimum single). Gradient steps add up before they are
+projected, so a document's rate is one expression, r = min(most, max(least, 1 - p . sums)), and a step is the same few
+numbers for every document, scaled by the inverse of the second moments of the documents off the bounds. Each
+evaluation is one aggregate over a small table, and nothing but those sums reaches the driver. A step that doesn't
+lower the dual of the problem is halved.
 
 Edge cases: a null or empty text has the priors as posteriors and no tokens; without labels, or with one domain, rates
 are equal; a domain of no expected tokens gives its target to the others; labels that are null take no part, and a
@@ -76,55 +78,62 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float], buckets:
     return sums.select("row", "doc_id", "tokens", *((e[k] / sum(e[1:], e[0])).alias(f"p{k}") for k in ks))
 
 
-def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth: float = 1.0, steps: int = 30, tolerance: float = 1e-9) -> tuple[Column, dict]:
+def fit_rates(rated: DataFrame, targets: list[float], least: float = 0.0, growth: float = 1.0, steps: int = 60, most: float = float("inf"), ridge: float = 1e-6, tolerance: float = 1e-9) -> tuple[Column, dict]:
     """rated: tokens, p0... Returns the rate as an expression of p0.., and what was reached."""
     ks = range(len(targets))
     p = [F.col(f"p{k}") for k in ks]
     t = F.col("tokens").cast("double")
-    first = rated.agg(F.sum(t).alias("w"), *(F.sum(t * p[k]).alias(f"t{k}") for k in ks), *(F.sum(t * p[a] * p[b]).alias(f"m{a}_{b}") for a in ks for b in ks)).first()
+    first = rated.agg(F.sum(t).alias("w"), *(F.sum(t * p[k]).alias(f"t{k}") for k in ks)).first()
     words = first["w"] or 0.0
-    rate: Column = F.greatest(F.lit(float(least)), F.lit(1.0))
+    one: Column = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(1.0)))
     if not words:
-        return rate, {"totals": [0.0 for _ in ks], "error": 0.0, "steps": 0, "budget": 0.0, "settled": True}
-    now = np.array([first[f"t{k}"] for k in ks]) * max(1.0, least)
+        return one, {"totals": [0.0 for _ in ks], "error": 0.0, "steps": 0, "budget": 0.0, "settled": True}
+    now = np.array([first[f"t{k}"] for k in ks])
     aim = np.array([max(0.0, x) if now[k] > 1e-9 * words else 0.0 for k, x in enumerate(targets)])
-    aim = aim / aim.sum() if aim.sum() else now / now.sum()
-    budget = words * growth
-    error = lambda x: float((((x - budget * aim) / budget) ** 2).sum())
-
-    def measured(r: Column) -> tuple[np.ndarray, np.ndarray]:
-        """The totals of a rate, and the second moments of the documents that may still go either way."""
-        free = F.when(r > least, t).otherwise(0.0)
-        got = rated.agg(*(F.sum(t * p[k] * r).alias(f"t{k}") for k in ks), *(F.sum(free * p[a] * p[b]).alias(f"m{a}_{b}") for a in ks for b in ks)).first()
-        return np.array([got[f"t{k}"] for k in ks]), np.array([[got[f"m{a}_{b}"] for b in ks] for a in ks]) / words
-
-    now, moments = measured(rate)
-    if least >= 1:  # at the bound every document may go up
-        moments = np.array([[first[f"m{a}_{b}"] for b in ks] for a in ks]) / words
-    best, done, size, plain, settled = error(now), 0, 1.0, False, False
-    while done < steps and best >= tolerance:
-        way = np.eye(len(p)) if plain else np.linalg.pinv(moments, rcond=1e-7)
-        step = size * way @ (now - budget * aim) / words
-        tried = F.greatest(F.lit(float(least)), rate - sum((p[k] * float(step[k]) for k in ks), F.lit(0.0)))
-        there, new_moments = measured(tried)
-        done += 1
-        gain = best - error(there)
-        if gain > 0:
-            rate, now, moments, best, size = tried, there, new_moments, error(there), min(1.0, size * 2)
-            if gain < tolerance * 1e-3 or gain < 1e-6 * best:
-                settled = True
-                break
-        elif size > 0.05:
-            size /= 2
-        elif not plain:  # the unscaled step always lowers the error where that can be done
-            plain, size = True, 1.0
-        else:
+    aim = growth * (aim / aim.sum() if aim.sum() else now / now.sum())
+
+    def free(sums: np.ndarray) -> Column:
+        """The rate before its projection."""
+        return F.lit(1.0) - sum((p[k] * float(sums[k]) for k in ks), F.lit(0.0))
+
+    def rate(sums: np.ndarray) -> Column:
+        return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), free(sums)))
+
+    def measured(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares of the tokens, second moments of the documents off the bounds, and the dual of the problem."""
+        r, x = rate(sums), free(sums)
+        off = F.when((x >= least) & (x <= most), t).otherwise(0.0)
+        got = rated.agg(*(F.sum(t * p[k] * r).alias(f"t{k}") for k in ks), *(F.sum(off * p[a] * p[b]).alias(f"m{a}_{b}") for a in ks for b in ks[a:]), F.sum(t * (r * x - r * r / 2)).alias("d")).first()
+        moments = np.array([[got[f"m{min(a, b)}_{max(a, b)}"] for b in ks] for a in ks]) / words
+        return np.array([got[f"t{k}"] for k in ks]) / words, moments, got["d"] / words + float(aim @ sums) + ridge / 2 * float(sums @ sums)
+
+    sums, done, settled = np.zeros(len(p)), 0, False
+    share, moments, dual = measured(sums)
+    while not settled and done < steps:
+        slope = ridge * sums + aim - share
+        if np.abs(slope).max() <= 1e-3 * tolerance:
             settled = True
             break
-    return rate, {"totals": now.tolist(), "targets": (budget * aim).tolist(), "error": best, "steps": done, "budget": budget, "settled": settled or best < tolerance}
+        way, size = -np.linalg.solve(moments + ridge * np.eye(len(p)), slope), 1.0
+        while True:
+            done += 1
+            tried = measured(sums + size * way)
+            if tried[2] <= dual + 1e-4 * size * float(slope @ way) or done >= steps:
+                break
+            size /= 2 if size > 1e-3 else 16
+            if size < 1e-9:  # nothing that numbers can tell is left to gain
+                settled = True
+                break
+        if not settled and tried[2] <= dual:
+            sums = sums + size * way
+            settled = dual - tried[2] < 1e-14 * max(1.0, abs(dual))
+            share, moments, dual = tried
+    error = float((((share - aim) / growth) ** 2).sum()) if growth else 0.0
+    budget = words * growth
+    return rate(sums), {"totals": (share * words).tolist(), "targets": (aim * words).tolist(), "error": error, "steps": done, "budget": budget, "settled": settled or error < tolerance}
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, steps: int = 30, **how) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, steps: int = 60, most: float = float("inf"), **how) -> DataFrame:
     """doc_id, tokens, a posterior p_<domain> for each domain, rate, error, settled: a row for each row of docs.
 
     error: the squared distance of the totals from the targets, in shares of the budget, the same in each row; settled:
@@ -133,16 +142,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     domains = tuple(targets)
     model, priors = classifier(docs, labels, domains, **how)
     rated = written(posteriors(docs, model, priors), "rated")
-    rate, report = fit_rates(rated, list(targets.values()), least, growth, steps)
+    rate, report = fit_rates(rated, list(targets.values()), least, growth, steps, most)
     return rated.select("doc_id", "tokens", *(F.round(f"p{k}", 9).alias(f"p_{d}") for k, d in enumerate(domains)), F.round(rate, 9).alias("rate"), F.lit(round(report["error"], 12)).alias("error"), F.lit(report["settled"]).alias("settled"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.1, seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.1, most: float = 4.0, seed: int = 1) -> DataFrame:
     """docs with each row as often as its rate says, once at least: domains that are short are repeated, nothing is dropped.
 
-    growth: the budget in shares of the tokens that there are. Rows of one id have the largest of their rates.
+    growth: the budget in shares of the tokens that there are; most: how often a row may be repeated. Rows of one id have the
+    largest of their rates.
     """
-    rates = mixing_rates(docs, labels, targets, least=1.0, growth=growth).groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("rate").alias("rate"))
+    rates = mixing_rates(docs, labels, targets, least=1.0, growth=growth, most=most).groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("rate").alias("rate"))
+    rates = written(rates, "rates")
     rows = docs.toDF(*(f"__{c}" for c in docs.columns))  # so that no column of docs clashes
     part = F.pmod(F.xxhash64(F.lit(seed), F.col("__doc_id")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
