@@ -430,7 +430,7 @@ def plain_lm(texts, alpha=0.4, left=1):
     out = []
     for ws in words:
         own, own_two = Counter(ws), Counter(zip(ws, ws[1:]))
-        total = max(1, sum(one.values()) - left * len(ws))
+        total = max(1, sum(one.values()))
         word = lambda w: max(one[w] - left * own[w], alpha) / total  # noqa: B023, E731
         s = log10(word(ws[0])) if ws else 0.0
         for a, b in zip(ws, ws[1:]):
@@ -470,6 +470,14 @@ def test_lm_words_that_share_a_hash(docs, monkeypatch):
     same_scores(got, plain_lm(TEXTS))
 
 
+def test_lm_large_counts(spark, monkeypatch):
+    """Counts that don't fit the packed fields go beside them."""
+    monkeypatch.setattr(lm_score, "SMALL", 2)
+    texts = ["a b " * 30 + "c a", "a b c " * 9, "b a c c c c c c"]
+    got = by_id(lm_score.lm_scores(documents(spark, texts), hot=0), "n_words", "score")
+    same_scores(got, plain_lm(texts))
+
+
 def test_lm_odd_rows(docs, spark):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
     got = lm_score.lm_scores(docs.union(docs)).collect()
@@ -668,6 +676,34 @@ def test_neighbours_with_an_outlier(spark, far):
     assert hits >= 0.95 * 10 * len(want)
 
 
+def recall(spark, rows, **how):
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nn_descent.search(d, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain_neighbours(rows, every=how.get("every", 100))
+    return sum(len(got[q] & {i for _, i in w}) if isinstance(w[0], tuple) else len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_neighbours_recall_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2500, 16)))]
+    assert recall(spark, rows) >= 0.9
+
+
+def test_neighbours_recall_on_embeddings(spark):
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table(spark, "/root/testdata/sf0.01", "embeddings").collect() if r.embedding]
+    assert recall(spark, rows, every=20) >= 0.9
+
+
+def test_neighbours_of_given_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 4)))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nn_descent.search(d, queries=d.where("vec_id IN (7, 8)")).collect()
+    assert {r.query_id for r in got} == {7, 8} and len(got) == 20
+
+
 def test_neighbours_few(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nn_descent.search(d).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the cluster names none (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "timberline-shared")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -78,6 +79,12 @@ def by_key(batches, width: int, run) -> Iterator:
         yield from run(now, rows)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over, which it does once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_runs(batches, width: int, rows: int = 4096, size: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys (the first `width` columns, numbers) of sorted batches, and where the runs begin.
 

@@ -2,8 +2,8 @@
 
 The model of a document is every other row of the table: its own n-grams are taken from the counts, so a text scores by
 what the corpus says of it and not by itself (leave_out=False counts them too). A pair of words (a, b) that is left
-scores count(a b) / count(a); any other alpha * count(b) / words. The first word of a text scores count(word) / words. A
-word that nothing is left of counts as alpha. The result is the mean log10 per word.
+scores count(a b) / count(a); any other alpha * count(b) / words, where words are those of the whole table. The first word
+of a text scores count(word) / words. A word that nothing is left of counts as alpha. The result is the mean log10 per word.
 
 1. Words are counted over all documents, one table partitioned by word. The most frequent (those that occur c times or
    more, where c is the least power of two that at most `listed` words reach) get a number and are broadcast with their
@@ -18,14 +18,16 @@ word that nothing is left of counts as alpha. The result is the mean log10 per w
 4. What each row adds is summed by document.
 
 Edge cases: a null or empty text has no words and a null score; repeated rows are scored each and counted each; in a
-table of one row no words are left, and all count as alpha of one; an empty table gives an empty result; other columns
+table of one row nothing is left, and all its words count as alpha; an empty table gives an empty result; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text, written
+from .common import free_shuffles, small_batches, whole_text, written
 
 #: What a row of the third step is: a document; a pair of listed words; a pair with the word of its key as first, as
-#: second, as second after a word that isn't listed either; the first word of a text.
-DOCUMENT, PAIR, FIRST, SECOND, SECOND_OF_TWO, OPENING = range(6)
+#: second, as second after a word that isn't listed either; the first word of a text; a pair of large counts.
+DOCUMENT, PAIR, FIRST, SECOND, SECOND_OF_TWO, OPENING, LARGE = range(7)
 #: Bits of a listed word's number; 0 is no word.
 BITS = 20
-ROWS = "key long, sub long, row long, role int, n int, own int, x double, y double"
+#: meta holds the role and small counts, so that rows of a document differ in few bytes that lie together. Of a pair: how
+#: often it, its first and its second word are in the document, SMALL bits each; if one needs more, y has the first and x
+#: what is taken from the logarithm. Of the others: how often the pair (or word) and the word of the key are, PART bits each.
+ROWS = "key long, meta long, row long, sub long, x double, y double"
+PART, SMALL = 30, 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -64,6 +70,13 @@ class Numbers(dict):
         return hashed(word)
 
 
+class Listed(dict):
+    """word -> number; 0 for a word that isn't listed."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 def word_counts(texts: DataFrame, held: int = 500_000) -> DataFrame:
     """word, n over all texts. Each task sums what it has met, about `held` words at a time."""
 
@@ -87,7 +100,7 @@ def word_counts(texts: DataFrame, held: int = 500_000) -> DataFrame:
 def _numbered(texts: list[str], number: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all words of all texts, and which text each is of."""
     words = [words_of(t) for t in texts]
-    ids = np.fromiter((number[w] for ws in words for w in ws), np.int64)
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
     return ids, np.repeat(np.arange(len(words)), [len(ws) for ws in words])
 
 
@@ -107,40 +120,37 @@ class _Batch:
         self.hot = len(pairs) - 1
 
     def rows(self, ids: np.ndarray, doc: np.ndarray, docs: int) -> list[tuple[np.ndarray, ...]]:
-        """(key, sub, document, role, n, own, x, y) of each kind of row. x and y are set so that a row adds
-        n * (log10(count - n) - x [- log10(count of the key's word)]) where the pair is left in other rows, else
-        n * (y [+ log10(count of the key's word)])."""
+        """(key, sub, document, role, n, own, x, y) of each kind of row. Of a pair x is how often the second word is in the
+        document and y what it would be taken from; of the others x and y are what is added where the pair is left in other rows (less x) and where it isn't."""
         length = np.bincount(doc, minlength=docs)
-        log_words = np.log10(np.maximum(1, self.total - self.left * length))
-        order = np.lexsort((ids, doc))
-        at, times = _runs(doc[order], ids[order])
-        own_doc, own_id, own_n = doc[order][at], ids[order][at], times
-        back = np.empty(len(ids), np.int64)  # of each word its place among the distinct ones of its document
-        back[order] = np.repeat(np.arange(len(at)), times)
-        own = own_n[back]
+        log_words = np.log10(max(1, self.total))
         listed = ids > 0
+        own = np.empty(len(ids), np.int64)  # how often each word is in its document
+        rare = np.flatnonzero(~listed)
+        for place, order in ((known := np.flatnonzero(listed), np.argsort((doc[known] << BITS) | ids[known])), (rare, np.lexsort((ids[rare], doc[rare])))):
+            at, times = _runs(doc[place][order], ids[place][order])
+            own[place[order]] = np.repeat(times, times)
         here = self.counts[np.maximum(ids, 0)] - self.left * own
-        with np.errstate(divide="ignore"):
-            log_first = np.where(here > 0, np.log10(np.maximum(here, 1)), 0.0)  # a pair that is left leaves its first word
-        back_off = np.log10(self.alpha) + np.log10(np.maximum(here, self.alpha)) - log_words[doc]
+        log_first = np.log10(np.maximum(here, 1))  # a pair that is left leaves its first word
+        back_off = np.log10(self.alpha) + np.log10(np.maximum(here, self.alpha)) - log_words
         base = np.zeros(docs)
         out = []
 
         opens = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         known = opens[listed[opens]]
         base[doc[known]] += back_off[known] - np.log10(self.alpha)
-        rare = opens[~listed[opens]]
-        if len(rare):
-            out.append((ids[rare], rare * 0, doc[rare], OPENING, rare * 0 + 1, own[rare], np.zeros(len(rare)), -log_words[doc[rare]]))
+        known = opens[~listed[opens]]
+        if len(known):
+            out.append((ids[known], known * 0, doc[known], OPENING, known * 0 + 1, own[known], np.zeros(len(known)), np.full(len(known), -log_words)))
 
         second = np.flatnonzero(doc[1:] == doc[:-1]) + 1 if len(doc) else np.zeros(0, np.int64)
         first = second - 1
-        both = listed[first] & listed[second]
-        key = (ids[first][both] << BITS) | ids[second][both]
-        place = np.flatnonzero(both)
-        order = np.lexsort((key, doc[second][place]))
-        at, times = _runs(doc[second][place][order], key[order])
-        a, b, key = first[place[order[at]]], second[place[order[at]]], key[order[at]]
+        both = np.flatnonzero(listed[first] & listed[second])
+        a, b = first[both], second[both]
+        key = (ids[a] << BITS) | ids[b]
+        order = np.lexsort((key, doc[b])) if docs >= 1 << (63 - 2 * BITS) else np.argsort((doc[b] << (2 * BITS)) | key)
+        at, times = _runs(doc[b][order], key[order])
+        a, b, key = a[order[at]], b[order[at]], key[order[at]]
         base += np.bincount(doc[b], times * back_off[b], docs)  # as if none were left; what is left makes up for it
         hot = (ids[a] <= self.hot) & (ids[b] <= self.hot)
         c = self.pairs[ids[a[hot]], ids[b[hot]]] - self.left * times[hot]
@@ -148,7 +158,7 @@ class _Batch:
         ha, hb = a[hot][met], b[hot][met]
         base += np.bincount(doc[hb], times[hot][met] * (np.log10(c[met]) - log_first[ha] - back_off[hb]), docs)
         a, b, key, times = a[~hot], b[~hot], key[~hot], times[~hot]
-        out.append((key, key * 0, doc[b], PAIR, times, times * 0, log_first[a] + back_off[b], np.zeros(len(a))))
+        out.append((key, key * 0, doc[b], PAIR, times, own[a], own[b], log_first[a] + back_off[b]))
 
         for role, anchor, other in ((FIRST, first, second), (SECOND, second, first)):
             place = np.flatnonzero(~listed[anchor])
@@ -162,13 +172,13 @@ class _Batch:
                 out.append((ids[w], 2 * ids[z], doc[w], FIRST, times, own[w], np.where(listed[z], back_off[z], 0.0), np.zeros(len(w))))
             else:
                 kind = np.where(listed[z], SECOND, SECOND_OF_TWO)
-                out.append((ids[w], 2 * ids[z] + 1, doc[w], kind, times, own[w], np.where(listed[z], log_first[z], 0.0), np.log10(self.alpha) - log_words[doc[w]]))
+                out.append((ids[w], 2 * ids[z] + 1, doc[w], kind, times, own[w], np.where(listed[z], log_first[z], 0.0), np.full(len(w), np.log10(self.alpha) - log_words)))
         every = np.arange(docs)
         out.append((every, None, every, DOCUMENT, length, None, base, np.zeros(docs)))
         return out
 
 
-def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot: int = 1000, listed: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot: int = 2000, listed: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -186,7 +196,7 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot:
     model = spark.sparkContext.broadcast(({r.word.encode(): i + 1 for i, r in enumerate(top)}, np.array([0, *(r.n for r in top)], np.int64)))
 
     def count_hot(batches) -> Iterator[pa.RecordBatch]:
-        number, sums = Numbers(model.value[0]), np.zeros((hot + 1) ** 2, np.int64)
+        number, sums = Listed(model.value[0]), np.zeros((hot + 1) ** 2, np.int64)
         for b in batches:
             ids, doc = _numbered(b.column(0).to_pylist(), number)
             if len(ids):
@@ -205,7 +215,7 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot:
 
     def exploded(batches) -> Iterator[pa.RecordBatch]:
         number, batch = Numbers(model.value[0]), _Batch(model.value[1], hot_pairs.value, total, alpha, leave_out)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
             if not b.num_rows:
@@ -215,25 +225,38 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot:
             for key, sub, d, role, n, own, x, y in batch.rows(ids, doc, b.num_rows):
                 if own is None:  # documents carry their ids; their keys only spread them
                     key, sub, own = -1 - row, who.fill_null(0).to_numpy(), who.is_valid().to_numpy(zero_copy_only=False).astype(np.int32)
-                role = np.broadcast_to(np.int32(role), len(d))
+                if np.ndim(role) == 0 and role == PAIR:
+                    fits = np.maximum(np.maximum(n, own), x) < 1 << SMALL
+                    meta = np.where(fits, PAIR | (n << 3) | (own << (3 + SMALL)) | (x << (3 + 2 * SMALL)), LARGE)
+                    x, y = np.where(fits, 0.0, y), np.where(fits, 0, n).astype(float)
+                else:
+                    meta = role | (n << 3) | (np.asarray(own, np.int64) << (3 + PART))
                 for at in range(0, len(d), 50_000):
                     part = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part]), k) for c, k in zip((key, sub, row[d], role, n, own, x, y), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part]), k) for c, k in zip((key, meta, row[d], sub, x, y), kinds)], names)
 
+    free_shuffles(spark)
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = numbered.mapInArrow(exploded, ROWS).repartition(n_parts, "key")
+    role, left = F.col("meta").bitwiseAND(7), F.lit(int(leave_out))
+    field = lambda at, bits: F.shiftright("meta", at).bitwiseAND((1 << bits) - 1)
+    rows = rows.withColumn("n", F.when(role == PAIR, field(3, SMALL)).when(role == LARGE, F.col("y").cast("long")).otherwise(field(3, PART)))
     rows = rows.withColumn("c", F.sum("n").over(Window.partitionBy("key", "sub")))
+    n, own = F.col("n"), F.shiftright("meta", 3 + PART)
     others = counted.where(~frequent).select(_hashed(F.col("word")).alias("key"), F.col("n").alias("words"))
+    listed_counts = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(1, len(top) + 1), pa.int64()), "count": pa.array([r.n for r in top], pa.int64())})))
+    numbers = lambda name: listed_counts.select(F.col("id").alias(f"{name}_id"), F.col("count").alias(name))
     rows = rows.join(others, "key", "left")
-    left = F.lit(int(leave_out))
-    pair, word = F.col("c") - left * F.col("n"), F.col("words") - left * F.col("own")
-    log_word = F.log10(F.greatest(word, F.lit(alpha)))
-    role = F.col("role")
-    seen = F.when(role == PAIR, F.col("n") * (F.log10(pair) - F.col("x"))).when(role == FIRST, F.col("n") * (F.log10(pair) - F.col("x") - log_word)).when(role == SECOND, F.col("n") * (F.log10(pair) - F.col("x"))).otherwise(0.0)
-    unseen = F.when(role.isin(SECOND, SECOND_OF_TWO), F.col("n") * (F.col("y") + log_word)).otherwise(0.0)
-    value = F.when(role == DOCUMENT, F.col("x")).when(role == OPENING, F.col("y") + log_word).when(pair > 0, seen).otherwise(unseen)
+    rows = rows.join(numbers("a"), F.shiftright("key", BITS) == F.col("a_id"), "left").join(numbers("b"), F.col("key").bitwiseAND((1 << BITS) - 1) == F.col("b_id"), "left")
+    pair = F.col("c") - left * n
+    rows = rows.where((pair > 0) | role.isin(DOCUMENT, OPENING, SECOND, SECOND_OF_TWO))  # an unseen pair's share is in the base
+    log_word = F.log10(F.greatest(F.col("words") - left * own, F.lit(alpha)))
+    first, second = F.col("a") - left * field(3 + SMALL, SMALL), F.greatest(F.col("b") - left * field(3 + 2 * SMALL, SMALL), F.lit(alpha))
+    seen_pair = n * F.log10(pair / (first * second) * (max(1, total) / alpha))
+    seen_rare = n * (F.log10(pair) - F.col("x"))
+    value = F.when(role == PAIR, seen_pair).when(role == DOCUMENT, F.col("x")).when(role == LARGE, seen_rare).when(role == OPENING, F.col("y") + log_word)
+    value = value.when(role == FIRST, seen_rare - n * log_word).when(role.isin(SECOND) & (pair > 0), seen_rare).when(pair > 0, F.lit(0.0)).otherwise(n * (F.col("y") + log_word))
     document = lambda c: F.max(F.when(role == DOCUMENT, c))
-    sums = rows.withColumn("value", value).where(f"role = {DOCUMENT} OR value != 0").groupBy("row").agg(F.sum("value").alias("s"), document(F.col("n")).cast("long").alias("n_words"), document(F.when(F.col("own") == 1, F.col("sub"))).alias("doc_id"))
+    sums = rows.groupBy("row").agg(F.sum(value).alias("s"), document(n).alias("n_words"), document(F.when(own == 1, F.col("sub"))).alias("doc_id"))
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
-

@@ -64,13 +64,13 @@ one AS (SELECT word, count(*) AS c FROM words GROUP BY word),
 own_one AS (SELECT r, word, count(*) AS n FROM words GROUP BY r, word),
 two AS (SELECT before, word, count(*) AS c FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
 own_two AS (SELECT r, before, word, count(*) AS n FROM pairs GROUP BY r, before, word),
-left_over AS (SELECT r, greatest(1, (SELECT sum(len(w)) FROM w) - len(w))::DOUBLE AS total FROM w),
+whole AS (SELECT count(*)::DOUBLE AS total FROM words),
 sums AS (
   SELECT p.r, sum(p.n) AS n_words,
          sum(p.n * CASE WHEN p.before IS NULL THEN log10(greatest(b.c - ob.n, 0.4::DOUBLE) / l.total)
                         WHEN t.c > p.n THEN log10((t.c - p.n) / (a.c - oa.n)::DOUBLE)
                         ELSE log10(0.4::DOUBLE * greatest(b.c - ob.n, 0.4::DOUBLE) / l.total) END) AS s
-  FROM own_two p JOIN one b ON b.word = p.word JOIN own_one ob ON ob.r = p.r AND ob.word = p.word JOIN left_over l ON l.r = p.r
+  FROM own_two p JOIN one b ON b.word = p.word JOIN own_one ob ON ob.r = p.r AND ob.word = p.word CROSS JOIN whole l
   LEFT JOIN two t ON t.before = p.before AND t.word = p.word LEFT JOIN one a ON a.word = p.before LEFT JOIN own_one oa ON oa.r = p.r AND oa.word = p.before
   GROUP BY p.r)
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(s / n_words, 6) AS score FROM w LEFT JOIN sums USING (r)
