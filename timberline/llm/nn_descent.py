@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,11 +193,11 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
     return lists.select("node", "other", "d2")
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, steps: int = 40, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the `top` nearest others found.
 
     queries: a table with the ids of the vectors to ask for; without it those whose id is divisible by `every`. A walk ends when
-    none of the best `beam` is unopened, however many steps that takes.
+    none of the best `beam` is unopened, or after `steps` steps, with a warning.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
@@ -256,10 +257,13 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
 
     own = walked(asked.select("q", F.col("q").alias("via")))
     found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
-    while True:
+    for step in range(steps + 1):
         open_ = found.where("new = 1").select(F.col("node").alias("q"), F.col("other").alias("via"))
         if open_.isEmpty():
             break
+        if step == steps:
+            warnings.warn(f"walks were ended after {steps} steps", stacklevel=2)
+            break
         after = written(_closest(found.select("node", "other", "d2", F.lit(0).alias("new")).unionByName(walked(open_)), beam), "found")
         dropped(spark, found)
         found = after
