@@ -14,7 +14,7 @@ QUERIES = ("profile_orders", "bins_quantile", "hist_root", "hist_level", "best_s
 
 
 #: Trees of the fit at the settings that single-machine trainers are measured by: depth 6, 256 bins.
-TREES = int(os.environ.get("BENCH_TREES", "20"))
+TREES = int(os.environ.get("BENCH_TREES", "3"))
 
 
 def depth6(spark: SparkSession, sf_dir: str):
