@@ -478,6 +478,30 @@ def test_lm_large_counts(spark, monkeypatch):
     same_scores(got, plain_lm(texts))
 
 
+@pytest.mark.parametrize("listed", [0, 2, 100])
+def test_lm_counts_of_every_width(spark, listed):
+    """Pairs that are packed with all bits of their counts, with some in meta, and not at all; with words listed or not."""
+    texts = [f"{'a b ' * n} c a {'rare b ' * m} b c {'c ' * m}" for n, m in ((1, 1), (130, 127), (300, 129), (4200, 260), (8200, 3), (2, 8200))] + ["b c rare", "a a rare rare"]
+    got = by_id(lm_score.lm_scores(documents(spark, texts), hot=0, listed=listed), "n_words", "score")
+    same_scores(got, plain_lm(texts))
+
+
+def test_lm_shuffles_few_bytes(spark):
+    """What goes over the disk is mostly a row for each pair of a document."""
+    sc, d = spark.sparkContext._jsc.sc(), table(spark, "/root/testdata/sf0.01", "documents")
+
+    def stages() -> dict[int, tuple[int, int]]:
+        sc.listenerBus().waitUntilEmpty()
+        store = sc.statusStore()
+        found = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+        return {s.stageId(): (s.shuffleWriteBytes(), s.shuffleWriteRecords()) for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    lm_score.lm_scores(d, hot=100, listed=1000).collect()
+    size, rows = max(v for k, v in stages().items() if k not in before)
+    assert size < 21 * rows
+
+
 def test_lm_odd_rows(docs, spark):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
     got = lm_score.lm_scores(docs.union(docs)).collect()

@@ -37,16 +37,20 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, small_batches, whole_text, written
 
-#: What a row of the third step is: a document; a pair of listed words; a pair with the word of its key as first, as
-#: second, as second after a word that isn't listed either; the first word of a text; a pair of large counts.
-DOCUMENT, PAIR, FIRST, SECOND, SECOND_OF_TWO, OPENING, LARGE = range(7)
+#: What a row of the third step is: a pair of listed words; a pair with the word of its key as first, as second, as second
+#: after a word that isn't listed either; the first word of a text; a document.
+PAIR, FIRST, SECOND, SECOND_OF_TWO, OPENING, DOCUMENT = range(6)
 #: Bits of a listed word's number; 0 is no word.
 BITS = 20
-#: meta holds the role and small counts, so that rows of a document differ in few bytes that lie together. Of a pair: how
-#: often it, its first and its second word are in the document, SMALL bits each; if one needs more, y has the first and x
-#: what is taken from the logarithm. Of the others: how often the pair (or word) and the word of the key are, PART bits each.
-ROWS = "key long, meta long, row long, sub long, x double, y double"
-PART, SMALL = 30, 20
+#: Shuffled rows are compressed by the runs of bytes that they share, so what differs lies together and is as short as it can be.
+#: code is a word's hash or the numbers of a pair's words with, above them, the LOW lowest bits of three counts: how often the
+#: pair, its first and its second word are in the document; their next HIGH bits are in meta. meta has the role and, of a pair
+#: with one listed word, that word's number and the counts of the pair, the word of the key and the listed word, SMALL bits
+#: each. All other rows, and those with a count of more than SMALL bits, have a negative meta with the role, the first two
+#: counts, PART bits each, and what is left: in sub the other word (or the document's id), in x what is taken from the
+#: logarithm of a pair that is left (or what the document has already). SMALL is LOW + HIGH at most.
+ROWS = "code long, meta long, row long, sub long, x double"
+PART, SMALL, LOW, HIGH = 30, 13, 7, 8
 
 
 def words_of(text: str) -> list[bytes]:
@@ -120,8 +124,8 @@ class _Batch:
         self.hot = len(pairs) - 1
 
     def rows(self, ids: np.ndarray, doc: np.ndarray, docs: int) -> list[tuple[np.ndarray, ...]]:
-        """(key, sub, document, role, n, own, x, y) of each kind of row. Of a pair x is how often the second word is in the
-        document and y what it would be taken from; of the others x and y are what is added where the pair is left in other rows (less x) and where it isn't."""
+        """(key, sub, document, role, n, own, other, x) of each kind of row: n is how often the pair (or word) is in the document, own
+        and other how often the word of the key and the other one are, x what is taken from the logarithm of a pair that is left."""
         length = np.bincount(doc, minlength=docs)
         log_words = np.log10(max(1, self.total))
         listed = ids > 0
@@ -141,7 +145,7 @@ class _Batch:
         base[doc[known]] += back_off[known] - np.log10(self.alpha)
         known = opens[~listed[opens]]
         if len(known):
-            out.append((ids[known], known * 0, doc[known], OPENING, known * 0 + 1, own[known], np.zeros(len(known)), np.full(len(known), -log_words)))
+            out.append((ids[known], known * 0, doc[known], OPENING, known * 0 + 1, own[known], None, np.zeros(len(known))))
 
         second = np.flatnonzero(doc[1:] == doc[:-1]) + 1 if len(doc) else np.zeros(0, np.int64)
         first = second - 1
@@ -169,12 +173,12 @@ class _Batch:
             w, z = anchor[p], other[p]
             if role == FIRST:  # a listed second word's share is in the base already; another's is added at its own place
                 base += np.bincount(doc[w], np.where(listed[z], times * back_off[z], 0.0), docs)
-                out.append((ids[w], 2 * ids[z], doc[w], FIRST, times, own[w], np.where(listed[z], back_off[z], 0.0), np.zeros(len(w))))
+                out.append((ids[w], 2 * ids[z], doc[w], FIRST, times, own[w], np.where(listed[z], own[z], 0), np.where(listed[z], back_off[z], 0.0)))
             else:
                 kind = np.where(listed[z], SECOND, SECOND_OF_TWO)
-                out.append((ids[w], 2 * ids[z] + 1, doc[w], kind, times, own[w], np.where(listed[z], log_first[z], 0.0), np.full(len(w), np.log10(self.alpha) - log_words)))
+                out.append((ids[w], 2 * ids[z] + 1, doc[w], kind, times, own[w], np.where(listed[z], own[z], 0), np.where(listed[z], log_first[z], 0.0)))
         every = np.arange(docs)
-        out.append((every, None, every, DOCUMENT, length, None, base, np.zeros(docs)))
+        out.append((every, None, every, DOCUMENT, length, None, None, base))
         return out
 
 
@@ -215,48 +219,67 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, leave_out: bool = True, hot:
 
     def exploded(batches) -> Iterator[pa.RecordBatch]:
         number, batch = Numbers(model.value[0]), _Batch(model.value[1], hot_pairs.value, total, alpha, leave_out)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         names = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
             if not b.num_rows:
                 continue
             row, who = b.column(0).to_numpy(), b.column(1)
             ids, doc = _numbered(b.column(2).to_pylist(), number)
-            for key, sub, d, role, n, own, x, y in batch.rows(ids, doc, b.num_rows):
+            for key, sub, d, role, n, own, other, x in batch.rows(ids, doc, b.num_rows):
                 if own is None:  # documents carry their ids; their keys only spread them
-                    key, sub, own = -1 - row, who.fill_null(0).to_numpy(), who.is_valid().to_numpy(zero_copy_only=False).astype(np.int32)
-                if np.ndim(role) == 0 and role == PAIR:
-                    fits = np.maximum(np.maximum(n, own), x) < 1 << SMALL
-                    meta = np.where(fits, PAIR | (n << 3) | (own << (3 + SMALL)) | (x << (3 + 2 * SMALL)), LARGE)
-                    x, y = np.where(fits, 0.0, y), np.where(fits, 0, n).astype(float)
-                else:
-                    meta = role | (n << 3) | (np.asarray(own, np.int64) << (3 + PART))
+                    key, sub, own = -1 - row, who.fill_null(0).to_numpy(), who.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+                meta = np.int64(-1 << 63) | role | (n << 3) | (own << (3 + PART))
+                if other is not None:
+                    narrow = np.maximum(np.maximum(n, own), other) < 1 << SMALL
+                    if np.ndim(role) == 0 and role == PAIR:
+                        low = (1 << LOW) - 1
+                        key = np.where(narrow, key | ((own & low | (other & low) << LOW | (n & low) << (2 * LOW)) << (2 * BITS)), key)
+                        short = PAIR | (own >> LOW | other >> LOW << HIGH | n >> LOW << (2 * HIGH)) << 3
+                    else:
+                        narrow &= sub > 1  # the other word is listed
+                        short = role | (sub >> 1) << 3 | (n | own << SMALL | other << (2 * SMALL)) << (3 + BITS)
+                    meta, sub, x = np.where(narrow, short, meta), np.where(narrow, 0, sub), np.where(narrow, 0.0, x)
                 for at in range(0, len(d), 50_000):
                     part = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part]), k) for c, k in zip((key, meta, row[d], sub, x, y), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[part]), k) for c, k in zip((key, meta, row[d], sub, x), kinds)], names)
 
     free_shuffles(spark)
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = numbered.mapInArrow(exploded, ROWS).repartition(n_parts, "key")
-    role, left = F.col("meta").bitwiseAND(7), F.lit(int(leave_out))
-    field = lambda at, bits: F.shiftright("meta", at).bitwiseAND((1 << bits) - 1)
-    rows = rows.withColumn("n", F.when(role == PAIR, field(3, SMALL)).when(role == LARGE, F.col("y").cast("long")).otherwise(field(3, PART)))
+    role, wide, left, log_words = F.col("meta").bitwiseAND(7), F.col("meta") < 0, F.lit(int(leave_out)), math.log10(max(1, total))
+    field = lambda c, at, bits: F.shiftright(c, at).bitwiseAND((1 << bits) - 1)
+    is_pair = role == PAIR
+    key = F.when(is_pair, F.col("code").bitwiseAND((1 << (2 * BITS)) - 1)).otherwise(F.col("code"))
+    listed_word = F.when(~wide & ~is_pair, field("meta", 3, BITS))
+
+    def count_of(place: int) -> Column:
+        """The pair's count, that of the key's word (a pair's first) or that of the other word."""
+        at = (place + 2) % 3
+        in_pair = field("code", 2 * BITS + at * LOW, LOW) + F.shiftleft(field("meta", 3 + at * HIGH, HIGH), LOW)
+        return F.when(wide, field("meta", 3 + min(place, 1) * PART, PART)).when(is_pair, in_pair).otherwise(field("meta", 3 + BITS + place * SMALL, SMALL))
+
+    rows = numbered.mapInArrow(exploded, ROWS).repartition(n_parts, key)
+    sub = F.coalesce(2 * listed_word + F.when(role == SECOND, 1).otherwise(0), "sub")
+    rows = rows.select(key.alias("key"), sub.alias("sub"), "code", "meta", "row", "x", count_of(0).alias("n"))  # the rest is read after they are sorted
     rows = rows.withColumn("c", F.sum("n").over(Window.partitionBy("key", "sub")))
-    n, own = F.col("n"), F.shiftright("meta", 3 + PART)
+    n, own, other = F.col("n"), count_of(1), count_of(2)
     others = counted.where(~frequent).select(_hashed(F.col("word")).alias("key"), F.col("n").alias("words"))
     listed_counts = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(1, len(top) + 1), pa.int64()), "count": pa.array([r.n for r in top], pa.int64())})))
     numbers = lambda name: listed_counts.select(F.col("id").alias(f"{name}_id"), F.col("count").alias(name))
     rows = rows.join(others, "key", "left")
-    rows = rows.join(numbers("a"), F.shiftright("key", BITS) == F.col("a_id"), "left").join(numbers("b"), F.col("key").bitwiseAND((1 << BITS) - 1) == F.col("b_id"), "left")
+    second_id = F.coalesce(listed_word, F.col("key").bitwiseAND((1 << BITS) - 1))
+    rows = rows.join(numbers("a"), F.shiftright("key", BITS) == F.col("a_id"), "left").join(numbers("b"), second_id == F.col("b_id"), "left")
     pair = F.col("c") - left * n
     rows = rows.where((pair > 0) | role.isin(DOCUMENT, OPENING, SECOND, SECOND_OF_TWO))  # an unseen pair's share is in the base
     log_word = F.log10(F.greatest(F.col("words") - left * own, F.lit(alpha)))
-    first, second = F.col("a") - left * field(3 + SMALL, SMALL), F.greatest(F.col("b") - left * field(3 + 2 * SMALL, SMALL), F.lit(alpha))
-    seen_pair = n * F.log10(pair / (first * second) * (max(1, total) / alpha))
-    seen_rare = n * (F.log10(pair) - F.col("x"))
-    value = F.when(role == PAIR, seen_pair).when(role == DOCUMENT, F.col("x")).when(role == LARGE, seen_rare).when(role == OPENING, F.col("y") + log_word)
-    value = value.when(role == FIRST, seen_rare - n * log_word).when(role.isin(SECOND) & (pair > 0), seen_rare).when(pair > 0, F.lit(0.0)).otherwise(n * (F.col("y") + log_word))
+    first, second = F.col("a") - left * own, F.col("b") - left * other  # of a pair with one listed word that is b
+    back_off = F.log10(F.greatest(second, F.lit(alpha))) + math.log10(alpha) - log_words
+    seen_pair = n * F.log10(pair / (first * F.greatest(second, F.lit(alpha))) * (max(1, total) / alpha))
+    taken = F.when(wide, F.col("x")).when(role == FIRST, back_off).otherwise(F.log10(F.greatest(second, F.lit(1))))
+    seen_rare = n * (F.log10(pair) - taken)
+    value = F.when(role == DOCUMENT, F.col("x")).when((role == PAIR) & ~wide, seen_pair).when(role == PAIR, seen_rare).when(role == OPENING, log_word - log_words)
+    value = value.when(role == FIRST, seen_rare - n * log_word).when((role == SECOND) & (pair > 0), seen_rare).when(pair > 0, F.lit(0.0)).otherwise(n * (log_word + math.log10(alpha) - log_words))
     document = lambda c: F.max(F.when(role == DOCUMENT, c))
     sums = rows.groupBy("row").agg(F.sum(value).alias("s"), document(n).alias("n_words"), document(F.when(own == 1, F.col("sub"))).alias("doc_id"))
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("score"))
