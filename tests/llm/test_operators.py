@@ -728,6 +728,22 @@ def test_neighbours_of_given_queries(spark):
     assert {r.query_id for r in got} == {7, 8} and len(got) == 20
 
 
+def test_neighbours_walks_agree(spark, monkeypatch):
+    """A small graph is walked in the tasks, in one table and to the end; by joins the same is found."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((250, 8)), np.full(8, 3.0) + rng.standard_normal((150, 8)) / 1e4])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:40]]))], "vec_id long, embedding array<double>")
+    names, write = [], nn_descent.written
+    monkeypatch.setattr(nn_descent, "written", lambda df, name: names.append(name) or write(df, name))
+    how = {"every": 40, "k": 6, "beam": 15, "starts": 4, "rounds": 2, "sample": 4}
+    held = nn_descent.search(d, **how).toPandas()
+    assert names.count("found") == 1 and "graph" not in names
+    joined = nn_descent.search(d, held_bytes=0, **how).toPandas()
+    assert names.count("found") > 3 and "graph" in names
+    order = ["query_id", "rank"]
+    assert len(held) == 11 * 10 and held.sort_values(order).values.tolist() == joined.sort_values(order).values.tolist()
+
+
 def test_neighbours_few(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nn_descent.search(d).collect())

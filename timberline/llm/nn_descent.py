@@ -3,9 +3,10 @@
 Equal vectors are one class. Each round joins every class's neighbours with each other through Spark joins (the
 neighbours of a class, forward and back, meet at that class) and keeps the closest `k` for each; rounds stop when few
 lists change. The first lists come from several random projections, where each class takes the next classes in
-sorted order within its block. Queries start at classes near them on those projections and walk the graph: each
-step joins the classes not yet opened among the best `beam` to the graph, measures their neighbours, and keeps the best
-`beam`, until nothing new is found. Graph and walk measure single-precision components with a scale of each vector's
+sorted order within its block. Queries start at their own neighbours and a few fixed classes and walk the graph: each
+step opens the classes not yet opened among the best `beam`, measures their neighbours, and keeps the best `beam`,
+until nothing new is found. A graph of `held_bytes` at most, by counts of its rows, is sent to the tasks whole and they walk it;
+the steps of a larger one are Spark joins. Both take the same steps. Graph and walk measure single-precision components with a scale of each vector's
 own, so no other vector changes a vector's resolution; what the walk found is measured again on the original vectors in
 double precision.
 
@@ -17,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import warnings
 from collections.abc import Iterator
 
@@ -49,7 +51,11 @@ def _packed(v, kind: type = np.float32) -> np.ndarray:
     """Packed vectors as the rows of a matrix of doubles."""
     if kind is np.float64:
         return np.frombuffer(b"".join(v), kind).reshape(len(v), -1)
-    x = np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1)
+    return _unpacked(np.frombuffer(b"".join(v), np.float32).reshape(len(v), -1))
+
+
+def _unpacked(x: np.ndarray) -> np.ndarray:
+    """The same of rows of scales (as two numbers) and components."""
     return x[:, 2:] * np.ascontiguousarray(x[:, :2]).view(np.float64)
 
 
@@ -193,11 +199,44 @@ def graph(classes: DataFrame, dims: int, k: int = 20, rounds: int = 6, sample: i
     return lists.select("node", "other", "d2")
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, steps: int = 40, broadcast_rows: int = 500_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+def _walker(edges: DataFrame, classes: DataFrame, opening: np.ndarray, beam: int):
+    """What walks the whole graph in a task, for rows of asked: node, other, d2 of the best `beam` of each."""
+    rows = classes.toArrow()
+    node = rows.column("node").to_numpy()
+    order = np.argsort(node)
+    node, single = node[order], np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(node), -1)[order]
+    links = edges.select("node", "other").toArrow()
+    at, to = (np.searchsorted(node, links.column(c).to_numpy()).astype(np.int32) for c in ("node", "other"))
+    to = to[np.argsort(at, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(node)))])
+    graph = classes.sparkSession.sparkContext.broadcast((node, starts, to, single, np.searchsorted(node, opening)))
+
+    def walk(batches) -> Iterator[pa.RecordBatch]:
+        node, starts, to, single, opening = graph.value
+        for b in batches:
+            for q, qx in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v, own, met = _packed([qx]), int(np.searchsorted(node, q)), np.zeros(len(node), bool)
+                place, d2 = np.zeros(0, np.int64), np.zeros(0)
+                met[opening] = True
+                reached = np.union1d(opening, [i for i in to[starts[own] : starts[own + 1]] if i != own]).astype(np.int64)
+                while len(reached):
+                    met[reached] = True
+                    new = np.arange(len(place) + len(reached)) >= len(place)
+                    place, d2 = np.concatenate([place, reached]), np.concatenate([d2, ((v - _unpacked(single[reached])) ** 2).sum(1)])
+                    best = np.lexsort((node[place], d2))[:beam]
+                    place, d2, new = place[best], d2[best], new[best]
+                    reached = np.unique(np.concatenate([to[starts[i] : starts[i + 1]] for i in place[new]] or [to[:0]])).astype(np.int64)
+                    reached = reached[~met[reached] & (reached != own)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), q)), pa.array(node[place]), pa.array(d2)], ["node", "other", "d2"])
+
+    return walk
+
+
+def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 100, top: int = 10, k: int = 24, beam: int = 200, starts: int = 24, steps: int | None = None, broadcast_rows: int = 500_000, held_bytes: int = 64 << 20, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the `top` nearest others found.
 
     queries: a table with the ids of the vectors to ask for; without it those whose id is divisible by `every`. A walk ends when
-    none of the best `beam` is unopened, or after `steps` steps, with a warning.
+    none of the best `beam` is unopened. steps: of a graph walked by joins, the most, with a warning; None: as many as it takes.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
@@ -218,7 +257,6 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
     back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "d2")
     kept_back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("d2", "other"))).where(f"r <= {k}").select("node", "other")
     around = edges.select("node", "other").unionByName(kept_back).distinct()
-    both = written(around.join(classes.select(F.col("node").alias("other"), "x"), "other").select("node", "other", "x"), "graph")
 
     if queries is None:
         asking = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
@@ -230,13 +268,6 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
     opening = classes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(starts).collect()  # a fixed number
     schema = "node long, other long, d2 double, new int"
 
-    def begin(batches) -> Iterator[pa.RecordBatch]:
-        at, x = np.array([r.node for r in opening]), _packed([bytes(r.x) for r in opening])
-        for b in batches:
-            for q, qx in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q)), pa.array(at), pa.array(((_packed([qx]) - x) ** 2).sum(1).astype(np.float64)), pa.array(np.ones(n, np.int32))], ["node", "other", "d2", "new"])
-
     def measure(kind: type):
         def run(batches) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -246,27 +277,47 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, every: int = 10
 
         return run
 
-    n_asked = asked.count()
-    near_asked = F.broadcast(asked) if n_asked * beam <= broadcast_rows else asked
-
-    def walked(open_: DataFrame) -> DataFrame:
-        """The graph's neighbours of (q, via), measured. A step's places to open are few unless the queries are many."""
-        few = F.broadcast(open_) if n_asked * beam <= broadcast_rows else open_
-        reached = both.join(few, both["node"] == few["via"]).select("q", "other", "x").where("q != other")
-        return reached.join(near_asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.float32), schema)
+    def joined() -> DataFrame:
+        """The walks by joins, a few for each step."""
+        both = written(around.join(classes.select(F.col("node").alias("other"), "x"), "other").select("node", "other", "x"), "graph")
 
-    own = walked(asked.select("q", F.col("q").alias("via")))
-    found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
-    for step in range(steps + 1):
-        open_ = found.where("new = 1").select(F.col("node").alias("q"), F.col("other").alias("via"))
-        if open_.isEmpty():
-            break
-        if step == steps:
-            warnings.warn(f"walks were ended after {steps} steps", stacklevel=2)
-            break
-        after = written(_closest(found.select("node", "other", "d2", F.lit(0).alias("new")).unionByName(walked(open_)), beam), "found")
-        dropped(spark, found)
-        found = after
+        def begin(batches) -> Iterator[pa.RecordBatch]:
+            at, x = np.array([r.node for r in opening]), _packed([bytes(r.x) for r in opening])
+            for b in batches:
+                for q, qx in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q)), pa.array(at), pa.array(((_packed([qx]) - x) ** 2).sum(1).astype(np.float64)), pa.array(np.ones(n, np.int32))], ["node", "other", "d2", "new"])
+
+        n_asked = asked.count()
+        near_asked = F.broadcast(asked) if n_asked * beam <= broadcast_rows else asked
+
+        def walked(open_: DataFrame) -> DataFrame:
+            """The graph's neighbours of (q, via), measured. A step's places to open are few unless the queries are many."""
+            few = F.broadcast(open_) if n_asked * beam <= broadcast_rows else open_
+            reached = both.join(few, both["node"] == few["via"]).select("q", "other", "x").where("q != other")
+            return reached.join(near_asked, "q").select(F.col("q").alias("node"), "other", "qx", "x").mapInArrow(measure(np.float32), schema)
+
+        own = walked(asked.select("q", F.col("q").alias("via")))
+        found = written(_closest(asked.mapInArrow(begin, schema).unionByName(own), beam), "found")
+        for step in itertools.count():
+            open_ = found.where("new = 1").select(F.col("node").alias("q"), F.col("other").alias("via"))
+            if open_.isEmpty():
+                break
+            if step == steps:
+                warnings.warn(f"walks were ended after {steps} steps", stacklevel=2)
+                break
+            after = written(_closest(found.select("node", "other", "d2", F.lit(0).alias("new")).unionByName(walked(open_)), beam), "found")
+            dropped(spark, found)
+            found = after
+        dropped(spark, both)
+        return found
+
+    # A class has 2k links at most.
+    if classes.count() * (8 + 4 * (dims + 2) + 2 * k * 4) <= held_bytes:
+        walk = _walker(around, classes, np.array([r.node for r in opening]), beam)
+        found = written(asked.mapInArrow(walk, "node long, other long, d2 double"), "found")
+    else:
+        found = joined()
     whole = member.where("id = node").select("node", "whole")
     exact = found.where("node != other").join(whole.select(F.col("node").alias("other"), F.col("whole").alias("w")), "other").join(whole, "node")
     near_by = exact.select("node", "other", "whole", "w").mapInArrow(measure(np.float64), schema)
