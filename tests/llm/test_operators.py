@@ -852,6 +852,21 @@ def test_bpe_streaming(tokenizer):
         assert b.encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_words_come_in_runs(tokenizer, monkeypatch):
+    """Known words are looked up many at a time, also where long ones, marks, odd spaces and unknown symbols lie between."""
+    b, asked = bpe.WordBpe(json.load(open(queries.vocabulary()))), []
+    stream = bpe.WordBpe.stream
+    monkeypatch.setattr(bpe.WordBpe, "stream", lambda self, t: (asked.append(1) or x for x in stream(self, t)))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    plain = "the quick brown fox " * 2000
+    for t in (plain, " \t".join(ODD) * 30, "\u2003\x85 ".join(["a\u3000b", "x" * 65, "é" * 40, "<|endoftext|>", "word"] * 900), plain * 20):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert b.digest(t) == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+    asked.clear()
+    b.digest(plain)
+    assert len(asked) <= 8000 // 1024 + 1
+
+
 def test_transducer_keeps_little():
     b = bpe.WordBpe(json.load(open(queries.vocabulary())))
     s, most, out = bpe.WordStream(b.m), 0, []

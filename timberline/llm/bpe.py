@@ -24,9 +24,10 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import regex
 
@@ -80,12 +81,12 @@ class Merges:
         r = [get(p, none) for p in zip(s, s[1:])]
         while r and (k := min(r)) < none:
             i = r.index(k)
-            s[i : i + 2] = [s[i] + s[i + 1]]
+            s[i] = t = s[i] + s.pop(i + 1)
             del r[i]
             if i < len(r):
-                r[i] = get((s[i], s[i + 1]), none)
+                r[i] = get((t, s[i + 1]), none)
             if i:
-                r[i - 1] = get((s[i - 1], s[i]), none)
+                r[i - 1] = get((s[i - 1], t), none)
         return s
 
     def _long(self, symbols: list[str]) -> list[str]:
@@ -136,6 +137,16 @@ class WordStream:
         return out
 
 
+class Words(dict):
+    """word -> ids, worked out when first asked for; None for a word that is too long to be kept."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> tuple[int, ...] | None:
+        return next(self.bpe.word(word), ()) if len(word) <= 64 and len(word.encode()) <= 64 else None
+
+
 class WordBpe:
     """The tokenizer of a vocabulary file: NFC, white space as one space, lower case, split, bytes, merges with word ends."""
 
@@ -151,22 +162,42 @@ class WordBpe:
         self.split = regex.compile(pattern.replace(r"\s", SPACE))
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.most, self.seen = cache, {}
+        self.blanks = [c for c in map(chr, range(0x3001)) if c != " " and self.spaces.fullmatch(c)]
+        self.digits = {i: str(i) for i in self.names}
+        self.most, self.seen = cache, Words(self)
 
     def normal(self, text: str) -> str:
-        text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        for c in self.blanks:
+            if c in text:
+                text = text.replace(c, " ")
+        if "  " in text:
+            text = self.spaces.sub(" ", text)
         return text.replace("Σ", "σ").lower()  # each character alone: no final sigma
 
+    def words(self, text: str, held: int = 1024) -> Iterator[list[str]]:
+        """The words of a normal text, `held` at a time."""
+        if len(text) <= 1 << 18 and not self.split.groups:
+            words = self.split.findall(text)
+            yield from (words[at : at + held] for at in range(0, len(words), held))
+        else:
+            found = self.split.finditer(text)
+            while words := [m.group() for m in itertools.islice(found, held)]:
+                yield words
+
     def word(self, word: str, piece: int = 1024) -> Iterator[tuple[int, ...]]:
         """Runs of ids of a word as they are settled; kept for short words met again."""
         table, get, raw, stream = byte_symbols(), self.m.vocab.get, word.encode(), WordStream(self.m)
         short, out = len(raw) <= 64, ()
         for at in range(0, len(raw), piece):
-            symbols = [table[x] for x in raw[at : at + piece]]
+            symbols = list(map(table.__getitem__, raw[at : at + piece]))
             if last := at + piece >= len(raw):
                 symbols[-1] += self.end
             tokens = stream.feed(symbols) + (stream.close() if last else [])
-            out = tuple(i for t in tokens if (i := get(t)) is not None)
+            out = tuple(map(get, tokens))
+            if None in out:
+                out = tuple(i for i in out if i is not None)
             if not short:
                 yield out
         if short:
@@ -175,28 +206,28 @@ class WordBpe:
             self.seen[word] = out
             yield out
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The encoding, a short word or a run of a long one at a time."""
-        get = self.seen.get
+    def stream(self, text: str) -> Iterator[Iterable[int]]:
+        """The encoding, some short words or a run of a long one at a time."""
         for part in self.marks.split(text) if self.marks and "<" in text else (text,):
             if part in self.special:
                 yield (self.special[part],)
             elif part:
-                for m in self.split.finditer(self.normal(part)):
-                    w = m.group()
-                    if (ids := get(w)) is not None:
-                        yield ids
-                    elif w:
-                        yield from self.word(w)
+                for words in self.words(self.normal(part)):
+                    ids = list(map(self.seen.__getitem__, words))
+                    if None not in ids:
+                        yield itertools.chain.from_iterable(ids)
+                    else:
+                        for w, known in zip(words, ids):
+                            yield from self.word(w) if known is None else (known,)
 
     def runs(self, text: str, held: int = 4096) -> Iterator[list[int]]:
         """The ids, about `held` at a time."""
         now: list[int] = []
         for ids in self.stream(text):
             now += ids
-            if len(now) >= held:
-                yield now
-                now = []
+            while len(now) >= held:
+                yield now[:held]
+                del now[:held]
         if now:
             yield now
 
@@ -207,7 +238,7 @@ class WordBpe:
         """Number of tokens, SHA-256 of the ids and of the text decoded from them. kept: gets the ids."""
         n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self)
         for run in self.runs(text):
-            ids.update(((" " if n else "") + " ".join(map(str, run))).encode())
+            ids.update(((" " if n else "") + " ".join(map(self.digits.__getitem__, run))).encode())
             decoded.update(decoder.feed_all(run).encode())
             n += len(run)
             if kept is not None:
@@ -227,7 +258,10 @@ class Decoder:
     def feed_all(self, ids: list[int]) -> str:
         """What a run of ids adds; unknown ids add nothing."""
         names = self.bpe.names
-        tokens = [names[i] for i in ids if i in names]
+        try:
+            tokens = list(map(names.__getitem__, ids))
+        except KeyError:
+            tokens = [names[i] for i in ids if i in names]
         if self.as_text:
             return "".join(map(self._text, tokens))
         if not tokens:
