@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -502,6 +503,55 @@ def test_lm_shuffles_few_bytes(spark):
     assert size < 21 * rows
 
 
+def test_lm_sorts_rows_by_one_number(spark):
+    """No window and no join order the rows of pairs: that took more than all else."""
+    store, d = spark._jsparkSession.sharedState().statusStore(), table(spark, "/root/testdata/sf0.01", "documents")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    lm_score.lm_scores(d, hot=100, listed=1000).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList(before, 1000)
+    plans = "\n".join(found.apply(i).physicalPlanDescription() for i in range(found.size()))
+    assert "MapInArrow" in plans and "Window" not in plans and "Join" not in plans
+    sorts = re.findall(r"\bSort\b[^\n]*\nInput[^\n]*\nArguments: \[(.*)\], false", plans)
+    assert sorts and all(x.count("NULLS FIRST") == 1 for x in sorts)
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_lm_whole_keys(size):
+    """Each key's rows come together, however many they are."""
+    rng = np.random.default_rng(3)
+    keys = np.sort(np.concatenate([rng.integers(-9, 9, 200), np.full(150, 4)]))
+    roles = np.where(keys < 0, lm_score.FIRST, lm_score.PAIR)
+    code = np.where(keys < 0, keys, keys | 5 << (2 * lm_score.BITS))  # counts above a pair's numbers aren't of its key
+    columns = [code, roles, np.arange(350), np.zeros(350, int), np.zeros(350)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + 11]) for c in columns], list("abcde")) for at in range(0, 350, 11)]
+    got = list(lm_score.whole_keys(iter(batches), size))
+    assert np.array_equal(np.concatenate([c[3] for c in got]), np.arange(350)) and np.array_equal(np.concatenate([c[0] for c in got]), keys)
+    assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:])) and (size > 40 or len(got) > 3)
+
+
+def test_lm_splits_words_as_bytes_do():
+    texts = [t.encode() for t in ["", " ", "a", " A\tb\x0bc\x0c d\re\n", "", "É é\xa0x ÀB", "\x1ca\x1db\x00 c\x85d", "a ", " a"]]
+    for some in (texts, texts[:2], texts[3:4], []):
+        words, of = lm_score.words_of(some)
+        assert [(w, i) for w, i in zip(words.to_pylist(), of.tolist())] == [(w, i) for i, t in enumerate(some) for w in t.lower().split()]
+
+
+def test_lm_texts_in_pieces(spark, monkeypatch):
+    """A text longer than a piece is put together again; batches are bounded afterwards."""
+    monkeypatch.setattr(lm_score, "PIECE", 5)
+    texts = ["", "ab", "abcde", "abcdef", "é é éé abc é", "x" * 23 + " ab abcde " + "ü" * 9, "abcde abcdef ab", "x" * 23 + " ab"]
+    got = by_id(lm_score.lm_scores(documents(spark, texts).repartition(2), listed=3, hot=2), "n_words", "score")
+    same_scores(got, plain_lm(texts))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (str(8 << 20), f"{8 << 20}b")
+    batch = pa.RecordBatch.from_pydict({"row": [1, 1, 2, 3, 3, 3], "id": [7, 7, None, 9, 9, 9], "text": [b"a", b"b", b"", b"c", b"d", b"e"]})
+    cut = [batch.slice(0, 1), batch.slice(1, 3), batch.slice(4)]
+    for rows in (1, 2, 9):
+        got = [(i, w, t) for first, second, some in lm_score.whole_texts(cut, rows) for i, w, t in zip(first.tolist(), second.to_pylist(), some, strict=True)]
+        assert got == [(1, 7, b"ab"), (2, None, b""), (3, 9, b"cde")]
+
+
 def test_lm_odd_rows(docs, spark):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
     got = lm_score.lm_scores(docs.union(docs)).collect()
